@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridweave.llm import pii
+from gridweave.llm import pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,3 +20,21 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_pii"] = op5_pii
+
+
+def held_out(n: int, remainder: int):
+    """Whether crc32 of the id as text leaves ``remainder`` modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n == remainder
+
+
+QUALITY_THRESHOLD = 0.7
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~held_out(4, 2)))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES["op3_quality"] = op3_quality
