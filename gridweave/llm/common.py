@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column end to end, and where each row begins; null is empty."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -52,7 +53,7 @@ def batches_of(it: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20)
     """The same rows in batches of at most ``limit`` bytes of ``column`` (or one row)."""
     for batch in it:
         texts = batch.column(column)
-        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < len(size):
             done = size[start - 1] if start else 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import pii, quality
+from gridweave.llm import langid, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_quality"] = op3_quality
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out(3, 1)))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+QUERIES["op9_language"] = op9_language
