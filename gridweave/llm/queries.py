@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import langid, packing, pii, quality
+from gridweave.llm import langid, linededup, packing, pieces, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,36 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_packing"] = op4_packing
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return linededup.remove_boilerplate(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+QUERIES["op7_line_dedup"] = op7_line_dedup
+ORACLES["op7_line_dedup"] = """
+with lines as (
+  select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
+  from documents where text is not null
+), common as (
+  select trim(line) as t, min(struct_pack(d := doc_id, p := pos)) as f from lines
+  where length(trim(line)) >= 16 group by trim(line) having count(distinct source) >= 10
+), marked as (
+  select doc_id, pos, line, t is not null and (f.d <> doc_id or f.p <> pos) as gone
+  from lines left join common on trim(line) = t
+), rebuilt as (
+  select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text,
+         count(*) as n_lines, count(*) filter (where gone) as n_removed
+  from marked group by doc_id
+)
+select d.doc_id, r.text, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed
+from documents d left join rebuilt r using (doc_id)
+"""
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES["op6_sentencepiece"] = op6_sentencepiece
