@@ -99,7 +99,11 @@ def fit(docs: DataFrame, max_docs: int = 600, max_chars: int = 4000, buckets: in
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     langs = tuple(sorted(r.lang for r in rows.groupBy("lang").agg(F.count("*")).collect()))
     order, cut = F.xxhash64(F.lit(29), "doc_id"), F.substring("text", 1, max_chars).alias("text")
-    sample = [(lang, r.text) for lang in langs for r in rows.where(F.col("lang") == lang).select("doc_id", cut).orderBy(order, "doc_id").limit(max_docs).collect()]
+    sample = []
+    for lang in langs:
+        picked = rows.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_docs)
+        of_lang = rows.where(F.col("lang") == lang).join(F.broadcast(picked), "doc_id").select("doc_id", cut)
+        sample += [(lang, r.text) for r in of_lang.orderBy("doc_id", "text").limit(max_docs).collect()]
     codes = codewords(len(langs)) if len(langs) > 1 else np.ones((len(langs), 0), np.float32)
     if codes.shape[1] == 0:
         return LanguageModel(langs, codes, np.zeros(0), np.zeros((buckets, 0), np.float32), np.zeros(0))
