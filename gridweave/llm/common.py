@@ -94,3 +94,62 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
+
+
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """A matrix of doubles from a non-empty list column whose lists are equally long."""
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, __v, __h1, __h2): rows whose vector is not null, zero or with null or non-finite parts."""
+    v = F.col(vector).cast("array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    ok = F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
+    return df.where(ok).select(key, v.alias("__v"), F.xxhash64(v).alias("__h1"), F.xxhash64(F.lit(1), v).alias("__h2"))
+
+
+def sorted_groups(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by ``keys``: tables of whole groups, and where each group begins (and the end)."""
+    held: list[pa.RecordBatch] = []
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for k in keys:
+            x = table.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        at = begins(table)
+        if len(at) > 1:
+            yield table.slice(0, at[-1]), at
+            held = table.slice(at[-1]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        at = begins(table)
+        yield table, np.r_[at, len(table)]
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for the nodes of a few edges held in memory: the same components with fewer edges."""
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+    root = np.arange(len(nodes))
+    a, b = at[: len(u)], at[len(u) :]
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]

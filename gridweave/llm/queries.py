@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import langid, linededup, packing, pieces, pii, quality
+from gridweave.llm import langid, linededup, neardup, packing, pieces, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_sentencepiece"] = op6_sentencepiece
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op8_near_vectors"] = op8_near_vectors
