@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import langid, linededup, neardup, packing, pieces, pii, quality
+from gridweave.llm import ann, langid, linededup, neardup, packing, pieces, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,10 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_near_vectors"] = op8_near_vectors
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op10_nearest"] = op10_nearest
