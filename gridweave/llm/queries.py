@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import ann, langid, linededup, neardup, packing, pieces, pii, quality
+from gridweave.llm import ann, langid, linededup, neardup, ngramjoin, packing, pieces, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_nearest"] = op10_nearest
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_ngram_join"] = op1_ngram_join
