@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 import zlib
 from collections import defaultdict
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.common import batches_of, stored
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 
 class _Encoder:
@@ -43,11 +44,27 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen, self.flat, self.size = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """Places of the chunks among those remembered."""
+        if len(self.seen) > CACHE_WORDS:
+            self._forget()
+        new = [c for c in chunks if c not in self.seen]
+        if new:
+            ids = self._direct(new)
+            self.seen.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.size = np.r_[self.size, np.fromiter(map(len, ids), np.int64, len(ids))]
+            self.flat = np.concatenate([self.flat, *ids])
+        return np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
+
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
@@ -55,24 +72,23 @@ class _Encoder:
         plain = pc.replace_substring_regex(pc.replace_substring(plain, "\n", " "), r"([a-z])([.,!?;:|#$%&*]+)", r"\1 \2")
         words = pc.split_pattern(plain, " ")
         coded = pc.list_flatten(words).dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        new = [c for c in chunks if c not in self.seen]
-        if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen = {c: i for c in chunks if (i := self.seen.get(c)) is not None}
-        self.seen.update(zip(new, self._direct(new)))
-        ids = [self.seen[c] for c in chunks]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, begin = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum(size) - size
-        code = coded.indices.to_numpy()
-        each = size[code]
+        code = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        each = self.size[code]
         end = np.cumsum(each)
-        flat = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(begin[code] - (end - each), each)]
+        begin = (np.cumsum(self.size) - self.size)[code]
+        flat = self.flat[np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - each), each)]
         stop = np.r_[0, end][np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))]
         found = iter(np.split(flat, stop[:-1]) if len(stop) else [])
         direct = iter(self._direct(texts.filter(pa.array(special)).to_pylist()) if special.any() else [])
         return [next(direct) if s else next(found) for s in special]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks that a Python worker runs."""
+    return _Encoder(path)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32 [, ids].
 
@@ -82,7 +98,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(it):
-        encode = _Encoder(tokenizer)
+        encode = _encoder(tokenizer)
         for batch in batches_of(it, "text", 8 << 20):
             out = defaultdict(list)
             for doc, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
