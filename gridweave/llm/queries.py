@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import ann, langid, linededup, neardup, ngramjoin, packing, pieces, pii, quality
+from gridweave.llm import ann, htmltext, langid, linededup, neardup, ngramjoin, packing, pieces, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_ngram_join"] = op1_ngram_join
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op2_html_text"] = op2_html_text
