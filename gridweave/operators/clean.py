@@ -56,9 +56,9 @@ def clean_grid(bus: DataFrame, branch: DataFrame, element: DataFrame, unsupplied
     bad = (F.col("kind") == "gen") & ~F.col("vm_pu").between(0.8, 1.2)
     e = element.withColumn("fixed", bad).withColumn("vm_pu", F.when(bad, 1.0).otherwise(F.col("vm_pu")))
     counts = (
-        b.agg(F.lit("unsupplied_buses").alias("what"), F.count_if("in_service = 0").alias("n"))
-        .unionByName(l.agg(F.lit("zero_impedance").alias("what"), F.count_if("fixed").alias("n")))
-        .unionByName(e.agg(F.lit("set_points").alias("what"), F.count_if("fixed").alias("n")))
+        b.agg(F.lit("unsupplied_buses").alias("what"), F.count_if(F.col("in_service") == 0).alias("n"))
+        .unionByName(l.agg(F.lit("zero_impedance").alias("what"), F.count_if(F.col("fixed")).alias("n")))
+        .unionByName(e.agg(F.lit("set_points").alias("what"), F.count_if(F.col("fixed")).alias("n")))
     )
     return {"bus": b, "branch": l.drop("fixed"), "element": e.drop("fixed"), "counts": counts}
 
@@ -107,7 +107,7 @@ def controller_conflicts(element: DataFrame) -> DataFrame:
 
 def gen_membership(bus: DataFrame, element: DataFrame) -> DataFrame:
     """Generators, and those in service, of every bus."""
-    per = element.where("kind = 'gen'").groupBy("scenario_id", "bus").agg(F.count("*").alias("gens"), F.count_if("in_service = 1").alias("gens_on"))
+    per = element.where("kind = 'gen'").groupBy("scenario_id", "bus").agg(F.count("*").alias("gens"), F.count_if(F.col("in_service") == 1).alias("gens_on"))
     return bus.select("scenario_id", "bus").join(per, ["scenario_id", "bus"], "left").fillna(0, ["gens", "gens_on"])
 
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def scenario_summary(bus: DataFrame, branch: DataFrame, transformer: Column) -> DataFrame:
     """Sizes, branch kinds, voltage range and power sums of every scenario."""
     b = bus.groupBy("scenario_id").agg(F.count("*").alias("n"), F.min("vm").alias("vm_min"), F.max("vm").alias("vm_max"), F.sum("p_set").alias("p_sum"), F.sum("q_set").alias("q_sum"))
-    l = branch.groupBy("scenario_id").agg(F.count("*").alias("nl"), F.count_if("status = 1").alias("active"), F.count_if(transformer).alias("trafos"), F.count_if(~transformer).alias("lines"))
+    l = branch.groupBy("scenario_id").agg(F.count("*").alias("nl"), F.count_if(F.col("status") == 1).alias("active"), F.count_if(transformer).alias("trafos"), F.count_if(~transformer).alias("lines"))
     return b.join(l, "scenario_id", "left").fillna(0, ["nl", "active", "trafos", "lines"])
 
 
 def validate_shapes(bus: DataFrame, branch: DataFrame, ybus: DataFrame | None = None) -> DataFrame:
     """Per scenario the list of errors: bus numbers not 0..N-1, branch ends or matrix entries out of range, no slack."""
-    n = bus.groupBy("scenario_id").agg(F.count("*").alias("n"), F.min("bus").alias("lo"), F.max("bus").alias("hi"), F.count_distinct("bus").alias("d"), F.count_if("bus_type = 1").alias("slacks"))
+    n = bus.groupBy("scenario_id").agg(F.count("*").alias("n"), F.min("bus").alias("lo"), F.max("bus").alias("hi"), F.count_distinct("bus").alias("d"), F.count_if(F.col("bus_type") == 1).alias("slacks"))
     sizes = n.select("scenario_id", "n")
     ends = branch.join(sizes, "scenario_id", "left").groupBy("scenario_id").agg(
         F.count_if(F.coalesce(~(F.col("f_bus").between(0, F.col("n") - 1) & F.col("t_bus").between(0, F.col("n") - 1)), F.lit(True))).alias("bad_ends")
@@ -57,7 +57,7 @@ def soft_checks(bus: DataFrame, tol: float = 1e-6) -> DataFrame:
 
 def convergence_summary(screening: DataFrame) -> DataFrame:
     """Per case: runs, converged, failed, whether any converged, and runs per reason of failure."""
-    base = screening.groupBy("case_name").agg(F.count("*").alias("n"), F.sum("converged").alias("converged"), F.count_if("converged = 0").alias("failed"), F.max("converged").alias("any_converged"))
+    base = screening.groupBy("case_name").agg(F.count("*").alias("n"), F.sum("converged").alias("converged"), F.count_if(F.col("converged") == 0).alias("failed"), F.max("converged").alias("any_converged"))
     reasons = screening.where("converged = 0").groupBy("case_name", "reason").agg(F.count("*").alias("k"))
     maps = reasons.groupBy("case_name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "k")))).alias("reasons"))
     return base.join(maps, "case_name", "left").orderBy(F.desc("any_converged"), F.asc_nulls_last("n"), "case_name")
@@ -76,9 +76,9 @@ def zero_convergence_cases(screening: DataFrame, reasons: int = 10, samples: int
 def grid_diagnostics(element: DataFrame, switch: DataFrame, bus: DataFrame) -> DataFrame:
     """One long table: (what, item, n, p, q) of switches, elements out of service and power sums, and the kV histogram."""
     zero = F.lit(None).cast("double")
-    s = switch.groupBy("et").agg(F.count_if("closed = 1").alias("closed"), F.count_if("closed = 0").alias("open"))
+    s = switch.groupBy("et").agg(F.count_if(F.col("closed") == 1).alias("closed"), F.count_if(F.col("closed") == 0).alias("open"))
     s = s.select(F.explode(F.array(F.struct(F.lit("switch_closed").alias("what"), F.col("closed").alias("n")), F.struct(F.lit("switch_open").alias("what"), F.col("open").alias("n")))).alias("x"), F.col("et").alias("item")).select("x.what", "item", "x.n", zero.alias("p"), zero.alias("q"))
-    e = element.groupBy("kind").agg(F.count_if("in_service = 0").alias("n"), F.sum("p_mw").alias("p"), F.sum("q_mvar").alias("q")).select(F.lit("out_of_service").alias("what"), F.col("kind").alias("item"), "n", "p", "q")
+    e = element.groupBy("kind").agg(F.count_if(F.col("in_service") == 0).alias("n"), F.sum("p_mw").alias("p"), F.sum("q_mvar").alias("q")).select(F.lit("out_of_service").alias("what"), F.col("kind").alias("item"), "n", "p", "q")
     v = bus.groupBy("vn_kv").agg(F.count("*").alias("n")).select(F.lit("kv").alias("what"), F.col("vn_kv").cast("long").cast("string").alias("item"), "n", zero.alias("p"), zero.alias("q"))
     return s.unionByName(e).unionByName(v)
 
