@@ -6,31 +6,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def classify_nonconvergence(trace: DataFrame, near: float = 1e-3, grow: float = 10.0, flat: float = 1e-2) -> DataFrame:
-    """Why a run did not converge, judged in this order: near (last value small), divergence (last
-    value ``grow`` times the first or twice the one before, and not the least), stagnation (last five
-    within a share ``flat``), else slow."""
+# Limits of the judgement below.
+NEAR, BLOW_UP, RISE, OFF_BEST = 1e-3, 2.0, 1.05, 1.2
+LITTLE, HALF, RECENT, FLAT = 0.10, 0.50, 5, 0.02
+
+
+def classify_nonconvergence(trace: DataFrame, scenarios: DataFrame | None = None, near: float = NEAR) -> DataFrame:
+    """Why each run did not converge, the first that holds of:
+
+    near_convergence_not_passing_step: the last or least mismatch is at most ``near``;
+    divergence: the last is twice the first or more, or it rose in at least half (and 3) of
+    the steps and ends above the least; stagnation: less than a tenth won over all, or less
+    than half with the last five flat; else slow_convergence. ``scenarios`` without a trace
+    are no_progress_data.
+    """
     w = Window.partitionBy("scenario_id").orderBy("iter")
     back = F.row_number().over(Window.partitionBy("scenario_id").orderBy(F.desc("iter")))
     t = trace.withColumns({"before": F.lag("misinf").over(w), "back": back})
-    tail = lambda f: f(F.when(F.col("back") <= 5, F.col("misinf")))
     a = t.groupBy("scenario_id").agg(
         F.count("*").alias("n"),
         F.min_by("misinf", "iter").alias("first"),
         F.max_by("misinf", "iter").alias("last"),
-        F.max_by("before", "iter").alias("before_last"),
-        F.min("misinf").alias("least"),
-        tail(F.min).alias("tail_min"),
-        tail(F.max).alias("tail_max"),
+        F.min("misinf").alias("best"),
+        F.count_if(F.col("misinf") > RISE * F.col("before")).alias("rises"),
+        F.min_by("misinf", F.when(F.col("back") <= RECENT, F.col("iter"))).alias("recent"),
     )
-    last = F.col("last")
+    first, last, best = (F.col(c) for c in ("first", "last", "best"))
+    safe = F.greatest(first, F.lit(1e-15))
+    won, lately = (first - last) / safe, (F.col("recent") - last) / F.greatest("recent", F.lit(1e-15))
     reason = (
-        F.when(last <= near, "near")
-        .when((last > grow * F.col("first")) | ((last > 2 * F.col("before_last")) & (last > F.col("least"))), "divergence")
-        .when((F.col("n") >= 5) & (F.col("tail_max") - F.col("tail_min") <= flat * F.col("tail_max")), "stagnation")
-        .otherwise("slow")
+        F.when((last <= near) | (best <= near), "near_convergence_not_passing_step")
+        .when(last / safe >= BLOW_UP, "divergence")
+        .when((F.col("rises") >= F.greatest(F.lit(3), F.floor(F.col("n") / 2))) & (last > OFF_BEST * best), "divergence")
+        .when((won < LITTLE) | ((lately < FLAT) & (won < HALF)), "stagnation")
+        .otherwise("slow_convergence")
     )
-    return a.select("scenario_id", "n", "last", reason.alias("reason"))
+    out = a.select("scenario_id", "n", "last", reason.alias("reason"))
+    if scenarios is not None:
+        out = scenarios.select("scenario_id").distinct().join(out, "scenario_id", "left").fillna({"n": 0, "reason": "no_progress_data"})
+    return out
 
 
 def convergence_iteration(trace: DataFrame, tol: float, step_tol: float, scale: str | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def drop_diverged(voltage: DataFrame) -> DataFrame:
     return voltage.join(ok, "scenario_id", "left_semi")
 
 
-def is_converged(voltage: DataFrame, tol: float = 1e-12) -> DataFrame:
+def is_converged(voltage: DataFrame, tol: float = 1e-8) -> DataFrame:
     """Per scenario: whether any voltage exceeds ``tol``."""
     return voltage.groupBy("scenario_id").agg((F.max(F.abs("vm")) > tol).cast("long").alias("converged"))
 

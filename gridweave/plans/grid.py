@@ -387,7 +387,7 @@ def drop_diverged(spark, sf):
     return out(voltage.drop_diverged(volts(spark, sf, "label")), "scenario_id", "bus", **same("vm"))
 
 
-@query("is_converged", oracle("select scenario_id, cast(case when max(abs(vm)) > 1e-12 then 1 else 0 end as bigint) as converged from {voltage} where run_id = 'label' group by 1"))
+@query("is_converged", oracle("select scenario_id, cast(case when max(abs(vm)) > 1e-8 then 1 else 0 end as bigint) as converged from {voltage} where run_id = 'label' group by 1"))
 def is_converged(spark, sf):
     return voltage.is_converged(volts(spark, sf, "label"))
 

@@ -332,11 +332,13 @@ def train_subset(spark, sf):
 # ---- traces and runs
 
 
-@query("classify_nonconvergence", oracle("""with t as (select *, lag(misinf) over (partition by scenario_id order by iter) as before, row_number() over (partition by scenario_id order by iter desc) as back from {nr_trace}),
-a as (select scenario_id, count(*) as n, max(case when iter = 0 then misinf end) as f, max(case when back = 1 then misinf end) as l, max(case when back = 1 then before end) as p, min(misinf) as least, min(case when back <= 5 then misinf end) as lo, max(case when back <= 5 then misinf end) as hi from t group by 1)
-select scenario_id, n, round(l, 6) + 0e0 as last, case when l <= 1e-1 then 'near' when l > 1e1 * f or (l > 2e0 * p and l > least) then 'divergence' when n >= 5 and hi - lo <= 9e-1 * hi then 'stagnation' else 'slow' end as reason from a"""))
+@query("classify_nonconvergence", oracle("""with t as (select *, lag(misinf) over (partition by scenario_id order by iter) as before, row_number() over (partition by scenario_id order by iter desc) as back, count(*) over (partition by scenario_id) as n from {nr_trace}),
+a as (select scenario_id, max(n) as n, max(case when iter = 0 then misinf end) as f, max(case when back = 1 then misinf end) as l, min(misinf) as best, sum(case when misinf > 105e-2 * before then 1 else 0 end) as up, max(case when back = least(5, n) then misinf end) as r from t group by 1),
+c as (select *, (f - l) / greatest(f, 1e-15) as won, (r - l) / greatest(r, 1e-15) as lately from a)
+select scenario_id, n, round(l, 6) + 0e0 as last, case when l <= 1e-1 or best <= 1e-1 then 'near_convergence_not_passing_step' when l / greatest(f, 1e-15) >= 2e0 then 'divergence'
+ when up >= greatest(3, floor(n / 2e0)) and l > 12e-1 * best then 'divergence' when won < 1e-1 or (lately < 2e-2 and won < 5e-1) then 'stagnation' else 'slow_convergence' end as reason from c"""))
 def classify_nonconvergence(spark, sf):
-    return out(trace.classify_nonconvergence(load(spark, sf, "nr_trace"), near=0.1, flat=0.9), "scenario_id", "n", "reason", **same("last"))
+    return out(trace.classify_nonconvergence(load(spark, sf, "nr_trace"), near=0.1), "scenario_id", "n", "reason", **same("last"))
 
 
 @query("convergence_iteration", oracle("with t as (select *, lag(step) over (partition by scenario_id order by iter) as before from {nr_trace}) select scenario_id, min(case when misinf < 1e-1 then iter end) as by_misinf, min(case when step < 3e-4 and before < 3e-4 then iter end) as by_step from t group by 1"))

@@ -80,11 +80,12 @@ def test_packed_round_trip(spark):
 
 
 def test_traces(spark):
-    made = {1: [8, 7, 6.5, 6, 5.5, 5, 4.5, 3.0], 2: [5.0] * 8, 3: [1.0, 2.0, 4.0, 8.0], 4: [5, 1, 1e-4], 5: [3.0]}
+    made = {1: [8, 7, 6.5, 6, 5.5, 5, 4.5, 3.0], 2: [5.0] * 8, 3: [1.0, 2.0, 4.0, 8.0], 4: [5, 1, 1e-4], 5: [3.0], 6: [4, 5, 2, 3, 2.5, 3.5, 4.5]}
     rows = [(s, i, float(v), 1e-9) for s, t in made.items() for i, v in enumerate(t)]
     df = spark.createDataFrame(rows, "scenario_id long, iter long, misinf double, step double")
-    got = {r.scenario_id: r.reason for r in trace.classify_nonconvergence(df).collect()}
-    assert got == {1: "slow", 2: "stagnation", 3: "divergence", 4: "near", 5: "slow"}
+    every = spark.createDataFrame([(s,) for s in range(1, 8)], "scenario_id long")
+    got = {r.scenario_id: r.reason for r in trace.classify_nonconvergence(df, every).collect()}
+    assert got == {1: "slow_convergence", 2: "stagnation", 3: "divergence", 4: "near_convergence_not_passing_step", 5: "stagnation", 6: "divergence", 7: "no_progress_data"}
     assert trace.classify_nonconvergence(df.limit(0)).count() == 0
 
 
