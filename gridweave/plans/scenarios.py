@@ -353,14 +353,14 @@ def history_tail(spark, sf):
     return out(t.withColumn("n", F.size("tail").cast("long")), "scenario_id", "n", weighted=w)
 
 
-@query("best_epoch", oracle("with h as (select *, row_number() over (partition by run_id order by rmse_mag + rmse_ang_deg, epoch) as k from {history}) select run_id, epoch, round(rmse_mag + rmse_ang_deg, 6) + 0e0 as score from h where k = 1"))
+@query("best_epoch", oracle("with h as (select *, row_number() over (partition by run_id order by rmse_mag + rmse_ang_deg, epoch) as k from {history}) select run_id, epoch, round(rmse_mag + rmse_ang_deg, 9) + 0e0 as score from h where k = 1"))
 def best_epoch(spark, sf):
-    return out(trace.best_epoch(load(spark, sf, "history")), "run_id", "epoch", **same("score"))
+    return out(trace.best_epoch(load(spark, sf, "history")), "run_id", "epoch", digits=9, **same("score"))
 
 
-@query("running_best", oracle("select run_id, epoch, round(min(rmse_mag + rmse_ang_deg) over (partition by run_id order by epoch rows between unbounded preceding and current row), 6) + 0e0 as best from {history}"))
+@query("running_best", oracle("select run_id, epoch, round(min(rmse_mag + rmse_ang_deg) over (partition by run_id order by epoch rows between unbounded preceding and current row), 9) + 0e0 as best from {history}"))
 def running_best(spark, sf):
-    return out(trace.running_best(load(spark, sf, "history")), "run_id", "epoch", **same("best"))
+    return out(trace.running_best(load(spark, sf, "history")), "run_id", "epoch", digits=9, **same("best"))
 
 
 @query("warmstart_savings", oracle("""with t as (select scenario_id, count(*) as it, min(misinf) as m from {nr_trace} group by 1), s as (select avg(it) as fm, quantile_cont(it, 0.5) as fd, max(it) as fx, avg(case when m < 1e-1 then 1e0 else 0e0 end) as fc, avg(it // 2) as mm, quantile_cont(it // 2, 0.5) as md, max(it // 2) as mx from t)
@@ -614,13 +614,13 @@ def append_batches(spark, sf):
     return read.agg(F.count("*").alias("n"), rounded(F.sum("p_set"), 4).alias("s")).where(F.col("n") == rows)
 
 
-@query("write_history", oracle("select run_id, epoch, round(rmse_mag, 6) + 0e0 as rmse_mag from {history}"))
+@query("write_history", oracle("select run_id, epoch, round(rmse_mag, 9) + 0e0 as rmse_mag from {history}"))
 def write_history(spark, sf):
     path = _shared(spark)
     h = load(spark, sf, "history").withColumns({"split": F.col("run_id").cast("string"), "loss": F.lit(0.0), "rmse": F.lit(0.0), "phys": F.lit(0.0)})
     io_.write_history(h, path)
     back = spark.read.option("header", True).schema("epoch long, split string, loss double, rmse double, rmse_mag double, rmse_ang_deg double, phys double").csv(path)
-    return out(back.withColumn("run_id", F.col("split").cast("long")), "run_id", "epoch", **same("rmse_mag"))
+    return out(back.withColumn("run_id", F.col("split").cast("long")), "run_id", "epoch", digits=9, **same("rmse_mag"))
 
 
 @query("element_report", oracle("select cast(p_partkey as varchar(20)) as id, p_name as name, p_size, case when p_partkey % 2 = 0 then round(p_retailprice, 6) + 0e0 end as res_p from {part}"))
