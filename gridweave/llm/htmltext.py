@@ -10,12 +10,17 @@ root class (the tokens on every page) if it covers at least half of the pages.
 Valid classes make up the template: text blocks in it are the site's own words,
 what stands between its elements are the slots.
 
-Extraction keeps the slots that hold the article: those inside ``article`` or
-``main``, if that gives any text, else all others; and never those inside menus,
-headers, footers, sidebars, notices, adverts, forms and comments, which are told
-by element, role, or the words of class and id. Template text goes outside an
-article only; a page that would lose all its text keeps it, as its host's pages
-are then copies of each other.
+A slot is what stands in one template element and in no smaller one; a page without
+a template is one slot. Slots inside menus, headers, footers, sidebars, notices,
+adverts, forms and comments, which are told by element, role, or the words of class
+and id, are never the article. Of the others, ``article`` and ``main`` are a hint
+that counts as twice the text: the elements are kept alone if the largest of them
+outweighs every slot outside, the slots outside alone if one of these outweighs all
+elements together (which are teasers then), and else both. Template text goes
+everywhere, inside those elements too; a page that would lose all its text keeps
+it, as its host's pages are then copies of each other. Elements with nothing but
+template text are such copies, or a teaser on every page: they stay, without the
+hint's weight, if they hold more text than any slot outside.
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption".sp
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option button canvas audio video head".split())
 DROPPED = frozenset("nav header footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
+HINT = 2
 ROOTS = frozenset("html body".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 COMMENT_WORDS = frozenset("comment comments reply replies disqus discussion".split())
@@ -74,19 +80,21 @@ def _marks(name: str, attributes: str) -> tuple[str, bool, bool]:
     return ".".join([name, *label]), dropped, comments
 
 
-def parse(page: str | None) -> tuple[list[tuple[int, str, int]], Counter]:
-    """Text blocks (path, text, 0 plain / 1 in an article / 2 dropped) in page order, and counts of container paths."""
+def parse(page: str | None) -> tuple[list[tuple[int, str, int, int]], Counter, dict[int, int]]:
+    """Text blocks (path, text, 0 plain / 1 in an article / 2 dropped, number of the outermost article) in page order, counts of container paths, and the path around each."""
     page = page or ""
-    blocks: list[tuple[int, str, int]] = []
+    blocks: list[tuple[int, str, int, int]] = []
     paths: Counter = Counter()
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, path, state
+    around: dict[int, int] = {}
+    articles = 0
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, path, state, article
     text: list[str] = []
 
     def flush():
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                blocks.append((stack[-1][1], joined, stack[-1][2]))
+                blocks.append((stack[-1][1], joined, min(stack[-1][2], 2), stack[-1][3]))
             text.clear()
 
     at, end = 0, len(page)
@@ -136,18 +144,21 @@ def parse(page: str | None) -> tuple[list[tuple[int, str, int]], Counter]:
             continue
         if stack[-1][0] == "p" and name not in INLINE:
             stack.pop()
-        _, path, state = stack[-1]
-        path = xxhash.xxh64_intdigest(label, path)
+        _, outer, state, article = stack[-1]
+        path = xxhash.xxh64_intdigest(label, outer)
         paths[path] += 1
+        around[path] = outer
         if name in BREAKS and not dropped:
             continue
         if dropped:
             state = 3 if comments or state == 3 else 2
         elif name in ARTICLE and state != 3:
             state = 1
-        stack.append((name, path, state))
+            if not article:
+                article = articles = articles + 1
+        stack.append((name, path, state, article))
     flush()
-    return [(path, joined, min(state, 2)) for path, joined, state in blocks], paths
+    return blocks, paths, around
 
 
 def host_of(url: str | None) -> str | None:
@@ -162,7 +173,7 @@ def _token(path: int, text: str) -> int:
 
 
 def templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
-    """(host, tokens): hashes of the template's text blocks for hosts of ``min_pages`` pages or more.
+    """(host, tokens): hashes of the template's text blocks and elements for hosts of ``min_pages`` pages or more.
 
     Token 0 stands for the page itself, so its vector is that of the root class.
     """
@@ -175,40 +186,52 @@ def templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
                 host = host_of(url)
                 if host is None:
                     continue
-                blocks, tokens = parse(page)
-                text = Counter(_token(p, t) for p, t, _ in blocks)
+                blocks, tokens, _ = parse(page)
+                tokens.update(_token(p, t) for p, t, _, _ in blocks)
                 tokens[0] = 1
-                for part, is_text in ((tokens, False), (text, True)):
-                    for token, n in part.items():
-                        mark = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), key)
-                        old = seen.get((host, token))
-                        seen[host, token] = (1, n, mark, is_text) if old is None else (old[0] + 1, old[1] + n, old[2] ^ mark, is_text)
+                for token, n in tokens.items():
+                    mark = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), key)
+                    old = seen.get((host, token))
+                    seen[host, token] = (1, n, mark) if old is None else (old[0] + 1, old[1] + n, old[2] ^ mark)
             if seen:
                 number = lambda x: pa.array(np.array(list(x), np.uint64).view(np.int64))
                 v = list(seen.values())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([h for h, _ in seen]), number(t for _, t in seen), pa.array([x[0] for x in v], pa.int64()), pa.array([x[1] for x in v], pa.int64()), number(x[2] for x in v), pa.array([x[3] for x in v])],
-                    names=["host", "token", "pages", "total", "vector", "is_text"],
+                    [pa.array([h for h, _ in seen]), number(t for _, t in seen), pa.array([x[0] for x in v], pa.int64()), pa.array([x[1] for x in v], pa.int64()), number(x[2] for x in v)],
+                    names=["host", "token", "pages", "total", "vector"],
                 )
 
     read = pages.where("html is not null and url is not null").select("url", "html", F.xxhash64("page_id").alias("page"))
-    each = read.mapInArrow(vectors, "host string, token long, pages long, total long, vector long, is_text boolean")
-    each = each.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.expr("bit_xor(vector)").alias("vector"), F.max("is_text").alias("is_text"))
+    each = read.mapInArrow(vectors, "host string, token long, pages long, total long, vector long")
+    each = each.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.expr("bit_xor(vector)").alias("vector"))
     each = stored(each.where(F.col("pages") >= min_pages), "vectors")
     hosts = each.where("token = 0").select("host", F.col("pages").alias("n"))
     classes = each.groupBy("host", "pages", "total", "vector").agg(F.count("*").alias("size"))
     valid = classes.join(hosts, "host").where("size >= 2 and total % pages = 0 and 2 * pages >= n").drop("size", "n")
-    return each.where("is_text").join(valid, ["host", "pages", "total", "vector"]).groupBy("host").agg(F.collect_set("token").alias("tokens"))
+    return each.join(valid, ["host", "pages", "total", "vector"]).groupBy("host").agg(F.collect_set("token").alias("tokens"))
 
 
 def main_text(page: str | None, template: frozenset[int]) -> str:
-    blocks, _ = parse(page)
-    inside = [t for _, t, state in blocks if state == 1]
-    if inside:
-        return " ".join(inside)
-    rest = [(p, t) for p, t, state in blocks if state == 0]
-    slots = [t for p, t in rest if _token(p, t) not in template]
-    return " ".join(slots or [t for _, t in rest])
+    blocks, _, around = parse(page)
+    blocks = [b for b in blocks if b[2] < 2]
+    own = [_token(p, t) in template for p, t, _, _ in blocks]
+    if all(own):
+        own = [False] * len(blocks)
+    hint = HINT
+    if all(o for o, b in zip(own, blocks) if b[3]):
+        own, hint = [o and not b[3] for o, b in zip(own, blocks)], 1
+    inside: Counter = Counter()
+    outside: Counter = Counter()
+    for o, (path, text, _, article) in zip(own, blocks):
+        if not o and article:
+            inside[article] += hint * len(text)
+        elif not o:
+            while path and path not in template:
+                path = around[path]
+            outside[path] += len(text)
+    most = max(outside.values(), default=0)
+    keep = (most > max(inside.values(), default=0), most <= inside.total())
+    return " ".join(b[1] for o, b in zip(own, blocks) if not o and keep[b[3] > 0])
 
 
 def extract(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 20_000) -> DataFrame:

@@ -44,3 +44,34 @@ def test_copies_keep_their_text_and_edges(spark):
     assert got[22] == got[23] == got[25] == got[27] == "" and got[24] == "no tags < at <all" and got[28] == "yes"
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert htmltext.extract(empty).count() == 0
+
+
+def texts(spark, pages):
+    rows = [(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)]
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_repeated_boxes_go_inside_an_article_too(spark):
+    def page(i):
+        return f"<body><article><h1>Title {i}</h1><p>Text {i} of the story<div class='vita'><p>Ann writes here about the town and its people.</div><p>Read us by mail</article></body>"
+
+    got = texts(spark, [("a.example", page(i)) for i in range(8)] + [("b.example", page(8))])
+    assert got[:8] == [f"Title {i} Text {i} of the story" for i in range(8)]
+    assert got[8] == "Title 8 Text 8 of the story Ann writes here about the town and its people. Read us by mail"
+    copy = "<body><i>%d</i><main><p>One text that all pages have</p></main></body>"
+    assert texts(spark, [("a.example", copy % i) for i in range(8)]) == ["One text that all pages have"] * 8
+
+
+def test_a_teaser_article_beside_the_main_div(spark):
+    def page(i, teaser, n=1):
+        return f"<body><div class='story'><h1>Title {i}</h1><p>A long story {i} that fills the page, <b>word</b> after word after word.</p><div>And more {i}.</div></div>" + f"<article><a href=x>{teaser}</a></article>" * n + "</body>"
+
+    want = [f"Title {i} A long story {i} that fills the page, word after word after word. And more {i}." for i in range(8)]
+    assert texts(spark, [("a.example", page(i, f"Next: {i + 1}")) for i in range(8)]) == want
+    assert texts(spark, [("a.example", page(i, "Read this now")) for i in range(8)]) == want
+    assert texts(spark, [(f"h{i}.example", page(i, f"Next: {i + 1}")) for i in range(8)]) == want
+    # Where neither side outweighs the other, nothing is lost.
+    assert texts(spark, [("c.example", page(1, "Next: 2", 9))]) == [want[1] + " Next: 2" * 9]
+    # A short article keeps its hint beside a longer line of the site.
+    assert texts(spark, [("c.example", "<body><p>Seen by 12345 people</p><article>Rain at noon.</article></body>")]) == ["Rain at noon."]
