@@ -13,7 +13,8 @@ what stands between its elements are the slots.
 A slot is what stands in one template element and in no smaller one; a page without
 a template is one slot. Slots inside menus, headers, footers, sidebars, notices,
 adverts, forms and comments, which are told by element, role, or the words of class
-and id, are never the article. Of the others, ``article`` and ``main`` are a hint
+and id, are never the article; but words alone drop neither what holds most of a page
+that has no text in an article outside it, nor all that is left. Of the others, ``article`` and ``main`` are a hint
 that counts as twice the text: the elements are kept alone if the largest of them
 outweighs every slot outside, the slots outside alone if one of these outweighs all
 elements together (which are teasers then), and else both. Template text goes
@@ -28,6 +29,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from itertools import count
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -57,13 +59,24 @@ DROPPED_WORDS = COMMENT_WORDS | frozenset(
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# First words of names that say what an element has or lacks, and words of those whose header is the headline.
+HAVING = frozenset("has have no not non without with is show hide".split())
+HEADED = frozenset("article post entry story content".split())
+
 _WORDS = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _marks(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """What qualifies an element, whether it is dropped, and whether for holding comments."""
-    label, words, dropped = [], set(), name in DROPPED
+def _names_part(name: str) -> bool:
+    """Whether a single class or id names a part that is not the article."""
+    words = _WORDS.findall(name)
+    parts = DROPPED_WORDS.intersection(words)
+    return bool(parts) and words[0] not in HAVING and not (parts == {"header"} and HEADED.intersection(words))
+
+
+def _marks(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """What qualifies an element, whether it is dropped, whether for holding comments, and whether its names alone drop it."""
+    label, words, dropped, named = [], set(), name in DROPPED, False
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -73,11 +86,11 @@ def _marks(name: str, attributes: str) -> tuple[str, bool, bool]:
                 dropped = True
             elif key in ("class", "id"):
                 label.append(value)
-                words.update(_WORDS.findall(value))
-    comments = bool(words & COMMENT_WORDS)
-    if name not in ROOTS:
-        dropped |= comments if name in ARTICLE else bool(words & DROPPED_WORDS)
-    return ".".join([name, *label]), dropped, comments
+                words.update(value.split())
+    parts = {w for w in words if _names_part(w)} if name not in ROOTS else set()
+    comments = any(COMMENT_WORDS.intersection(_WORDS.findall(w)) for w in parts)
+    named = bool(parts) and name not in ARTICLE and not comments and not dropped
+    return ".".join([name, *label]), dropped or comments, comments, named
 
 
 def parse(page: str | None) -> tuple[list[tuple[int, str, int, int]], Counter, dict[int, int]]:
@@ -86,8 +99,9 @@ def parse(page: str | None) -> tuple[list[tuple[int, str, int, int]], Counter, d
     blocks: list[tuple[int, str, int, int]] = []
     paths: Counter = Counter()
     around: dict[int, int] = {}
-    articles = 0
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, path, state, article
+    articles, numbers = 0, count()
+    named: list[tuple[int, ...]] = []
+    stack: list[tuple[str, int, int, int, tuple[int, ...]]] = [("", 0, 0, 0, ())]  # name, path, state, article, elements dropped by name
     text: list[str] = []
 
     def flush():
@@ -95,6 +109,7 @@ def parse(page: str | None) -> tuple[list[tuple[int, str, int, int]], Counter, d
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
                 blocks.append((stack[-1][1], joined, min(stack[-1][2], 2), stack[-1][3]))
+                named.append(stack[-1][4])
             text.clear()
 
     at, end = 0, len(page)
@@ -127,8 +142,8 @@ def parse(page: str | None) -> tuple[list[tuple[int, str, int, int]], Counter, d
                 stop = stop or (name == "head" and re.compile(r"(?=<body)", re.I).search(page, at)) or None
                 at = stop.end() if stop else end
             continue
-        label, dropped, comments = _marks(name, m[3]) if not closing and (m[3] or name in DROPPED) else (name, False, False)
-        if name in INLINE and not dropped:
+        label, dropped, comments, by_name = _marks(name, m[3]) if not closing and (m[3] or name in DROPPED) else (name, False, False, False)
+        if name in INLINE and not dropped and not by_name:
             if not (closing and any(s[0] == name for s in stack[1:])):
                 continue
         flush()
@@ -144,21 +159,40 @@ def parse(page: str | None) -> tuple[list[tuple[int, str, int, int]], Counter, d
             continue
         if stack[-1][0] == "p" and name not in INLINE:
             stack.pop()
-        _, outer, state, article = stack[-1]
+        _, outer, state, article, names = stack[-1]
         path = xxhash.xxh64_intdigest(label, outer)
         paths[path] += 1
         around[path] = outer
-        if name in BREAKS and not dropped:
+        if name in BREAKS and not dropped and not by_name:
             continue
+        if by_name:
+            names = (*names, next(numbers)) if len(names) < 64 else names
         if dropped:
             state = 3 if comments or state == 3 else 2
         elif name in ARTICLE and state != 3:
-            state = 1
+            state, names = 1, ()
             if not article:
                 article = articles = articles + 1
-        stack.append((name, path, state, article))
+        stack.append((name, path, state, article, names))
     flush()
-    return blocks, paths, around
+    return _without_named(blocks, named), paths, around
+
+
+def _without_named(blocks: list[tuple[int, str, int, int]], named: list[tuple[int, ...]]) -> list[tuple[int, str, int, int]]:
+    """Blocks with those of elements dropped by name as dropped, unless that takes most of the page's text or all of it."""
+    if not any(named):
+        return blocks
+    held: Counter = Counter()
+    total = 0
+    for (_, text, state, _), names in zip(blocks, named):
+        if state < 2:
+            total += len(text)
+            held.update(dict.fromkeys(names, len(text)))
+    article = any(state == 1 and not names for (_, _, state, _), names in zip(blocks, named))
+    gone = [state < 2 and any(article or 2 * held[n] <= total for n in names) for (_, _, state, _), names in zip(blocks, named)]
+    if all(g or b[2] == 2 for g, b in zip(gone, blocks)):
+        return blocks
+    return [(p, t, 2, a) if g else (p, t, state, a) for g, (p, t, state, a) in zip(gone, blocks)]
 
 
 def host_of(url: str | None) -> str | None:

@@ -75,3 +75,15 @@ def test_a_teaser_article_beside_the_main_div(spark):
     assert texts(spark, [("c.example", page(1, "Next: 2", 9))]) == [want[1] + " Next: 2" * 9]
     # A short article keeps its hint beside a longer line of the site.
     assert texts(spark, [("c.example", "<body><p>Seen by 12345 people</p><article>Rain at noon.</article></body>")]) == ["Rain at noon."]
+
+
+def test_names_drop_parts_but_not_the_page(spark):
+    story = "<h1>Title</h1><p>All that the page has to say, in more words than the menu has.</p>"
+    want = "Title All that the page has to say, in more words than the menu has."
+    wraps = ["<div class='page has-sidebar'>%s</div>", "<div id='content' class='no-ads'>%s</div>", "<div class='widget'>%s</div>", "<div class='banner'><div class='promo-box main-menu'>%s</div></div>"]
+    pages = [f"<body><div class='top-menu'>Home</div>{w % story}<p class='notice'>no</p><div class='comment-list'>{'no ' * 99}</div></body>" for w in wraps]
+    assert texts(spark, [(f"h{i}.example", p) for i, p in enumerate(pages)]) == [want] * len(pages)
+    headline = "<body><div><div class='article-header'><h1>Title</h1></div><p>A text of some words.</p></div><div class='site_footer share'>no</div></body>"
+    left = "<body><nav>no</nav><div class='ad'>one</div><div class='promo'>two</div></body>"
+    advert = f"<body><div class='ad'>{'no ' * 99}</div><article>One word<div class='share'>{'no ' * 99}</div></article></body>"
+    assert texts(spark, [("a.example", headline), ("b.example", left), ("c.example", advert)]) == ["Title A text of some words.", "one two", "One word"]
