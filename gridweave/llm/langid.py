@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridweave.llm.common import batches_of, mix64, text_bytes
 
@@ -78,39 +79,57 @@ def _margins(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray, window:
     return total / np.maximum(count, 1)[:, None]
 
 
-def _features(texts: list[str], buckets: int) -> np.ndarray:
-    """Share of each bucket among a text's n-grams (training only: the sample is bounded)."""
-    out = np.zeros((len(texts), buckets), dtype=np.float32)
-    for row, text in zip(out, texts):
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        for n, at in _grams(raw, buckets):
-            np.add.at(row, at[: max(0, len(raw) - n + 1)], 1)
-        row /= max(1.0, row.sum())
+def _counts(raw: np.ndarray, buckets: int, window: int = 1 << 18) -> np.ndarray:
+    """How many n-grams of a text fall in each bucket; memory is for one window."""
+    out = np.zeros(buckets, np.int64)
+    for start in range(0, len(raw), window):
+        for n, at in _grams(raw[start : start + window + max(ORDERS) - 1], buckets):
+            out += np.bincount(at[: max(0, min(window, len(raw) - n + 1 - start))], minlength=buckets)
     return out
 
 
-def fit(docs: DataFrame, max_docs: int = 600, max_chars: int = 4000, buckets: int = 8192, rounds: int = 150) -> LanguageModel:
+def _features(docs: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, hash, bucket, n): the n-gram counts of every text, whole, without the empty buckets."""
+
+    def run(it):
+        for batch in batches_of(it, "text", 4 << 20):
+            raw, offsets = text_bytes(batch.column("text"))
+            counts = [_counts(raw[a:b], buckets) for a, b in zip(offsets, offsets[1:])]
+            full = [np.flatnonzero(c) for c in counts]
+            off = pa.array(np.r_[0, np.cumsum([len(f) for f in full])], pa.int32())
+            cols = [pa.array(np.concatenate([*full, np.zeros(0, np.int64)]), pa.int32()), pa.array(np.concatenate([*(c[f] for c, f in zip(counts, full)), np.zeros(0, np.int64)]))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *(pa.ListArray.from_arrays(off, c) for c in cols)], names=["doc_id", "hash", "bucket", "n"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return rows.mapInArrow(run, rows.drop("text").schema.add("bucket", T.ArrayType(T.IntegerType())).add("n", T.ArrayType(T.LongType())))
+
+
+def fit(docs: DataFrame, max_docs: int = 600, buckets: int = 8192, rounds: int = 150) -> LanguageModel:
     """Fits on ``docs`` (doc_id, text, lang), rows of null lang or text aside.
 
     Bounded sample, chosen by a hash of doc_id: ``max_docs`` texts of each
-    language, of which at most ``max_chars`` characters are looked at. Languages
+    language, read whole; only their bucket counts reach the driver. Languages
     are few; their count is the number of classes.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     langs = tuple(sorted(r.lang for r in rows.groupBy("lang").agg(F.count("*")).collect()))
-    order, cut = F.xxhash64(F.lit(29), "doc_id"), F.substring("text", 1, max_chars).alias("text")
+    order = F.xxhash64(F.lit(29), "doc_id")
     sample = []
     for lang in langs:
         picked = rows.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_docs)
-        of_lang = rows.where(F.col("lang") == lang).join(F.broadcast(picked), "doc_id").select("doc_id", cut)
-        sample += [(lang, r.text) for r in of_lang.orderBy("doc_id", "text").limit(max_docs).collect()]
+        of_lang = _features(rows.where(F.col("lang") == lang).join(F.broadcast(picked), "doc_id"), buckets)
+        found = of_lang.orderBy("doc_id", "hash").limit(max_docs).select("bucket", "n").toArrow()
+        sample += [(lang, np.array(b), np.array(n)) for b, n in zip(found["bucket"].to_pylist(), found["n"].to_pylist())]
     codes = codewords(len(langs)) if len(langs) > 1 else np.ones((len(langs), 0), np.float32)
     if codes.shape[1] == 0:
         return LanguageModel(langs, codes, np.zeros(0), np.zeros((buckets, 0), np.float32), np.zeros(0))
-    x, y = _features([t for _, t in sample], buckets), codes[[langs.index(lang) for lang, _ in sample]]
+    x, y = np.zeros((len(sample), buckets), np.float32), codes[[langs.index(lang) for lang, _, _ in sample]]
+    for row, (_, bucket, n) in zip(x, sample):
+        if len(bucket):
+            row[bucket] = n / n.sum()
     center = x.mean(axis=0)
     scale = 1 / np.sqrt(np.maximum(center, 1e-5))
-    z, each = (x - center) * scale, 1 / np.array([sum(lang == other for other, _ in sample) for lang, _ in sample], np.float32)[:, None]
+    z, each = (x - center) * scale, 1 / np.array([sum(lang == other for other, _, _ in sample) for lang, _, _ in sample], np.float32)[:, None]
     w, rate = np.zeros((buckets, y.shape[1]), np.float32), 2.0 / max(1e-6, float((z * z).sum(axis=1).mean()))
     for _ in range(rounds):
         pull = each / each.mean() * y / (1 + np.exp(y * (z @ w)))

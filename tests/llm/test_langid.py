@@ -1,3 +1,5 @@
+import numpy as np
+
 from gridweave.llm import langid
 from gridweave.llm.queries import op9_language
 
@@ -30,3 +32,13 @@ def test_edges(spark):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(docs.limit(0))).collect()} == {"und"}
     assert langid.predict(odd, langid.fit(docs.where("lang = 'en'"))).where("doc_id = 5").first().lang_pred == "en"
     assert langid.predict(odd.limit(0), model).count() == 0
+
+
+def test_training_reads_whole_texts(spark):
+    shared = "lorem ipsum dolor sit amet " * 400
+    rows = [(i, shared + ("the and of to " if i % 2 else "der die und das ") * 400, "en" if i % 2 else "de") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = spark.createDataFrame([(1, "the and of to"), (2, "der die und das")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(odd, model).collect()} == {1: "en", 2: "de"}
+    raw = np.frombuffer(("abc d" * 9).encode(), np.uint8)
+    assert all((langid._counts(raw, 64, w) == langid._counts(raw, 64)).all() for w in (1, 7, 44, 45))
