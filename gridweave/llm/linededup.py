@@ -5,7 +5,9 @@ one aggregation counts occurrences, merges HyperLogLog sketches of the sites and
 keeps the first place. A line whose estimate lies clearly above the threshold is
 boilerplate, one clearly below is not; lines near it get an exact distinct count.
 Every occurrence of a boilerplate line but its first (smallest doc_id, then
-position) goes, so that no text vanishes from the corpus altogether.
+position) goes, so that no text vanishes from the corpus altogether. Rows of null
+doc_id lose lines like all others, and hold the first place of a line only if no
+row of known doc_id has it (then by position and hash of the text).
 
 Lines of fewer than ``min_chars`` trimmed characters and null sites do not count.
 Null texts stay null, and empty texts empty; a text may become empty. Rows that
@@ -22,6 +24,12 @@ from gridweave.llm.common import stored
 KEY = ["__h1", "__h2"]
 
 
+def _place():
+    """Where a line stands, in order; null doc_ids come last and are told apart by their texts."""
+    lost = F.col("__doc").isNull()
+    return F.struct(lost.alias("lost"), "__doc", "__pos", F.when(lost, F.col("__row")).alias("row"))
+
+
 def _lines(docs: DataFrame, text: str, site: str, min_chars: int) -> DataFrame:
     line = F.trim("__line")
     split = docs.select(
@@ -39,7 +47,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 16, text:
     found = lines.groupBy(*KEY).agg(
         F.count("*").alias("n"),
         F.hll_sketch_estimate(F.hll_sketch_agg(F.col("__site").cast("string"), lg_k)).alias("sites"),
-        F.min(F.struct("__doc", "__pos")).alias("__first"),
+        F.min(_place()).alias("__first"),
     )
     # Three standard errors of the sketch around the threshold; n bounds the sites from above.
     margin = 3 * 1.04 / 2 ** (lg_k / 2)
@@ -57,10 +65,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 16
     """``docs`` with those lines cut from ``text``, and columns n_lines and n_removed (replaced if there)."""
     lines = _lines(docs, text, site, min_chars)
     gone = lines.join(boilerplate(docs, min_sites, min_chars, text, site, lg_k), KEY)
-    gone = gone.where((F.col("__first.__doc") != F.col("__doc")) | (F.col("__first.__pos") != F.col("__pos")))
-    gone = gone.groupBy("__doc", "__row").agg(F.collect_set("__pos").alias("__gone"))
+    gone = gone.where(F.col("__first") != _place())
+    gone = gone.groupBy(F.col("__doc").alias("__d"), F.col("__row").alias("__r")).agg(F.collect_set("__pos").alias("__gone"))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.withColumns({"__doc": F.col("doc_id"), "__row": F.xxhash64(text)}).join(gone, ["__doc", "__row"], "left")
+    out = docs.withColumns({"__doc": F.col("doc_id"), "__row": F.xxhash64(text)})
+    out = out.join(gone, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left")
     parts = F.split(text, "\n", -1)
     cut = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
     return out.select(

@@ -27,3 +27,13 @@ def test_edges(spark):
     got = sorted((r.doc_id, r.text if r.doc_id < 6 else len(r.text), r.n_lines, r.n_removed) for r in linededup.remove_boilerplate(docs, min_sites=2).collect() if r.text is not None)
     assert got == [(2, "", 1, 0), (3, "the very same line here\n", 2, 0), (3, "the very same line here\n", 2, 0), (4, "", 1, 1), (5, "x", 3, 2), (6, 2_000_000, 1, 0)]
     assert linededup.remove_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_null_doc_ids_lose_lines_and_keep_none_from_others(spark):
+    line = "the very same line here"
+    docs = spark.createDataFrame([(None, line + "\na", "a"), (2, line + "\nb", "b"), (3, line + "\nc", "c"), (None, f"d\n{line}", "d"), (None, "only rows of no id\nx", "a"), (None, "only rows of no id\ny", "b"), (None, "z\nonly rows of no id", "b")], "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in linededup.remove_boilerplate(docs, min_sites=2).collect())
+    assert got[-2:] == [(2, line + "\nb", 2, 0), (3, "c", 2, 1)]
+    assert {("a", 1), ("d", 1), ("z", 1)} <= {(t, n) for _, t, _, n in got}
+    rest = sorted(t for _, t, _, _ in got if t[-1] in "xy")
+    assert rest in (["only rows of no id\nx", "y"], ["only rows of no id\ny", "x"])
