@@ -14,6 +14,7 @@ Equal vectors are one class: searched once, and widened at the end.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -88,19 +89,25 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     """(query_id, rank, vec_id, score): the ``k`` nearest found for every query row, by cosine.
 
     Ties go to the smaller key. Candidates are all rows but the query's own.
-    Vectors that are null, zero, hold null or non-finite parts or are shorter than
-    the table's longest take no part. Keys must be unique longs; a row of null key
+    Vectors that are null, zero or hold null or non-finite parts take no part; the
+    others are compared with those of their length, each length with its own curves
+    and in a run of its own. Keys must be unique longs; a row of null key
     is dropped. Fewer rows than ``k`` give as many results as there are.
     """
     spark = df.sparkSession
     df = df.where(F.col(key).isNotNull())
     rows = usable_vectors(df.withColumn("__q", is_query), key, vector).withColumn("__d", F.size("__v"))
-    queries = usable_vectors(df.where(is_query), key, vector).select(key, "__h1", "__h2")
-    facts = rows.agg(F.count("*").alias("n"), F.max("__d").alias("d")).first()
+    queries = usable_vectors(df.where(is_query), key, vector).select(key, "__h1", "__h2", F.size("__v").alias("__d"))
+    lengths = sorted(r["__d"] for r in rows.groupBy("__d").agg(F.count("*").alias("n")).collect() if r.n > 1)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not facts.n:
+    if not lengths:
         return empty
-    rows = rows.where(F.col("__d") == facts.d)
+    return functools.reduce(DataFrame.unionByName, [_of_length(rows.where(F.col("__d") == d), queries.where(F.col("__d") == d), d, k, key, curves, ranges, block) for d in lengths])
+
+
+def _of_length(rows: DataFrame, queries: DataFrame, d: int, k: int, key: str, curves: int, ranges: int, block: int) -> DataFrame:
+    """The results of ``nearest`` for usable vectors of length ``d``."""
+    spark = rows.sparkSession
     # The k + 1 smallest keys of each class, first within salts so that a large class is no single task's work.
     salted = Window.partitionBy("__h1", "__h2", F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)
     whole = Window.partitionBy("__h1", "__h2").orderBy(key)
@@ -111,7 +118,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     classes = rows.groupBy("__h1", "__h2").agg(F.min(key).alias("rep"), F.first("__v").alias("v"))
     classes = stored(classes.join(members, ["__h1", "__h2"]).join(asked, ["__h1", "__h2"], "left"), "classes")
 
-    say = spark.sparkContext.broadcast(Curves(facts.d, curves))
+    say = spark.sparkContext.broadcast(Curves(d, curves))
 
     def keyed(it):
         for batch in it:

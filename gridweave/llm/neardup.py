@@ -16,6 +16,7 @@ classes are compared block by block, each pair of blocks a group of its own.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -63,22 +64,28 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     Links are pairs of found cosine >= ``threshold``; n_links counts the rows
     linked directly, component_id is the smallest key reachable, kept marks it.
-    Vectors that are null, zero or hold null or non-finite parts, or are not as
-    long as the table's longest, link with nothing. ``recall`` is that of a pair
+    Vectors that are null, zero or hold null or non-finite parts link with nothing,
+    and others with those of their length only; each length has its own hashes and
+    is compared in a run of its own. ``recall`` is that of a pair
     just at the threshold; closer pairs are found with more. Keys must be unique
     longs; a row of null key is dropped.
     """
-    spark = df.sparkSession
     df = df.where(F.col(key).isNotNull())
     rows = usable_vectors(df, key, vector).withColumn("__d", F.size("__v"))
-    facts = rows.agg(F.count("*").alias("n"), F.max("__d").alias("d")).first()
+    lengths = sorted((r["__d"], r.n) for r in rows.groupBy("__d").agg(F.count("*").alias("n")).collect() if r.n > 1)
     lone = df.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
-    if not facts.n:
+    if not lengths:
         return lone
-    rows = rows.where(F.col("__d") == facts.d)
+    parts = [_of_length(rows.where(F.col("__d") == d), d, n, key, threshold, recall, block) for d, n in lengths]
+    out = df.select(key).join(functools.reduce(DataFrame.unionByName, parts), key, "left")
+    return out.select(key, F.coalesce("__n", F.lit(0)).alias("n_links"), F.coalesce("__c", key).alias("component_id"), F.coalesce(F.col("__c") == F.col(key), F.lit(True)).alias("kept"))
+
+
+def _of_length(rows: DataFrame, d: int, n: int, key: str, threshold: float, recall: float, block: int) -> DataFrame:
+    """(key, __n, __c): links and component of ``n`` usable vectors of length ``d``."""
     classes = stored(rows.groupBy("__h1", "__h2").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("__v").alias("v")), "classes")
-    hashes = Hashes(facts.d, facts.n, threshold, recall)
-    said = spark.sparkContext.broadcast(hashes)
+    hashes = Hashes(d, n, threshold, recall)
+    said = rows.sparkSession.sparkContext.broadcast(hashes)
 
     def to_buckets(it):
         for batch in it:
@@ -143,9 +150,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     comp = components(found.where("edge").select("u", F.col("x").alias("v")), "vectors").withColumnRenamed("node", "rep")
     per_class = classes.select("__h1", "__h2", "rep", "copies").join(links, "rep", "left").join(comp, "rep", "left")
     member = rows.select(key, "__h1", "__h2").join(per_class, ["__h1", "__h2"])
-    member = member.select(key, (F.coalesce("__links", F.lit(0)) + F.col("copies") - 1).alias("__n"), F.coalesce("component", "rep").alias("__c"))
-    out = df.select(key).join(member, key, "left")
-    return out.select(key, F.coalesce("__n", F.lit(0)).alias("n_links"), F.coalesce("__c", key).alias("component_id"), F.coalesce(F.col("__c") == F.col(key), F.lit(True)).alias("kept"))
+    return member.select(key, (F.coalesce("__links", F.lit(0)) + F.col("copies") - 1).alias("__n"), F.coalesce("component", "rep").alias("__c"))
 
 
 def _apart(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -56,3 +56,13 @@ def test_copies_ties_and_edges(spark):
     assert got[0] == [i for i, _ in brute(rows, [0])[0]]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert ann.nearest(df.where("vec_id in (0, 3)"), F.col("vec_id") == 0).count() == 1
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(3)
+    short, long = ({i: [float(x) for x in rng.normal(size=n)] for i in range(a, b)} for a, b, n in ((0, 20, 6), (95, 103, 9)))
+    df = spark.createDataFrame([*(short | long | {150: [1.0] * 12}).items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, ranges=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in brute(rows, [q])[q]] for q, rows in ((0, short), (100, long))}

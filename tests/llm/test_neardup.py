@@ -48,3 +48,14 @@ def test_edges(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(df, recall=0.9999).collect()}
     assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (0, 8), 9: (0, 9), 10: (0, 10)}
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_every_length_is_compared(spark):
+    rng = np.random.default_rng(2)
+    short = {i: rng.normal(size=8) for i in range(30)} | {100 + i: rng.normal(size=8) * 0.01 for i in range(3)}
+    short |= {50 + i: short[i % 4] + rng.normal(size=8) * 0.05 for i in range(12)}
+    long = {200 + i: rng.normal(size=12) for i in range(3)}
+    long |= {210 + i: long[200] * (i + 2) for i in range(3)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in (short | long | {300: np.ones(20)}).items()], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df, recall=0.9999).collect()}
+    assert got == brute(short) | brute(long) | {300: (0, 300, True)}
