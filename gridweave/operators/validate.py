@@ -137,6 +137,12 @@ def scenario_delta(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> D
     return a.join(y, key).agg(*[F.max(F.abs(F.col(f) - F.col(f"__{f}"))).alias(f"d_{f}") for f in fields])
 
 
+def scenario_deltas(a: DataFrame, reference: DataFrame, scenario: str, key: str, fields: list[str]) -> DataFrame:
+    """As ``scenario_delta``, of every scenario of ``a`` from one operating point; null where they share no key."""
+    y = reference.select(key, *[F.col(f).alias(f"__{f}") for f in fields])
+    return a.join(y, key, "left").groupBy(scenario).agg(*[F.max(F.abs(F.col(f) - F.col(f"__{f}"))).alias(f"d_{f}") for f in fields])
+
+
 def tables_equal_rounded(a: DataFrame, b: DataFrame, digits: int = 12) -> DataFrame:
     """Rows in one table and not in the other after rounding, with the side they are on."""
     cols = a.columns

@@ -136,6 +136,14 @@ def scenario_delta(spark, sf):
     return out(d, **same("d_p_set", "d_vm"))
 
 
+@query("scenario_deltas", oracle("with p as (select scenario_id, bus, p_set, vm from {bus}), m as (select min(scenario_id) as a from p) select x.scenario_id, round(max(abs(x.p_set - y.p_set)), 6) + 0e0 as d_p_set, round(max(abs(x.vm - y.vm)), 6) + 0e0 as d_vm from p x left join (select p.* from p join m on scenario_id = a) y on x.bus = y.bus group by 1"))
+def scenario_deltas(spark, sf):
+    """Every operating point against the first one."""
+    b = load(spark, sf, "bus")
+    first = b.where(F.col("scenario_id") == b.agg(F.min("scenario_id")).first()[0])
+    return out(validate.scenario_deltas(b, first, "scenario_id", "bus", ["p_set", "vm"]), "scenario_id", **same("d_p_set", "d_vm"))
+
+
 @query("tables_equal", oracle(f"with {LATER}, a as (select scenario_id, bus, round(p_set, 6) + 0e0 as p_set from {{bus}}), b as (select scenario_id, bus, round(p_set, 6) + 0e0 as p_set from later) select *, 'a' as side from (select * from a except all select * from b) q union all select *, 'b' from (select * from b except all select * from a) r"))
 def tables_equal(spark, sf):
     cols = ["scenario_id", "bus", "p_set"]
@@ -512,8 +520,7 @@ def sample_envelope(spark, sf):
 @query("expand_scenarios")
 def expand_scenarios(spark, sf):
     e = load(spark, sf, "element")
-    p = scenarios.presets(spark).where("level in ('A', 'C')")
-    d = scenarios.jitter_elements(scenarios.expand_scenarios(e, 3, p), clean.controller_conflicts(e))
+    d = scenarios.jitter_elements(scenarios.expand_scenarios(e, 3, scenarios.presets(spark)), clean.controller_conflicts(e))
     return d.select("scenario_id", "draw", "level", "kind", "bus", "p_mw", "q_mvar", "vm_pu")
 
 

@@ -25,3 +25,34 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(catalog.QUERIES) <= set(e.queries())
+
+
+def test_expansion_of_all_levels_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from gridweave.functions.numbers import normal, uniform
+    from gridweave.operators import clean, scenarios
+    from gridweave.plans.tables import load
+
+    e = load(spark, SF, "element")
+    tight = {(r.scenario_id, r.bus) for r in clean.controller_conflicts(e).collect()}
+    levels = {r.level: r for r in scenarios.presets(spark).collect()}
+    assert len(levels) == 5
+    key = ["scenario_id", "draw", "level", "kind", "bus"]
+    every = e.crossJoin(spark.range(3).withColumnRenamed("id", "draw")).crossJoin(spark.createDataFrame([(x,) for x in levels], "level string"))
+    drawn = every.select(*key, "p_mw", "q_mvar", "vm_pu", uniform(42, "scenario_id", "draw", "level").alias("u"), *[normal(43 + k, *key).alias(f"n{k}") for k in range(3)], uniform(46, *key).alias("v"))
+    want = []
+    for r in drawn.collect():
+        s = levels[r.level]
+        scale = max(0.05, s.scale_lo + (s.scale_hi - s.scale_lo) * r.u)
+        load_ = r.kind == "load"
+        p = None if r.p_mw is None else r.p_mw * scale * (1 + s.sigma_p * r.n0) if load_ else max(r.p_mw * scale, 0.0) * (1 + s.sigma_gen * r.n2)
+        q = None if r.q_mvar is None else r.q_mvar * scale * (1 + s.sigma_q * r.n1)
+        vm = s.vm_lo + (s.vm_hi - s.vm_lo) * r.v if r.kind == "gen" and (r.scenario_id, r.bus) not in tight else r.vm_pu
+        want.append((r.scenario_id, r.draw, r.level, r.kind, r.bus, *(None if x is None else round(x, 9) + 0.0 for x in (p, q, vm))))
+    cols = [*key, *[(F.round(c, 9) + 0.0).alias(c) for c in ("p_mw", "q_mvar", "vm_pu")]]
+    got = [tuple(r) for r in catalog.QUERIES["expand_scenarios"](spark, SF).select(*cols).collect()]
+    order = lambda r: tuple(map(repr, r))
+    got, want = sorted(got, key=order), sorted(want, key=order)
+    assert len(got) == len(want) and all(a[:5] == b[:5] for a, b in zip(got, want))
+    assert all(x == y or abs(x - y) < 1e-8 for a, b in zip(got, want) for x, y in zip(a[5:], b[5:]))
