@@ -56,3 +56,14 @@ def test_expansion_of_all_levels_by_hand(spark):
     got, want = sorted(got, key=order), sorted(want, key=order)
     assert len(got) == len(want) and all(a[:5] == b[:5] for a, b in zip(got, want))
     assert all(x == y or abs(x - y) < 1e-8 for a, b in zip(got, want) for x, y in zip(a[5:], b[5:]))
+
+
+def test_distinct_bases_of_many_files(spark, monkeypatch, tmp_path):
+    from gridweave.plans import scenarios
+
+    buses = scenarios.load(spark, SF, "bus")
+    monkeypatch.setattr(scenarios, "load", lambda *a: buses.repartition(5, "vn_kv", "bus"))
+    monkeypatch.setattr(scenarios, "_shared", lambda spark: f"file://{tmp_path}/bases")
+    got = [tuple(r) for r in catalog.QUERIES["distinct_bases"](spark, SF).collect()]
+    assert got == [(1, buses.select("vn_kv").distinct().count())]
+    assert len(list((tmp_path / "bases").glob("part-*.parquet"))) > 1
