@@ -9,6 +9,9 @@ position) goes, so that no text vanishes from the corpus altogether. Rows of nul
 doc_id lose lines like all others, and hold the first place of a line only if no
 row of known doc_id has it (then by position and hash of the text).
 
+Documents without a boilerplate line are told by a table of bits of the lines'
+hashes, of bounded size, and pass by; only the others are joined with what they lose.
+
 Lines of fewer than ``min_chars`` trimmed characters and null sites do not count.
 Null texts stay null, and empty texts empty; a text may become empty. Rows that
 repeat (same doc_id and text) are treated alike.
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import stored
 
 KEY = ["__h1", "__h2"]
+SLOTS = 1 << 17
 
 
 def _place():
@@ -61,19 +65,33 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 16, text:
     return stored(kept, "boilerplate")
 
 
+def _may_be_among(found: DataFrame, min_chars: int):
+    """A test of a line that holds for every line in ``found`` and for few others: a bit per hash in ``SLOTS``."""
+    slot = F.pmod(F.col(KEY[0]), F.lit(SLOTS))
+    words = found.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 32 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits"))
+    bits = {r.word: r.bits for r in words.collect()}
+    table = F.expr("array(" + ",".join(f"{bits.get(w, 0)}L" for w in range(SLOTS // 32)) + ")")
+
+    def test(line):
+        slot = F.pmod(F.xxhash64(F.trim(line)), F.lit(SLOTS)).cast("int")
+        return (F.length(F.trim(line)) >= min_chars) & (F.getbit(F.get(table, F.shiftright(slot, 5)), slot % 32) == 1)
+
+    return test
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 16, text: str = "text", site: str = "source", lg_k: int = 12) -> DataFrame:
     """``docs`` with those lines cut from ``text``, and columns n_lines and n_removed (replaced if there)."""
-    lines = _lines(docs, text, site, min_chars)
-    gone = lines.join(boilerplate(docs, min_sites, min_chars, text, site, lg_k), KEY)
-    gone = gone.where(F.col("__first") != _place())
+    found = boilerplate(docs, min_sites, min_chars, text, site, lg_k)
+    gone = _lines(docs, text, site, min_chars).join(found, KEY).where(F.col("__first") != _place())
     gone = gone.groupBy(F.col("__doc").alias("__d"), F.col("__row").alias("__r")).agg(F.collect_set("__pos").alias("__gone"))
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.withColumns({"__doc": F.col("doc_id"), "__row": F.xxhash64(text)})
-    out = out.join(gone, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left")
     parts = F.split(text, "\n", -1)
+    cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines")
+    asked = docs.withColumn("__asked", F.coalesce(F.exists(parts, _may_be_among(found, min_chars)), F.lit(False)))
+    sure = asked.where("not __asked").select(*cols, n_lines, F.lit(0).cast("long").alias("n_removed"))
+    asked = asked.where("__asked").withColumns({"__doc": F.col("doc_id"), "__row": F.xxhash64(text)})
+    # The texts stream past a hash table of positions instead of being sorted.
+    asked = asked.join(gone.hint("shuffle_hash"), F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left")
     cut = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
-    return out.select(
-        *[cut.alias(c) if c == text else F.col(c) for c in cols],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-    )
+    removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed")
+    return sure.unionByName(asked.select(*[cut.alias(c) if c == text else F.col(c) for c in cols], n_lines, removed))
