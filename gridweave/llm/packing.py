@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.common import batches_of, stored
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 class _Encoder:
