@@ -9,9 +9,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +72,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def maybe_among(keys: DataFrame, key: str, most: int = 1 << 25) -> Column:
+    """A test of column ``key`` that holds for every value in ``keys`` and for few others.
+
+    A bit per hash of a key, at most ``most`` of them (4 MB), whatever the input; as
+    they fill, the test only holds for more. It spares what surely has no partner a
+    shuffle; a join still decides. A null key fails.
+    """
+    bits = min(most, max(1 << 10, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    marked = keys.where(F.col(key).isNotNull()).select(slot.alias("slot")).groupBy(F.expr("cast(slot div 32 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits"))
+    found = marked.toArrow()
+    table = np.zeros(bits // 32, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    told = keys.sparkSession.sparkContext.broadcast(table.astype(np.uint32))
+
+    def test(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy(np.int64)
+        return pd.Series((told.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return F.pandas_udf(test, "boolean")(slot) & F.col(key).isNotNull()
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
