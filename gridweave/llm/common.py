@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,31 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_rows_at_once(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets Spark hand Python tasks ``rows`` rows at a time, as whole texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Workers outlive their tasks, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freeing(run: Callable) -> Callable:
+    """The function of a task, with its memory given back at the end."""
+
+    @functools.wraps(run)
+    def wrapped(it):
+        yield from run(it)
+        give_back()
+
+    return wrapped
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column end to end, and where each row begins; null is empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

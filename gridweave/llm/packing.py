@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import batches_of, stored
+from gridweave.llm.common import batches_of, few_rows_at_once, freeing, stored
 
 CACHE_WORDS = 200_000
 
@@ -51,7 +51,8 @@ class _Encoder:
         self.seen, self.flat, self.size = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[i : i + 4096] for i in range(0, len(texts), 4096))
+        return [np.array(e.ids, np.uint32) for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         """Places of the chunks among those remembered."""
@@ -95,11 +96,12 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
     Null texts count as empty; an empty text is the end id alone. A repeated
     doc_id gives repeated pieces. ``tokenizer`` is a path that executors can read.
     """
+    few_rows_at_once(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(it):
         encode = _encoder(tokenizer)
-        for batch in batches_of(it, "text", 8 << 20):
+        for batch in batches_of(it, "text", 4 << 20):
             out = defaultdict(list)
             for doc, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 found = np.append(found, end_id).astype("<u4")
@@ -114,7 +116,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), schema)
 
 
 @dataclass

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.common import few_rows_at_once
+
 # Kinds in reporting order, local-part characters, context words.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -143,14 +145,17 @@ def detect(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     Null and empty texts have none. A column already named ``into`` is replaced;
     every other column, and repeated rows, stay as they are.
     """
+    few_rows_at_once(df.sparkSession)
     return df.withColumn(into, F.pandas_udf(_spans_of, SPAN_TYPE)(text))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces every reported span of ``text`` by its kind in brackets; null stays null."""
+    few_rows_at_once(df.sparkSession)
     return df.withColumn(text, F.pandas_udf(_redacted, "string")(text))
 
 
 def digest(df: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, counts of the base kinds, sha256 of the base spans, and all spans as text."""
+    few_rows_at_once(df.sparkSession)
     return df.select("doc_id", F.pandas_udf(_digests, DIGEST_TYPE)(text).alias("d")).select("doc_id", "d.*")

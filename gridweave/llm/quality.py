@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.common import few_rows_at_once
+
 LEVEL = 3
 
 
@@ -89,6 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_pieces: in
     label at most), the others calibrate. Only pieces and calibration rows reach
     the driver.
     """
+    few_rows_at_once(docs.sparkSession)
     order = F.xxhash64(F.lit(17), "doc_id")
     rows = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = [rows.where(F.col("quality") == q).orderBy(order, "doc_id").limit(max_docs) for q in (0, 1)]
@@ -119,6 +122,7 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", into: str = "s
 
     A column already named ``into`` is replaced; rows and other columns stay.
     """
+    few_rows_at_once(df.sparkSession)
     if model.weights is None:
         return df.withColumn(into, F.lit(0.5))
 
