@@ -99,12 +99,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def maybe_among(keys: DataFrame, key: str, most: int = 1 << 25) -> Column:
-    """A test of column ``key`` that holds for every value in ``keys`` and for few others.
+def bits_of(keys: DataFrame, key: str, most: int = 1 << 25) -> tuple[Column, Callable[[np.ndarray], np.ndarray]]:
+    """A hash column of ``key``, and a test of its values that holds for every key in ``keys`` and for few others.
 
-    A bit per hash of a key, at most ``most`` of them (4 MB), whatever the input; as
-    they fill, the test only holds for more. It spares what surely has no partner a
-    shuffle; a join still decides. A null key fails.
+    A bit per hash, at most ``most`` of them (4 MB), whatever the input; as they fill, the
+    test only holds for more. It spares what surely has no partner a shuffle; a join
+    still decides. Null keys are not told apart from others.
     """
     bits = min(most, max(1 << 10, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
@@ -113,12 +113,17 @@ def maybe_among(keys: DataFrame, key: str, most: int = 1 << 25) -> Column:
     table = np.zeros(bits // 32, np.int64)
     table[found["word"].to_numpy()] = found["bits"].to_numpy()
     told = keys.sparkSession.sparkContext.broadcast(table.astype(np.uint32))
+    return slot, lambda at: (told.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
-    def test(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy(np.int64)
-        return pd.Series((told.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
 
-    return F.pandas_udf(test, "boolean")(slot) & F.col(key).isNotNull()
+def maybe_among(keys: DataFrame, key: str) -> Column:
+    """The test of ``bits_of`` as a column; a null key fails."""
+    slot, test = bits_of(keys, key)
+
+    def run(slots: pd.Series) -> pd.Series:
+        return pd.Series(test(slots.to_numpy(np.int64)))
+
+    return F.pandas_udf(run, "boolean")(slot) & F.col(key).isNotNull()
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:

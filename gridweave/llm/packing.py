@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import bisect
-import functools
 import os
 import zlib
 from collections import defaultdict
@@ -84,12 +83,6 @@ class _Encoder:
         return [next(direct) if s else next(found) for s in special]
 
 
-@functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> _Encoder:
-    """One for all tasks that a Python worker runs."""
-    return _Encoder(path)
-
-
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32 [, ids].
 
@@ -100,7 +93,8 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(it):
-        encode = _encoder(tokenizer)
+        # One for each task: workers outlive their tasks, and would hold its memory.
+        encode = _Encoder(tokenizer)
         for batch in batches_of(it, "text", 4 << 20):
             out = defaultdict(list)
             for doc, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
