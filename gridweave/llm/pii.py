@@ -8,8 +8,10 @@ Kinds and how each is confirmed:
 * ``iban`` (15 to 34 characters, mod 97) needs no context either.
 * ``ssn`` (3-2-4 digits) has no checksum, so it is reported only where a
   context word within ``CONTEXT`` characters lifts its score to ``THRESHOLD``.
+* ``secret``: tokens of known issuers and values assigned to a name such as ``password``
+  are reported as they are, runs of 32 to 64 hexadecimal digits where context lifts them.
 
-Spans of one kind never overlap; spans of different kinds may.
+Context words count as whole words only. Spans of one kind never overlap; spans of different kinds may.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ from gridweave.llm.common import few_rows_at_once
 
 # Kinds in reporting order, local-part characters, context words.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
+NAMED_SECRET = 0.6
 CONTEXT_WORDS = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "e-mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "cell", "fax"),
     "iban": ("iban", "account", "bank"),
     "ssn": ("ssn", "social security", "tax id"),
+    "secret": ("password", "passwd", "pwd", "secret", "token", "key", "credential", "credentials", "bearer", "authorization"),
 }
 CONTEXT, LIFT, THRESHOLD = 40, 0.3, 0.5
 
@@ -45,6 +49,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_HEX = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])")
+_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+)")
+_ASSIGNED = re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,200})", re.I)
+_CONTEXT = {kind: re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, words)) + r")(?![a-z])") for kind, words in CONTEXT_WORDS.items()}
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -93,12 +101,26 @@ def _proposed(text: str):
         yield "ssn", m.start(), m.end()
 
 
+def _secrets(text: str):
+    """(start, end, score before context) of secrets, leftmost first, none within another."""
+    found = [(*m.span(), SCORES["secret"]) for m in _HEX.finditer(text) if not m[0].isdigit() and not m[0].isalpha()]
+    found += [(*m.span(), NAMED_SECRET) for m in _ISSUED.finditer(text)]
+    # A value of letters alone is a word of a sentence.
+    found += [(*m.span(1), NAMED_SECRET) for m in _ASSIGNED.finditer(text) if not m[1].strip(".,;:!?()").isalpha()]
+    free = 0
+    for start, end, score in sorted(found, key=lambda s: (s[0], -s[2])):
+        if start >= free:
+            yield start, end, score
+            free = end
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind, then start; offsets in code points, end exclusive."""
-    found = []
-    for kind, start, end in _proposed(text or ""):
-        near = text[max(0, start - CONTEXT) : end + CONTEXT].lower()
-        score = min(1.0, SCORES[kind] + LIFT * any(w in near for w in CONTEXT_WORDS[kind]))
+    found, text = [], text or ""
+    proposed = [(kind, start, end, SCORES[kind]) for kind, start, end in _proposed(text)]
+    for kind, start, end, score in proposed + [("secret", *s) for s in _secrets(text)]:
+        near = text[max(0, start - CONTEXT) : start].lower() + "\n" + text[end : end + CONTEXT].lower()
+        score = min(1.0, score + LIFT * bool(_CONTEXT[kind].search(near)))
         if kind in BASE_KINDS or score >= THRESHOLD:
             found.append((kind, start, end, score))
     return found
@@ -117,7 +139,7 @@ def redact_text(text: str | None, spans) -> str | None:
 
 
 SPAN_TYPE = "array<struct<kind:string,start:long,end:long,score:double>>"
-DIGEST_TYPE = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+DIGEST_TYPE = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
 
 
 def _spans_of(texts: pd.Series) -> pd.Series:
@@ -135,8 +157,8 @@ def _digests(texts: pd.Series) -> pd.DataFrame:
         count = [sum(s[0] == k for s in spans) for k in BASE_KINDS]
         as_text = [f"{k}:{a}:{b}" for k, a, b, _ in spans]
         base = ",".join(x for x, s in zip(as_text, spans) if s[0] in BASE_KINDS)
-        rows.append((*count, hashlib.sha256(base.encode()).hexdigest(), ",".join(as_text)))
-    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        rows.append((*count, hashlib.sha256(base.encode()).hexdigest(), ",".join(as_text), ",".join(f"{s[3]:.2f}" for s in spans)))
+    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"])
 
 
 def detect(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
@@ -156,6 +178,6 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, counts of the base kinds, sha256 of the base spans, and all spans as text."""
+    """doc_id, counts of the base kinds, sha256 of the base spans, all spans and their scores as text."""
     few_rows_at_once(df.sparkSession)
     return df.select("doc_id", F.pandas_udf(_digests, DIGEST_TYPE)(text).alias("d")).select("doc_id", "d.*")

@@ -4,6 +4,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridweave.llm import pii
+from gridweave.llm.queries import op5_pii
+
+SF = "/root/testdata/sf0.01"
 
 
 def brute(text):
@@ -41,6 +44,31 @@ def test_checks_and_context():
     assert pii.find_spans("1" * 300_000 + "@" * 1000) == []
 
 
+def test_secrets_and_whole_word_context():
+    digest = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert pii.find_spans(f'a token = "{digest}" b')[0][:3] == ("secret", 11, 51)
+    assert [s[0] for s in pii.find_spans(f"the key is {digest}")] == ["secret"]
+    assert pii.find_spans(f"monkey {digest} turnkeys") == [] and pii.find_spans("1" * 40 + " token " + "a" * 40) == []
+    assert pii.redact_text("Password: hunter2024!", pii.find_spans("Password: hunter2024!")) == "Password: [SECRET]"
+    assert pii.find_spans("the password: everything is a word") == []
+    assert [s[3] for s in pii.find_spans("tip 1.2.3.4")] == [0.6] and [s[3] for s in pii.find_spans("ip 1.2.3.4")] == [0.6 + 0.3]
+
+
+def test_query_equals_plain_patterns(spark):
+    import hashlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op5_pii(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        spans = brute(text or "")
+        row, said = got[d], ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[0] == k for s in spans) for k in pii.BASE_KINDS]
+        assert row.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        every = row.spans.split(",") if row.spans else []
+        assert every[: len(spans)] == (said.split(",") if said else []) and len(every) == len(row.scores.split(",") if row.scores else [])
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "a@b.co", "z"), (3, "a@b.co", "z")], "doc_id long, text string, pii string")
     got = {tuple(r) for r in pii.digest(df).select("doc_id", "n_email", "spans").collect()}
