@@ -84,7 +84,7 @@ def normalize_complex(text) -> Cx:
     t = F.regexp_replace(_col(text), r"\s+", "")
     number = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
     part = lambda pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).cast("double")
-    named = lambda *keys: F.coalesce(*[F.get_json_object(F.when(t.startswith("{"), t), f"$.{k}").cast("double") for k in keys])
+    named = lambda *keys: F.coalesce(*[F.get_json_object(F.when(t.startswith("{"), t), f"$.{k}").try_cast("double") for k in keys])
     pair, sum_, real = rf"^[\[(]({number}),({number})[\])]$", rf"^\(?({number})([+-](?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[ij]\)?$", rf"^({number})$"
     lone = rf"^({number})[ij]$"
     re = F.coalesce(part(pair, 1), part(sum_, 1), part(real, 1), named("real", "re"), F.when(part(lone, 1).isNotNull(), 0.0))

@@ -97,9 +97,9 @@ def cap_split(df: DataFrame, caps: dict[str, int], key: str = "scenario_id", see
 
 
 def train_subset(df: DataFrame, fraction: float, least: int, key: str = "scenario_id", seed: int = 7) -> DataFrame:
-    """A seeded part of the train split, ``least`` rows or more; other splits stay whole."""
+    """A seeded part of the train split, rounded half to even, ``least`` rows or more but none for fraction 0; other splits stay whole."""
     train = df.where("split = 'train'")
     n = train.agg(F.count("*").alias("__n"))
     ranked = global_rank(train, hash_order(key, seed), key, "__r").crossJoin(F.broadcast(n))
-    kept = ranked.where(F.col("__r") <= F.greatest(F.floor(F.lit(fraction) * F.col("__n")), F.lit(least))).drop("__r", "__n")
+    kept = ranked.where(F.col("__r") <= (F.greatest(F.bround(F.lit(float(fraction)) * F.col("__n"), 0), F.lit(float(least))) if fraction > 0 else F.lit(0.0))).drop("__r", "__n")
     return kept.unionByName(df.where("split <> 'train'"))

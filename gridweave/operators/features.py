@@ -21,22 +21,23 @@ def transition_weights(ybus: DataFrame, source: str = "abs", norm: str = "row",
     """Off-diagonal weights |Y| (``abs``) or 1 (``binary``), scaled by row, column or both roots (``sym``)."""
     w = ybus.where("i <> j").select("scenario_id", "i", "j", (F.lit(1.0) if source == "binary" else Cx.of("re", "im").abs()).alias("w"))
     row, col = (F.sum("w").over(Window.partitionBy("scenario_id", c)) for c in ("i", "j"))
-    scale = {"row": row + eps, "col": col + eps, "sym": F.sqrt(row + eps) * F.sqrt(col + eps)}[norm]
+    least = lambda x: F.greatest(x, F.lit(eps))
+    scale = {"row": least(row), "col": least(col), "sym": F.sqrt(least(row)) * F.sqrt(least(col))}[norm]
     return w.withColumn("w", F.col("w") / scale)
 
 
 def khop_diffuse(weights: DataFrame, x: DataFrame, hops: int, sigma: float) -> DataFrame:
-    """Sum of exp(-h^2 / 2 sigma^2) T^h x over h = 0..hops, over the sum of these weights. ``x``: scenario_id, bus, x."""
+    """Sum of exp(-h^2 / 2 sigma^2) T^h x over h = 1..hops, over the sum of these weights; 0 without hops or neighbours. ``x``: scenario_id, bus, x."""
     import math
 
-    share = [math.exp(-h * h / (2 * sigma * sigma)) for h in range(hops + 1)]
+    share = [math.exp(-h * h / (2 * max(sigma, 1e-12) ** 2)) for h in range(hops + 1)]
     step = x.select("scenario_id", "bus", "x")
-    total = step.select("scenario_id", "bus", (F.col("x") * share[0]).alias("y"))
+    total = step.select("scenario_id", "bus", F.lit(0.0).alias("y"))
     for h in range(1, hops + 1):
         from_j = step.select("scenario_id", F.col("bus").alias("j"), "x")
         step = weights.join(from_j, ["scenario_id", "j"]).groupBy("scenario_id", F.col("i").alias("bus")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
         total = total.unionByName(step.select("scenario_id", "bus", (F.col("x") * share[h]).alias("y")))
-    return total.groupBy("scenario_id", "bus").agg((F.sum("y") / sum(share)).alias("x"))
+    return total.groupBy("scenario_id", "bus").agg((F.sum("y") / max(sum(share[1:]), 1e-12)).alias("x"))
 
 
 def edge_features_10(branch: DataFrame, rate: float = 0.0) -> DataFrame:

@@ -29,13 +29,14 @@ def residual_inf(residual: DataFrame, *keys: str) -> DataFrame:
 
 
 def residual_distribution(residual: DataFrame, tol: float = 1e-3) -> DataFrame:
-    """Mean, median, p95, p99, rmse, share <= tol and count of |dp| and |dq| over the buses that have them."""
+    """Mean, median, p95, p99, rmse, share <= tol and count of |dp| and |dq| over the buses that have them; zeros if none has."""
     out = []
     for c in ("dp", "dq"):
         a = F.abs(c)
         q = F.percentile(a, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-        row = residual.agg(F.avg(a).alias("mean"), q.alias("q"), F.sqrt(F.avg(a * a)).alias("rmse"), (F.count_if(a <= tol) / F.count(a)).alias("within"), F.count(a).alias("n"))
-        out.append(row.select(F.lit(c).alias("part"), "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "rmse", "within", "n"))
+        row = residual.agg(F.avg(a).alias("mean"), q.alias("q"), F.sqrt(F.avg(a * a)).alias("rmse"), F.try_divide(F.count_if(a <= tol).cast("double"), F.count(a)).alias("within"), F.count(a).alias("n"))
+        cols = {"mean": F.col("mean"), "median": F.col("q")[0], "p95": F.col("q")[1], "p99": F.col("q")[2], "rmse": F.col("rmse"), "within": F.col("within")}
+        out.append(row.select(F.lit(c).alias("part"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in cols.items()], "n"))
     return out[0].unionByName(out[1])
 
 
@@ -61,24 +62,29 @@ def _form(r: Column, form: str, delta: float) -> Column:
 
 
 def physics_loss(residual: DataFrame, form: str = "mse", norm: str = "none", delta: float = 1.0, eps: float = 1e-6) -> DataFrame:
-    """Mean loss of dp and dq, and their sum.
+    """loss_dp and loss_dq, the mean loss of each part, and loss, that of both together.
 
-    Without a norm, buses without a residual count as zeros in the mean; with
-    ``setpoint`` (|p_set|, |q_set| plus eps) or ``graph`` (the scenario's largest
-    of these) they are left out.
+    Without a norm, buses without a residual count as zeros; the loss is the mean
+    over P and Q entries, but for ``mse`` the mean over buses of dp^2 + dq^2. With
+    ``setpoint`` residuals are divided by |S| of the bus, with ``graph`` by the largest |S| of the
+    scenario, ``eps`` at least; entries without a residual are left out of the one mean. No entries give 0.
     """
-    df = residual
+    df, size = residual, F.sqrt(F.col("p_set") * F.col("p_set") + F.col("q_set") * F.col("q_set"))
     if norm == "graph":
-        top = residual.groupBy("scenario_id").agg(F.max(F.abs("p_set")).alias("__p"), F.max(F.abs("q_set")).alias("__q"))
+        top = residual.groupBy("scenario_id").agg(F.max(size).alias("__s"))
         df = residual.join(top, "scenario_id")
     elif norm == "setpoint":
-        df = residual.withColumns({"__p": F.abs("p_set"), "__q": F.abs("q_set")})
+        df = residual.withColumn("__s", size)
     parts = []
-    for c, base in (("dp", "__p"), ("dq", "__q")):
-        r = F.coalesce(F.col(c), F.lit(0.0)) if norm == "none" else F.col(c) / (F.col(base) + eps)
-        parts.append(F.avg(_form(r, form, delta)).alias(f"loss_{c}"))
-    out = df.agg(*parts)
-    return out.withColumn("loss", F.coalesce("loss_dp", F.lit(0.0)) + F.coalesce("loss_dq", F.lit(0.0)))
+    for c in ("dp", "dq"):
+        r = F.coalesce(F.col(c), F.lit(0.0)) if norm == "none" else F.col(c) / F.greatest(F.col("__s"), F.lit(eps))
+        x = _form(r, form, delta)
+        parts += [F.sum(x).alias(f"__{c}"), F.count(x).alias(f"__n_{c}")]
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    total, n = zero(F.col("__dp")) + zero(F.col("__dq")), F.col("__n_dp") + F.col("__n_dq")
+    if norm == "none" and form == "mse":
+        n = F.col("__n_dp")
+    return df.agg(*parts).select(*[zero(F.try_divide(f"__{c}", f"__n_{c}")).alias(f"loss_{c}") for c in ("dp", "dq")], zero(F.try_divide(total, n)).alias("loss"))
 
 
 def discounted_residual(trace: DataFrame, gamma: float) -> DataFrame:

@@ -24,12 +24,13 @@ def pareto_front(runs: DataFrame, x: str = "rmse_mag", y: str = "rmse_ang_deg",
 
 
 def compare_to_baseline_run(metrics: DataFrame, baseline: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Percent change against a baseline, and a signed factor: minus base/current if smaller, else current/base; zero or NaN give null."""
+    """Percent change against a baseline, and a signed factor: minus base/current if smaller, else current/base, infinite for a current of zero; a base of zero or NaN gives null."""
     b = baseline.select(*keys, F.col(value).alias("base"))
     cur, base = F.col(value), F.col("base")
-    ok = (base != 0) & (cur != 0) & ~F.isnan(base) & ~F.isnan(cur)
+    ok = (base != 0) & ~F.isnan(base) & ~F.isnan(cur)
     change = F.when(ok, 100 * (cur - base) / base)
-    factor = F.when(ok & (cur < base), -base / cur).when(ok, cur / base)
+    endless = F.when(change < 0, float("-inf")).otherwise(float("inf"))
+    factor = F.when(ok & (cur == 0), endless).when(ok & (cur < base), -F.abs(base / cur)).when(ok, F.abs(cur / base))
     return metrics.join(b, keys).withColumns({"pct_change": change, "factor": factor})
 
 
@@ -59,11 +60,11 @@ def parse_run_logs(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"file": F.input_file_name()} | found).groupBy("file").agg(*[F.max(c).alias(c) for c in found])
 
 
-def flatten_config(df: DataFrame, key: str, column: str, depth: int = 4) -> DataFrame:
-    """Nested JSON objects as rows (key, path, value) with dotted paths."""
+def flatten_config(df: DataFrame, key: str, column: str) -> DataFrame:
+    """Nested JSON objects of any depth as rows (key, path, value) with dotted paths; a round for each level."""
     level = df.select(key, F.lit("").alias("path"), F.col(column).alias("value"))
     done = None
-    for _ in range(depth):
+    while done is None or not level.isEmpty():
         entries = F.explode(F.from_json("value", "map<string,string>")).alias("k", "v")
         level = level.select(key, "path", entries).select(key, F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "k").alias("path"), F.col("v").alias("value"))
         leaf = level.where(~F.coalesce(F.col("value").startswith("{"), F.lit(False)))

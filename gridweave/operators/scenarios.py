@@ -8,53 +8,68 @@ from pyspark.sql import functions as F
 from gridweave.functions.numbers import normal, uniform
 from gridweave.operators.topology import unsupplied_buses
 
-PRESET_SCHEMA = "level string, scale_lo double, scale_hi double, sigma_p double, sigma_q double, sigma_gen double, vm_lo double, vm_hi double, outage double"
+PRESET_SCHEMA = "level string, scale_lo double, scale_hi double, sigma_p double, sigma_q double, sigma_gen double, vm_lo double, vm_hi double, random_start boolean, angle_jitter_deg double, mag_jitter double, outage double"
+# The published scenario presets, in the order of the schema; no range means no scaling.
+PRESETS = [
+    ("easy", 0.90, 1.10, 0.02, 0.03, 0.01, 0.998, 1.002, False, 0.5, 0.002, 0.0),
+    ("no_change", None, None, 0.0, 0.0, 0.0, 1.0, 1.0, False, 0.0, 0.0, 0.0),
+    ("A", 0.70, 1.30, 0.05, 0.08, 0.03, 0.97, 1.03, True, 3.0, 0.01, 0.0),
+    ("B", 0.60, 1.40, 0.10, 0.15, 0.05, 0.95, 1.05, True, 5.0, 0.02, 0.01),
+    ("C", 0.50, 1.50, 0.15, 0.15, 0.08, 0.93, 1.07, True, 7.0, 0.03, 0.02),
+]
 
 
 def presets(spark) -> DataFrame:
-    """Five levels from mild to hard (small; broadcast)."""
-    rows = [(chr(65 + k), 1 - 0.1 * (k + 1), 1 + 0.1 * (k + 1), 0.02 * (k + 1), 0.02 * (k + 1), 0.01 * (k + 1), 1 - 0.01 * (k + 1), 1 + 0.01 * (k + 1), 0.01 * k) for k in range(5)]
-    return spark.createDataFrame(rows, PRESET_SCHEMA)
+    """The five presets (small; broadcast)."""
+    return spark.createDataFrame(PRESETS, PRESET_SCHEMA)
 
 
 def expand_scenarios(element: DataFrame, n: int, preset: DataFrame, seed: int = 42) -> DataFrame:
-    """n operating points of every base grid: one global scale (0.05 or more) per draw on loads and generators.
+    """n operating points of every base grid: one global scale (0.05 or more; 1 without a range) per draw on loads and generators.
 
+    Static generators keep their values.
     ``element`` has grid scenario_id; adds draw (from 0) and the preset's columns.
     """
     draws = element.sparkSession.range(n).withColumnRenamed("id", "draw")
     out = element.crossJoin(F.broadcast(draws)).crossJoin(F.broadcast(preset))
     u = uniform(seed, "scenario_id", "draw", "level")
-    scale = F.greatest(F.lit(0.05), F.col("scale_lo") + (F.col("scale_hi") - F.col("scale_lo")) * u)
+    drawn = F.greatest(F.lit(0.05), F.col("scale_lo") + (F.col("scale_hi") - F.col("scale_lo")) * u)
+    scale = F.when(F.col("scale_lo").isNull(), 1.0).otherwise(drawn)
     scaled = F.col("p_mw") * scale
-    p = F.when(F.col("kind") == "load", scaled).otherwise(F.greatest(scaled, F.lit(0.0)))
-    return out.withColumns({"p_mw": p, "q_mvar": F.col("q_mvar") * scale, "scale": scale})
+    p = F.when(F.col("kind") == "load", scaled).when(F.col("kind") == "gen", F.greatest(scaled, F.lit(0.0))).otherwise(F.col("p_mw"))
+    q = F.when(F.col("kind") == "load", F.col("q_mvar") * scale).otherwise(F.col("q_mvar"))
+    return out.withColumns({"p_mw": p, "q_mvar": q, "scale": scale})
 
 
 def jitter_elements(expanded: DataFrame, conflicts: DataFrame | None = None, seed: int = 43) -> DataFrame:
-    """Independent normal factors on P, Q and generator P; new generator set-points but where controllers conflict."""
+    """Independent normal factors on load P and Q and generator P; new generator set-points but in grids where controllers conflict."""
     key = ["scenario_id", "draw", "level", "kind", "bus"]
     f = lambda s, k: 1 + F.col(s) * normal(seed + k, *key)
-    p = F.col("p_mw") * F.when(F.col("kind") == "load", f("sigma_p", 0)).otherwise(f("sigma_gen", 2))
-    out = expanded.withColumns({"p_mw": p, "q_mvar": F.col("q_mvar") * f("sigma_q", 1)})
+    p = F.col("p_mw") * F.when(F.col("kind") == "load", f("sigma_p", 0)).when(F.col("kind") == "gen", f("sigma_gen", 2)).otherwise(1.0)
+    out = expanded.withColumns({"p_mw": p, "q_mvar": F.col("q_mvar") * F.when(F.col("kind") == "load", f("sigma_q", 1)).otherwise(1.0)})
     drawn = F.col("vm_lo") + (F.col("vm_hi") - F.col("vm_lo")) * uniform(seed + 3, *key)
     free = F.col("kind") == "gen"
     if conflicts is not None:
-        out = out.join(conflicts.select("scenario_id", "bus", F.lit(True).alias("__c")), ["scenario_id", "bus"], "left")
+        out = out.join(conflicts.select("scenario_id", F.lit(True).alias("__c")).distinct(), "scenario_id", "left")
         free = free & F.col("__c").isNull()
     out = out.withColumn("vm_pu", F.when(free, drawn).otherwise(F.col("vm_pu")))
     return out.drop("__c") if conflicts is not None else out
 
 
 def sample_outages(bus: DataFrame, branch: DataFrame, p: float, seed: int = 44) -> DataFrame:
-    """Active branches fail with probability ``p``; a scenario in which a bus would lose its supply keeps all of them."""
-    hit = (F.col("status") == 1) & (uniform(seed, "scenario_id", "f_bus", "t_bus") < p)
+    """Active branches fail with probability ``p``; a scenario in which a bus would lose its supply keeps all of them.
+
+    Parallel circuits are told apart by their place among the branches of the same ends.
+    """
+    same_ends = Window.partitionBy("scenario_id", "f_bus", "t_bus").orderBy(*[c for c in branch.columns if c not in ("scenario_id", "f_bus", "t_bus")])
+    branch = branch.withColumn("__k", F.row_number().over(same_ends))
+    hit = (F.col("status") == 1) & (uniform(seed, "scenario_id", "f_bus", "t_bus", "__k") < p)
     drawn = branch.withColumn("drawn", F.when(hit, 0).otherwise(F.col("status")))
     was = unsupplied_buses(bus, branch)
     now = unsupplied_buses(bus, drawn.withColumn("status", F.col("drawn")))
     undone = now.join(was, ["scenario_id", "bus"], "left_anti").select("scenario_id").distinct().withColumn("__undo", F.lit(True))
     out = drawn.join(undone, "scenario_id", "left")
-    return out.withColumn("status", F.when(F.col("__undo").isNull(), F.col("drawn")).otherwise(F.col("status"))).drop("drawn", "__undo")
+    return out.withColumn("status", F.when(F.col("__undo").isNull(), F.col("drawn")).otherwise(F.col("status"))).drop("drawn", "__undo", "__k")
 
 
 def flat_start(bus: DataFrame, gens: DataFrame, vm_noise: float = 0.0, va_noise: float = 0.0, seed: int = 45) -> DataFrame:

@@ -115,18 +115,18 @@ def is_transformer(tol: float = 1e-12) -> Column:
 
 
 def hv_side_ratio(branch: DataFrame) -> DataFrame:
-    """Adds hv_is_f and n, the ratio of the higher to the lower base voltage."""
+    """Adds hv_is_f and n, the ratio of the higher to the lower base voltage (1 where that is not positive)."""
     hi, lo = F.greatest("v_f", "v_t"), F.least("v_f", "v_t")
-    return branch.withColumns({"hv_is_f": F.col("v_f") >= F.col("v_t"), "n": hi / lo})
+    return branch.withColumns({"hv_is_f": F.col("v_f") >= F.col("v_t"), "n": F.when(lo > 0, F.try_divide(hi, lo)).otherwise(1.0)})
 
 
 def line_view(branch: DataFrame) -> DataFrame:
-    """Adds y_line and c_line: series admittance and charging of plain lines, null for transformers."""
+    """Adds y_line and c_line: series admittance and half the charging of plain lines, null for transformers."""
     plain = ~is_transformer()
-    return branch.withColumns({"y_line_re": F.when(plain, F.col("y_from_re")), "y_line_im": F.when(plain, F.col("y_from_im")), "c_line": F.when(plain, F.col("ysh_f_im"))})
+    return branch.withColumns({"y_line_re": F.when(plain, F.col("y_ft_re")), "y_line_im": F.when(plain, F.col("y_ft_im")), "c_line": F.when(plain, 0.5 * F.col("ysh_f_im"))})
 
 
 def pair_index(i, j, n) -> Column:
     """Place of the pair i > j among the N(N-1)/2 pairs, column by column."""
     i, j, n = (F.col(c) if isinstance(c, str) else c for c in (i, j, n))
-    return F.expr("0") + j * n - F.floor(j * (j + 1) / 2) + (i - j - 1)
+    return j * n - F.floor(j * (j + 1) / 2) + (i - j - 1)

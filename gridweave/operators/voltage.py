@@ -17,18 +17,18 @@ def pred_vs_truth(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def voltage_rmse(matched: DataFrame, *keys: str) -> DataFrame:
-    """rmse of the complex voltage, of magnitude, and of angle in degrees, by ``keys``."""
-    u, v = Cx.polar("vm", "va"), Cx.polar("vm_true", "va_true")
+    """rmse of magnitude and angle (radians) together, of magnitude, and of angle in degrees, by ``keys``."""
+    both = F.col("dvm") * F.col("dvm") + F.col("dva") * F.col("dva")
     ms = lambda c: F.sqrt(F.avg(c * c))
     return matched.groupBy(*keys).agg(
-        F.sqrt(F.avg((u - v).abs2()) / 2).alias("rmse"), ms(F.col("dvm")).alias("rmse_mag"), ms(F.degrees("dva")).alias("rmse_ang_deg"), F.count("*").alias("n")
+        F.sqrt(F.avg(both)).alias("rmse"), ms(F.col("dvm")).alias("rmse_mag"), ms(F.degrees("dva")).alias("rmse_ang_deg"), F.count("*").alias("n")
     )
 
 
 def mag_ang_mse(matched: DataFrame, *keys: str, w_mag: float = 1.0, w_ang: float = 1 / math.pi) -> DataFrame:
-    """Mean of squared differences scaled by the weights, magnitude and angle together."""
-    m, a = F.col("dvm") * w_mag, F.col("dva") * w_ang
-    return matched.groupBy(*keys).agg((F.avg(m * m + a * a) / 2).alias("mse"))
+    """Mean over buses of the squared differences, each divided by its weight, magnitude plus angle."""
+    m, a = F.col("dvm") / w_mag, F.col("dva") / w_ang
+    return matched.groupBy(*keys).agg(F.avg(m * m + a * a).alias("mse"))
 
 
 def baseline_reduction(start: DataFrame, model: DataFrame, truth: DataFrame, *keys: str) -> DataFrame:
@@ -50,10 +50,14 @@ def is_converged(voltage: DataFrame, tol: float = 1e-8) -> DataFrame:
     return voltage.groupBy("scenario_id").agg((F.max(F.abs("vm")) > tol).cast("long").alias("converged"))
 
 
+def _finite(x):
+    return ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def iqr_bounds(voltage: DataFrame, k: float = 1.5) -> DataFrame:
     """One row: quartiles of the real and imaginary parts over all finite values, and the outlier bounds."""
     u = Cx.polar("vm", "va")
-    ok = voltage.select(u.re.alias("re"), u.im.alias("im")).where("not isnan(re) and not isnan(im)")
+    ok = voltage.select(u.re.alias("re"), u.im.alias("im")).where(_finite(F.col("re")) & _finite(F.col("im")))
     q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
     row = ok.agg(q("re").alias("re"), q("im").alias("im"))
     out = {}
@@ -64,10 +68,13 @@ def iqr_bounds(voltage: DataFrame, k: float = 1.5) -> DataFrame:
 
 
 def drop_voltage_outliers(voltage: DataFrame, k: float = 1.5) -> DataFrame:
-    """Voltages of the scenarios none of whose values lie outside the bounds (a one-row broadcast)."""
+    """Voltages of the scenarios none of whose values lie outside the bounds (a one-row broadcast).
+
+    Values that are not finite are left out of the bounds and of the test.
+    """
     u = Cx.polar("vm", "va")
     marked = voltage.crossJoin(F.broadcast(iqr_bounds(voltage, k)))
-    bad = ~(u.re.between(F.col("re_low"), F.col("re_high")) & u.im.between(F.col("im_low"), F.col("im_high")))
+    bad = _finite(u.re) & _finite(u.im) & ~(u.re.between(F.col("re_low"), F.col("re_high")) & u.im.between(F.col("im_low"), F.col("im_high")))
     out = marked.where(bad).select("scenario_id").distinct()
     return voltage.join(out, "scenario_id", "left_anti")
 

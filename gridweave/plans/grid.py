@@ -102,13 +102,14 @@ FORMS = {
     "huber": "case when abs({r}) <= 1e0 then 5e-1 * {r} * {r} else abs({r}) - 5e-1 end",
     "logcosh": "abs({r}) + ln(1e0 + exp(-2e0 * abs({r}))) - ln(2e0)",
 }
-BASES = {"none": ("coalesce(dp, 0e0)", "coalesce(dq, 0e0)"), "setpoint": ("(dp / (abs(p_set) + 1e-2))", "(dq / (abs(q_set) + 1e-2))"), "graph": ("(dp / (pm + 1e-2))", "(dq / (qm + 1e-2))")}
+BASES = {"none": ("coalesce(dp, 0e0)", "coalesce(dq, 0e0)"), "setpoint": ("(dp / greatest(s, 1e-2))", "(dq / greatest(s, 1e-2))"), "graph": ("(dp / greatest(sm, 1e-2))", "(dq / greatest(sm, 1e-2))")}
 
 
 def _loss(form, norm):
-    p, q = (f"avg({FORMS[form].format(r=r)})" for r in BASES[norm])
-    top = ", g as (select *, max(abs(p_set)) over (partition by scenario_id) as pm, max(abs(q_set)) over (partition by scenario_id) as qm from res)"
-    sql = oracle(f"with {RES}{top} select round({p}, 3) + 0e0 as loss_dp, round({q}, 3) + 0e0 as loss_dq, round({p} + {q}, 3) + 0e0 as loss from g")
+    p, q = (FORMS[form].format(r=r) for r in BASES[norm])
+    top = ", s as (select *, sqrt(p_set * p_set + q_set * q_set) as s from res), g as (select *, max(s) over (partition by scenario_id) as sm from s)"
+    n = f"count({p})" if (form, norm) == ("mse", "none") else f"(count({p}) + count({q}))"
+    sql = oracle(f"with {RES}{top} select round(avg({p}), 3) + 0e0 as loss_dp, round(avg({q}), 3) + 0e0 as loss_dq, round((sum({p}) + sum({q})) / {n}, 3) + 0e0 as loss from g")
 
     @query(f"physics_loss_{form}_{norm}", sql)
     def physics_loss(spark, sf):
@@ -336,7 +337,7 @@ def flag_transformer(spark, sf):
     return out(e.withColumns({"trafo": units.is_transformer().cast("long"), "hv_is_f": F.col("hv_is_f").cast("long")}), "scenario_id", "f_bus", "t_bus", "trafo", "hv_is_f", **same("n"))
 
 
-@query("line_view", oracle(f"with {ENDS} select scenario_id, f_bus, t_bus, round(r / (r * r + x * x), 6) + 0e0 as y_line_re, round(b, 6) + 0e0 as c_line from ends where abs(tau - 1e0) <= 1e-12 and abs(shift_deg) <= 1e-12 and abs(v_f - v_t) <= 1e-6"))
+@query("line_view", oracle(f"with {ENDS} select scenario_id, f_bus, t_bus, round(r / (r * r + x * x), 6) + 0e0 as y_line_re, round(5e-1 * b, 6) + 0e0 as c_line from ends where abs(tau - 1e0) <= 1e-12 and abs(shift_deg) <= 1e-12 and abs(v_f - v_t) <= 1e-6"))
 def line_view(spark, sf):
     return out(units.line_view(units.branch_admittance(ends(spark, sf))).where("y_line_re is not null"), "scenario_id", "f_bus", "t_bus", **same("y_line_re", "c_line"))
 
@@ -357,7 +358,7 @@ def volts(spark, sf, run):
     return load(spark, sf, "voltage").where(F.col("run_id") == run)
 
 
-VDIFF = "d as (select p.run_id, p.scenario_id, p.bus, p.vm, p.va, t.vm as tm, t.va as ta, p.vm - t.vm as dvm, atan2(sin(p.va - t.va), cos(p.va - t.va)) as dva from {voltage} p join {voltage} t on p.scenario_id = t.scenario_id and p.bus = t.bus and t.run_id = 'label')"
+VDIFF = "v as materialized (select run_id, scenario_id, bus, vm, va from {voltage}), d as (select p.run_id, p.scenario_id, p.bus, p.vm, p.va, t.vm as tm, t.va as ta, p.vm - t.vm as dvm, atan2(sin(p.va - t.va), cos(p.va - t.va)) as dva from v p join (select * from v where run_id = 'label') t on p.scenario_id = t.scenario_id and p.bus = t.bus)"
 
 
 @query("pred_vs_truth", oracle(f"with {VDIFF} select scenario_id, bus, {r6('dvm', 'dva')} from d where run_id = 'pred'"))
@@ -365,13 +366,13 @@ def pred_vs_truth(spark, sf):
     return out(voltage.pred_vs_truth(volts(spark, sf, "pred"), volts(spark, sf, "label")), "scenario_id", "bus", **same("dvm", "dva"))
 
 
-@query("voltage_rmse", oracle(f"with {VDIFF} select run_id, round(sqrt(avg(pow(vm * cos(va) - tm * cos(ta), 2) + pow(vm * sin(va) - tm * sin(ta), 2)) / 2e0), 6) + 0e0 as rmse, round(sqrt(avg(dvm * dvm)), 6) + 0e0 as rmse_mag, round(sqrt(avg(pow(dva * 180e0 / pi(), 2))), 6) + 0e0 as rmse_ang_deg, count(*) as n from d where run_id <> 'label' group by 1"))
+@query("voltage_rmse", oracle(f"with {VDIFF} select run_id, round(sqrt(avg(dvm * dvm + dva * dva)), 6) + 0e0 as rmse, round(sqrt(avg(dvm * dvm)), 6) + 0e0 as rmse_mag, round(sqrt(avg(pow(dva * 180e0 / pi(), 2))), 6) + 0e0 as rmse_ang_deg, count(*) as n from d where run_id <> 'label' group by 1"))
 def voltage_rmse(spark, sf):
     v = load(spark, sf, "voltage").where("run_id <> 'label'")
     return out(voltage.voltage_rmse(voltage.pred_vs_truth(v, volts(spark, sf, "label")), "run_id"), "run_id", "n", **same("rmse", "rmse_mag", "rmse_ang_deg"))
 
 
-@query("mag_ang_mse", oracle(f"with {VDIFF} select run_id, round(avg(dvm * dvm + pow(dva / pi(), 2)) / 2e0, 6) + 0e0 as mse from d group by 1"))
+@query("mag_ang_mse", oracle(f"with {VDIFF} select run_id, round(avg(dvm * dvm + pow(dva * pi(), 2)), 6) + 0e0 as mse from d group by 1"))
 def mag_ang_mse(spark, sf):
     return out(voltage.mag_ang_mse(voltage.pred_vs_truth(load(spark, sf, "voltage"), volts(spark, sf, "label")), "run_id"), "run_id", **same("mse"))
 

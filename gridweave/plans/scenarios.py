@@ -332,7 +332,7 @@ def cap_split(spark, sf):
     return batching.cap_split(batching.split(sizes(spark, sf).select("scenario_id"), (0.7, 0.2)), {"valid": 50})
 
 
-@query("train_subset", oracle(f"with {SPLIT}, q as (select *, row_number() over (partition by split order by {HASH.format('scenario_id', 7)}, scenario_id) as j, count(*) over (partition by split) as m from sp) select scenario_id, split from q where split <> 'train' or j <= greatest(floor(1e-1 * m), 20)"))
+@query("train_subset", oracle(f"with {SPLIT}, q as (select *, row_number() over (partition by split order by {HASH.format('scenario_id', 7)}, scenario_id) as j, count(*) over (partition by split) as m from sp) select scenario_id, split from q where split <> 'train' or j <= greatest(round_even(1e-1 * m, 0), 20)"))
 def train_subset(spark, sf):
     return batching.train_subset(batching.split(sizes(spark, sf).select("scenario_id"), (0.7, 0.2)), 0.1, 20)
 
@@ -451,7 +451,7 @@ def directed_edges(spark, sf):
     return out(features.directed_edges(admittances(spark, sf)), "scenario_id", "src", "dst", **same("y_ft_re", "ysh_f_im"))
 
 
-TRANS = YBUS + ", tw as (select scenario_id, i, j, sqrt(re * re + im * im) / (sum(sqrt(re * re + im * im)) over (partition by scenario_id, i) + 1e-12) as w from ybus where i <> j)"
+TRANS = YBUS + ", tw as (select scenario_id, i, j, sqrt(re * re + im * im) / greatest(sum(sqrt(re * re + im * im)) over (partition by scenario_id, i), 1e-12) as w from ybus where i <> j)"
 
 
 @query("transition_weights", oracle(f"with {TRANS} select scenario_id, i, j, {r6('w')} from tw"))
@@ -459,7 +459,7 @@ def transition_weights(spark, sf):
     return out(features.transition_weights(matrix(spark, sf)), "scenario_id", "i", "j", **same("w"))
 
 
-@query("khop_diffuse", oracle(f"with {TRANS}, h0 as (select scenario_id, bus, vm as x from {{bus}}), h1 as (select t.scenario_id, t.i as bus, sum(t.w * h.x) as x from tw t join h0 h on t.scenario_id = h.scenario_id and t.j = h.bus group by 1, 2), h2 as (select t.scenario_id, t.i as bus, sum(t.w * h.x) as x from tw t join h1 h on t.scenario_id = h.scenario_id and t.j = h.bus group by 1, 2) select h0.scenario_id, h0.bus, round((h0.x + exp(-5e-1) * coalesce(h1.x, 0e0) + exp(-2e0) * coalesce(h2.x, 0e0)) / (1e0 + exp(-5e-1) + exp(-2e0)), 6) + 0e0 as x from h0 left join h1 on h0.scenario_id = h1.scenario_id and h0.bus = h1.bus left join h2 on h0.scenario_id = h2.scenario_id and h0.bus = h2.bus"))
+@query("khop_diffuse", oracle(f"with {TRANS}, h0 as (select scenario_id, bus, vm as x from {{bus}}), h1 as (select t.scenario_id, t.i as bus, sum(t.w * h.x) as x from tw t join h0 h on t.scenario_id = h.scenario_id and t.j = h.bus group by 1, 2), h2 as (select t.scenario_id, t.i as bus, sum(t.w * h.x) as x from tw t join h1 h on t.scenario_id = h.scenario_id and t.j = h.bus group by 1, 2) select h0.scenario_id, h0.bus, round((exp(-5e-1) * coalesce(h1.x, 0e0) + exp(-2e0) * coalesce(h2.x, 0e0)) / (exp(-5e-1) + exp(-2e0)), 6) + 0e0 as x from h0 left join h1 on h0.scenario_id = h1.scenario_id and h0.bus = h1.bus left join h2 on h0.scenario_id = h2.scenario_id and h0.bus = h2.bus"))
 def khop_diffuse(spark, sf):
     x = load(spark, sf, "bus").select("scenario_id", "bus", F.col("vm").alias("x"))
     return out(features.khop_diffuse(features.transition_weights(matrix(spark, sf)), x, 2, 1.0), "scenario_id", "bus", **same("x"))

@@ -35,7 +35,7 @@ def test_expansion_of_all_levels_by_hand(spark):
     from gridweave.plans.tables import load
 
     e = load(spark, SF, "element")
-    tight = {(r.scenario_id, r.bus) for r in clean.controller_conflicts(e).collect()}
+    tight = {r.scenario_id for r in clean.controller_conflicts(e).collect()}
     levels = {r.level: r for r in scenarios.presets(spark).collect()}
     assert len(levels) == 5
     key = ["scenario_id", "draw", "level", "kind", "bus"]
@@ -44,11 +44,13 @@ def test_expansion_of_all_levels_by_hand(spark):
     want = []
     for r in drawn.collect():
         s = levels[r.level]
-        scale = max(0.05, s.scale_lo + (s.scale_hi - s.scale_lo) * r.u)
-        load_ = r.kind == "load"
-        p = None if r.p_mw is None else r.p_mw * scale * (1 + s.sigma_p * r.n0) if load_ else max(r.p_mw * scale, 0.0) * (1 + s.sigma_gen * r.n2)
-        q = None if r.q_mvar is None else r.q_mvar * scale * (1 + s.sigma_q * r.n1)
-        vm = s.vm_lo + (s.vm_hi - s.vm_lo) * r.v if r.kind == "gen" and (r.scenario_id, r.bus) not in tight else r.vm_pu
+        scale = 1.0 if s.scale_lo is None else max(0.05, s.scale_lo + (s.scale_hi - s.scale_lo) * r.u)
+        p, q, vm = r.p_mw, r.q_mvar, r.vm_pu
+        if r.kind == "load":
+            p, q = p * scale * (1 + s.sigma_p * r.n0), q * scale * (1 + s.sigma_q * r.n1)
+        elif r.kind == "gen":
+            p = max(p * scale, 0.0) * (1 + s.sigma_gen * r.n2)
+            vm = vm if r.scenario_id in tight else s.vm_lo + (s.vm_hi - s.vm_lo) * r.v
         want.append((r.scenario_id, r.draw, r.level, r.kind, r.bus, *(None if x is None else round(x, 9) + 0.0 for x in (p, q, vm))))
     cols = [*key, *[(F.round(c, 9) + 0.0).alias(c) for c in ("p_mw", "q_mvar", "vm_pu")]]
     got = [tuple(r) for r in catalog.QUERIES["expand_scenarios"](spark, SF).select(*cols).collect()]
