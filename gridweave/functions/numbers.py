@@ -48,6 +48,46 @@ def global_rank(df: DataFrame, order: Column, ties: str, into: str = "rank", buc
     return d.join(F.broadcast(counts), "__b").withColumn(into, F.col("__before") + within).drop("__o", "__b", "__before")
 
 
+def exact_quantiles(df: DataFrame, column: str, probs: list[float], few: int = 1_000_000, parts: int = 4096) -> list[float | None]:
+    """Exact interpolated quantiles of the finite values of ``column``, as ``percentile`` gives them; nulls if there are none.
+
+    Runs jobs, so ``df`` should be stored. Up to ``few`` values are ranked at once. Of more, each rank is
+    looked for in ``parts`` equal parts of the range, then of the part that holds it, until ``few`` or
+    one value are left: no task gathers more, and ties are counted before they meet.
+    """
+    d = df.select(F.col(column).cast("double").alias("x")).where("x > double('-infinity') and x < double('infinity')")
+    n, least, most = d.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if n == 0:
+        return [None] * len(probs)
+    if n <= few:
+        return list(d.agg(F.percentile("x", F.array(*map(F.lit, probs)))).first()[0])
+
+    def ranked(k: int) -> float:
+        lo, hi, below, inside = least, most, 0, n
+        while lo < hi and inside > few:
+            # Halves, as the whole range may exceed the largest double.
+            part = F.least(F.floor((F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2) * parts), F.lit(parts - 1)).alias("part")
+            found = d.where(F.col("x").between(lo, hi)).groupBy(part).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            for r in sorted(found.collect()):  # ``parts`` rows at most
+                if k < below + r.n:
+                    lo, hi, inside = r.lo, r.hi, r.n
+                    break
+                below += r.n
+        if lo == hi:
+            return lo
+        values = d.where(F.col("x").between(lo, hi)).groupBy("x").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+        return values.withColumn("upto", upto).where(F.col("upto") > k - below).agg(F.min("x")).first()[0]
+
+    out = []
+    for p in probs:
+        at = p * (n - 1)
+        k = math.floor(at)
+        low = ranked(k)
+        out.append(low if at == k else low + (at - k) * (ranked(k + 1) - low))
+    return out
+
+
 def rounded(c: Column, digits: int = 6) -> Column:
     """Rounded for comparison, without a negative zero."""
     return F.round(c, digits) + F.lit(0.0)

@@ -50,8 +50,13 @@ def one_per_size(df: DataFrame, size: str = "n", key: str = "scenario_id") -> Da
 def fill_to_k(df: DataFrame, k: int, strategy: str = "cycle", size: str = "n", key: str = "scenario_id", seed: int = 42) -> DataFrame:
     """Exactly k rows of each size: around its rows in turn (cycle), its first again and again (first), or by draw (random)."""
     order = hash_order(key, seed) if strategy == "random" else F.col(key)
-    rank = F.row_number().over(Window.partitionBy(size).orderBy(order, key))
-    rows = df.select(size, key).withColumn("__r", rank).where(F.col("__r") <= k)
+    need = 1 if strategy == "first" else k
+    rows = df.select(size, key).withColumn("__s", F.pmod(F.xxhash64(key), F.lit(256)))
+    # The first rows of a size are among the first of its salts, so a common size is not one task's work.
+    for by in ([size, "__s"], [size]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, key))
+        rows = rows.withColumn("__r", rank).where(F.col("__r") <= need)
+    rows = rows.drop("__s")
     sizes = df.groupBy(size).agg(F.count("*").alias("__n"))
     slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     if strategy == "first":

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.complexnum import Cx, cx
 from gridweave.functions.numbers import signed_log1p
+from gridweave.operators.units import voltage_class_feature
 from gridweave.operators.ybus import active_branches
 
 
@@ -28,8 +31,6 @@ def transition_weights(ybus: DataFrame, source: str = "abs", norm: str = "row",
 
 def khop_diffuse(weights: DataFrame, x: DataFrame, hops: int, sigma: float) -> DataFrame:
     """Sum of exp(-h^2 / 2 sigma^2) T^h x over h = 1..hops, over the sum of these weights; 0 without hops or neighbours. ``x``: scenario_id, bus, x."""
-    import math
-
     share = [math.exp(-h * h / (2 * max(sigma, 1e-12) ** 2)) for h in range(hops + 1)]
     step = x.select("scenario_id", "bus", "x")
     total = step.select("scenario_id", "bus", F.lit(0.0).alias("y"))
@@ -40,8 +41,13 @@ def khop_diffuse(weights: DataFrame, x: DataFrame, hops: int, sigma: float) -> D
     return total.groupBy("scenario_id", "bus").agg((F.sum("y") / max(sum(share[1:]), 1e-12)).alias("x"))
 
 
-def edge_features_10(branch: DataFrame, rate: float = 0.0) -> DataFrame:
-    """Both directions of active branches: own and transfer admittance (signed log), tap, angle limits, rate."""
+def _logged(c, transform: str):
+    c = F.col(c) if isinstance(c, str) else c
+    return signed_log1p(c) if transform == "signed_log" else c
+
+
+def edge_features_10(branch: DataFrame, rate: float = 0.0, transform: str = "signed_log") -> DataFrame:
+    """Both directions of active branches: flows (unknown, 0), own and transfer admittance, tap, angle limits, rate."""
     a = Cx.polar("tau", F.radians("shift_deg"))
     y, own = cx("y_ft"), cx("y_from") + cx("ysh_f") * 0.5
     tau2 = F.col("tau") * F.col("tau")
@@ -49,44 +55,77 @@ def edge_features_10(branch: DataFrame, rate: float = 0.0) -> DataFrame:
 
     def side(src, dst, first, second, direction):
         vals = (first.re, first.im, second.re, second.im)
-        return F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(direction).alias("dir"), *[signed_log1p(v).alias(f"e{k}") for k, v in enumerate(vals)])
+        return F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(direction).alias("dir"), *[_logged(v, transform).alias(f"e{k}") for k, v in enumerate(vals)])
 
     both = F.explode(F.array(side("f_bus", "t_bus", yff, yft, 0), side("t_bus", "f_bus", ytt, ytf, 1)))
-    out = active_branches(branch).select("scenario_id", "tau", "shift_deg", both.alias("s")).select("scenario_id", "s.*", "tau", "shift_deg")
-    return out.withColumns({"shift_rad": F.radians("shift_deg"), "ang_min": F.lit(-3.141592653589793), "ang_max": F.lit(3.141592653589793), "rate": F.lit(rate)}).drop("shift_deg")
+    out = active_branches(branch).select("scenario_id", "tau", both.alias("s")).select("scenario_id", "s.*", "tau")
+    return out.withColumns({"p_e": F.lit(0.0), "q_e": F.lit(0.0), "ang_min": F.lit(-math.pi), "ang_max": F.lit(math.pi), "rate": F.lit(rate)})
+
+
+# The features that a model is to predict, which are masked in its input.
+MASKED = {"bus": ("vm", "va"), "gen": ("pg",)}
 
 
-def bus_features_15(bus: DataFrame, vm_limits: tuple[float, float] = (0.9, 1.1)) -> DataFrame:
-    """Demand (signed log), start voltage, one-hot type, limits, shunts and voltage class of every bus."""
+def bus_features_15(bus: DataFrame, vn_mode: str = "log", transform: str = "signed_log", vm_limits: tuple[float, float] = (0.5, 1.5), q_limits: tuple[float, float] = (-10.0, 10.0)) -> DataFrame:
+    """Demand, start voltage, one-hot type, limits, shunts and voltage class (``voltage_class_feature``) of every bus."""
     kind = lambda k: (F.col("bus_type") == k).cast("double")
-    return bus.select(
-        "scenario_id", "bus", (-F.col("p_set")).alias("pd"), (-F.col("q_set")).alias("qd"), signed_log1p(-F.col("p_set")).alias("pd_log"), signed_log1p(-F.col("q_set")).alias("qd_log"),
-        "vm", "va", kind(3).alias("is_pq"), kind(2).alias("is_pv"), kind(1).alias("is_slack"), F.lit(vm_limits[0]).alias("vm_min"), F.lit(vm_limits[1]).alias("vm_max"),
-        "gs", "bs", F.log10(F.col("vn_kv") + 1e-9).alias("vn_log"), F.col("vn_kv"),
+    return voltage_class_feature(bus, vn_mode).select(
+        "scenario_id", "bus", _logged(-F.col("p_set"), transform).alias("pd"), _logged(-F.col("q_set"), transform).alias("qd"), F.lit(0.0).alias("qg"),
+        "vm", "va", (~F.col("bus_type").isin(1, 2)).cast("double").alias("is_pq"), kind(2).alias("is_pv"), kind(1).alias("is_slack"),
+        *[F.lit(v).alias(n) for n, v in zip(("vm_min", "vm_max", "qg_min", "qg_max"), (*vm_limits, *q_limits))],
+        _logged("gs", transform).alias("gs"), _logged("bs", transform).alias("bs"), F.col("vn_feature").alias("vn"),
     )
 
 
-def gen_features_7(bus: DataFrame) -> DataFrame:
-    """Generator rows of slack and PV buses (of bus 0 where a scenario has none): set-points, limits and links."""
+def _with_generator(bus: DataFrame) -> DataFrame:
+    """Slack and PV buses (bus 0 where a scenario has none), numbered as ``idx`` in each scenario."""
     has = bus.where("bus_type in (1, 2)")
     lone = bus.where("bus = 0").join(has.select("scenario_id").distinct(), "scenario_id", "left_anti")
-    g = has.unionByName(lone)
-    number = F.row_number().over(Window.partitionBy("scenario_id").orderBy("bus")) - 1
-    span = F.greatest(F.abs("p_set") * 0.5, F.lit(10.0))
-    return g.select("scenario_id", number.cast("long").alias("gen"), "bus", F.col("p_set").alias("pg"), F.col("q_set").alias("qg"), (F.col("p_set") - span).alias("p_min"), (F.col("p_set") + span).alias("p_max"), F.col("vm").alias("vg"), (F.col("bus_type") == 1).cast("double").alias("is_slack"), F.lit(1.0).alias("mask"))
-
-
-def hetero_tables(bus: DataFrame, branch: DataFrame, element: DataFrame, transformer) -> dict[str, DataFrame]:
-    """Tables by kind of node and edge: bus, generator, load, shunt, ac_line, transformer; with links by bus number."""
-    span = lambda c: F.greatest(F.abs(c) * 0.5, F.lit(10.0))
-    on = element.where("in_service = 1")
-    gen = on.where("kind = 'gen'")
-    line_cols = ["scenario_id", "f_bus", "t_bus", "r", "x", "b"]
+    return _numbered(has.unionByName(lone))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy("scenario_id").orderBy("bus")) - 1).cast("long"))
+
+
+def gen_features_7(bus: DataFrame, transform: str = "signed_log", p_limits: tuple[float, float] = (-10.0, 10.0)) -> DataFrame:
+    """Generators (gen, with the bus that each is linked to): output of zero at least, its limits, cost terms (unknown, 0), in service."""
+    pg = _logged(F.greatest("p_set", F.lit(0.0)), transform)
+    costs = [F.lit(0.0).alias(f"c{k}") for k in range(3)]
+    return _with_generator(bus).select("scenario_id", F.col("idx").alias("gen"), "bus", pg.alias("pg"), F.lit(p_limits[0]).alias("pg_min"), F.lit(p_limits[1]).alias("pg_max"), *costs, F.lit(1.0).alias("on"))
+
+
+def hetero_tables(bus: DataFrame, branch: DataFrame, transformer=None, vm_limits: tuple[float, float] = (0.5, 1.5), rate: float = 0.0) -> dict[str, DataFrame]:
+    """Tables by kind of node and edge: bus, generator (11 features), load, shunt, ac_line (9), transformer (11).
+
+    idx and bus of generators, loads and shunts are their links, to be read either way. Features named
+    z and a number are not known and 0. Branches with a tap or shift count as transformers,
+    and those for which ``transformer`` (a column of ``branch``) holds. Scenarios without a kind have no such rows.
+    """
+    zero = lambda *names: [F.lit(0.0).alias(n) for n in names]
+    limit = lambda c, s: F.col(c) + s * F.greatest(F.abs(c) * 0.5, F.lit(10.0))
+    kind = F.when(F.col("bus_type").isin(1, 2), F.col("bus_type")).otherwise(3).cast("long")
+    load = bus.where("p_set <> 0 or q_set <> 0")
+    shunt = bus.where("gs <> 0 or bs <> 0")
+    y = cx("y_ft")
+    use = y.abs() > 1e-12
+    y = Cx(F.when(use, y.re).otherwise(F.col("y_from_re")), F.when(use, y.im).otherwise(F.col("y_from_im")))
+    tiny, z = y.abs() <= 1e-12, y.inverse()
+    tap = F.when(F.abs("tau") < 1e-9, 1.0).otherwise(F.col("tau"))
+    is_trafo = (F.abs(F.col("tau") - 1) > 1e-8) | (F.abs("shift_deg") > 1e-8)
+    is_trafo = is_trafo if transformer is None else is_trafo | transformer
+    angles = [F.lit(-math.pi).alias("ang_min"), F.lit(math.pi).alias("ang_max")]
+    series = [F.when(tiny, 0.0).otherwise(v).alias(n) for n, v in (("r", z.re), ("x", z.im))]
+    shunts = [(F.col("ysh_f_im") / 2).alias("b_from"), (F.col("ysh_t_im") / 2).alias("b_to")]
+    on, ends = active_branches(branch), ["scenario_id", "f_bus", "t_bus"]
     return {
-        "bus": bus.select("scenario_id", "bus", "vn_kv", "bus_type", "vm", "va"),
-        "generator": gen.select("scenario_id", "bus", "p_mw", (F.col("p_mw") - span("p_mw")).alias("p_min"), (F.col("p_mw") + span("p_mw")).alias("p_max"), "q_mvar", (F.col("q_mvar") - span("q_mvar")).alias("q_min"), (F.col("q_mvar") + span("q_mvar")).alias("q_max"), "vm_pu"),
-        "load": on.where("kind = 'load'").select("scenario_id", "bus", "p_mw", "q_mvar"),
-        "shunt": bus.where("gs <> 0 or bs <> 0").select("scenario_id", "bus", "gs", "bs"),
-        "ac_line": active_branches(branch).where(~transformer).select(*line_cols),
-        "transformer": active_branches(branch).where(transformer).select(*line_cols, "tau", "shift_deg"),
-    }
+        "bus": bus.select("scenario_id", "bus", "vn_kv", kind.alias("bus_type"), F.lit(vm_limits[0]).alias("vm_min"), F.lit(vm_limits[1]).alias("vm_max"), F.col("vm").alias("v_setpoint")),
+        "generator": _with_generator(bus).select(
+            "scenario_id", "idx", "bus", F.lit(1.0).alias("on"), *zero("z1"), limit("p_set", -1).alias("p_min"), limit("p_set", 1).alias("p_max"), *zero("z4"),
+            limit("q_set", -1).alias("q_min"), limit("q_set", 1).alias("q_max"), F.col("vm").alias("vg"), *zero("z8", "z9", "z10"),
+        ),
+        "load": _numbered(load).select("scenario_id", "idx", "bus", F.greatest(-F.col("p_set"), F.lit(0.0)).alias("pd"), F.greatest(-F.col("q_set"), F.lit(0.0)).alias("qd")),
+        "shunt": _numbered(shunt).select("scenario_id", "idx", "bus", "bs", "gs"),
+        "ac_line": on.where(~is_trafo).select(*ends, *angles, *shunts, *series, F.lit(rate).alias("rate"), *zero("z7", "z8")),
+        "transformer": on.where(is_trafo).select(*ends, *angles, *series, F.lit(rate).alias("rate"), *zero("z5", "z6"), tap.alias("tap"), F.radians("shift_deg").alias("shift"), *shunts),
+    }

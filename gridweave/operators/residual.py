@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.complexnum import cx
+from gridweave.functions.numbers import exact_quantiles
 from gridweave.operators.ybus import bus_current
 
 
@@ -29,13 +30,16 @@ def residual_inf(residual: DataFrame, *keys: str) -> DataFrame:
 
 
 def residual_distribution(residual: DataFrame, tol: float = 1e-3) -> DataFrame:
-    """Mean, median, p95, p99, rmse, share <= tol and count of |dp| and |dq| over the buses that have them; zeros if none has."""
-    out = []
+    """Mean, median, p95, p99, rmse, share <= tol and count of |dp| and |dq| over the buses that have them; zeros if none has.
+
+    The residuals are computed once and stored; quantiles are exact.
+    """
+    out, held = [], residual.select(F.abs("dp").alias("dp"), F.abs("dq").alias("dq")).checkpoint()
     for c in ("dp", "dq"):
-        a = F.abs(c)
-        q = F.percentile(a, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-        row = residual.agg(F.avg(a).alias("mean"), q.alias("q"), F.sqrt(F.avg(a * a)).alias("rmse"), F.try_divide(F.count_if(a <= tol).cast("double"), F.count(a)).alias("within"), F.count(a).alias("n"))
-        cols = {"mean": F.col("mean"), "median": F.col("q")[0], "p95": F.col("q")[1], "p99": F.col("q")[2], "rmse": F.col("rmse"), "within": F.col("within")}
+        a = F.col(c)
+        q = [F.lit(x).cast("double") for x in exact_quantiles(held, c, [0.5, 0.95, 0.99])]
+        row = held.agg(F.avg(a).alias("mean"), F.sqrt(F.avg(a * a)).alias("rmse"), F.try_divide(F.count_if(a <= tol).cast("double"), F.count(a)).alias("within"), F.count(a).alias("n"))
+        cols = {"mean": F.col("mean"), "median": q[0], "p95": q[1], "p99": q[2], "rmse": F.col("rmse"), "within": F.col("within")}
         out.append(row.select(F.lit(c).alias("part"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in cols.items()], "n"))
     return out[0].unionByName(out[1])
 

@@ -10,19 +10,24 @@ def rank_runs(runs: DataFrame, metric: str = "rmse_ang_deg", by: str = "config")
     return runs.withColumn("rank", F.rank().over(Window.partitionBy(by).orderBy(metric)).cast("long"))
 
 
-def pareto_front(runs: DataFrame, x: str = "rmse_mag", y: str = "rmse_ang_deg", by: str | None = None) -> DataFrame:
-    """Runs that no other beats strictly on both objectives.
-
-    Only the least y of each x matters: these points are few per group, sorted
-    once, with the least y of all strictly smaller x (a range frame).
-    """
-    keys = [by] if by else []
+def _front(runs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     points = runs.groupBy(*keys, x).agg(F.min(y).alias("__y"))
     w = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     low = points.withColumn("__low", F.min("__y").over(w)).drop("__y")
     return runs.join(low, [*keys, x]).where(F.col("__low").isNull() | (F.col(y) <= F.col("__low"))).drop("__low")
 
 
+def pareto_front(runs: DataFrame, x: str = "rmse_mag", y: str = "rmse_ang_deg", by: str | None = None, salts: int = 64) -> DataFrame:
+    """Runs that no other beats strictly on both objectives.
+
+    A run that is beaten is beaten by one of the front of some salt, so fronts of salts come first, and
+    only they meet in their group. There only the least y of each x matters, beside the least y of all smaller x.
+    """
+    keys = [by] if by else []
+    salted = runs.withColumn("__s", F.pmod(F.xxhash64(x, y), F.lit(salts)))
+    return _front(_front(salted, [*keys, "__s"], x, y).drop("__s"), keys, x, y)
+
+
 def compare_to_baseline_run(metrics: DataFrame, baseline: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Percent change against a baseline, and a signed factor: minus base/current if smaller, else current/base, infinite for a current of zero; a base of zero or NaN gives null."""
     b = baseline.select(*keys, F.col(value).alias("base"))
@@ -47,17 +52,54 @@ def file_label(path: str, parts: int = 3):
     return F.array_join(F.slice(F.split(name, "_"), 1, parts), "_and_")
 
 
-def run_slug(name: str, config: str, digits: int = 8):
-    """A run's name in lower case with dashes, and a tag of its configuration's sha1."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.concat_ws("-", slug, F.substring(F.sha1(config), 1, digits))
+def model_tag(model):
+    """A model's name, shortened: without its family prefix, attention abbreviated, in lower case with underscores."""
+    s = F.regexp_replace(model, "^GNSMsg_?", "")
+    for long in ("SelfAttention", "SelfAttn"):
+        s = F.regexp_replace(s, long, "Attn")
+    return F.lower(F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
+
+
+def dataset_tag(paths):
+    """An array of file paths as a tag: family and solver from the first name's tokens, if the second is a number, their count, and six digits of a sha1 over the sorted names."""
+    stems = F.array_sort(F.transform(paths, lambda p: F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"(?<=.)\.[^.]*$", "")))
+    tokens, n = F.split(F.get(stems, F.lit(0)), "_"), F.size(stems).cast("string")
+    digest = F.substring(F.sha1(F.array_join(stems, "|")), 1, 6)
+    known = (F.size(tokens) >= 3) & F.get(tokens, F.lit(1)).rlike("^[0-9]+$")
+    head = F.when(known, F.concat_ws("_", F.lower(F.get(tokens, F.lit(0))), F.lower(F.get(tokens, F.lit(2))))).otherwise("ds")
+    return F.when(F.size(stems) == 0, "ds_n0").otherwise(F.concat(head, F.lit("_n"), n, F.lit("_"), digest))
+
+
+def run_slug(paths, model, k, d, d_hi, **flags):
+    """dataset, model and sizes of a run, then its flags: ``pinn``, ``block_diag``, ``per_unit`` (booleans) and ``split_mode``."""
+    on = lambda name, tag: F.when(flags[name], tag) if name in flags else F.lit(None)
+    marks = [on("pinn", "pinn"), on("block_diag", "blk"), on("per_unit", "pu"), F.when(flags["split_mode"] == "equal3", "eq3") if "split_mode" in flags else F.lit(None)]
+    core = F.concat(dataset_tag(paths), F.lit("_"), model_tag(model), F.lit("_k"), k, F.lit("_d"), d, F.lit("_h"), d_hi)
+    return F.concat_ws("_", core, *[m.cast("string") for m in marks])
+
+
+def run_id(slug, at):
+    """A time of start and four digits of the slug's sha1."""
+    return F.concat(F.date_format(at, "yyMMdd-HHmmss"), F.lit("_"), F.substring(F.sha1(slug), 1, 4))
+
+
+# What run logs are searched for, and what holds where nothing is found.
+LOG_KEYS = {
+    "model": (r"MODEL:(\S+?),", "GNSMsg_EdgeSelfAttn_VnFeat"),
+    "d": (r"\bd:\s*(\d+)", "4"),
+    "d_hi": (r"\bd_hi:\s*(\d+)", "16"),
+    "attn_layers": (r"\battn_layers:\s*(\d+)", "1"),
+    "k": (r"\bK:\s*(\d+)", "10"),
+    "dtheta_max": (r"DthetaMax:\s*([\d.]+)", "0.30"),
+    "dvm_frac": (r"DvmFrac:\s*([\d.]+)", "0.10"),
+}
 
 
-def parse_run_logs(lines: DataFrame) -> DataFrame:
-    """Model name, d, d_hi, layers, K and limit from log lines (column ``value``), by file."""
-    pick = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
-    found = {"model": pick(r"model[=:]\s*(\w+)"), "d": pick(r"\bd[=:]\s*(\d+)"), "d_hi": pick(r"d_hi[=:]\s*(\d+)"), "layers": pick(r"layers[=:]\s*(\d+)"), "k": pick(r"\bK[=:]\s*(\d+)"), "limit": pick(r"limit[=:]\s*([\d.eE+-]+)")}
-    return lines.withColumns({"file": F.input_file_name()} | found).groupBy("file").agg(*[F.max(c).alias(c) for c in found])
+def parse_run_logs(logs: DataFrame, text: str = "value") -> DataFrame:
+    """Adds a run's settings as its log first states them, with defaults; each row holds a whole log (say, read with ``wholetext``). Null and empty logs have the defaults."""
+    kinds = {"model": "string", "dtheta_max": "double", "dvm_frac": "double"}
+    pick = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return logs.withColumns({c: F.coalesce(pick(p), F.lit(default)).cast(kinds.get(c, "int")) for c, (p, default) in LOG_KEYS.items()})
 
 
 def flatten_config(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -34,17 +34,15 @@ def _edges(branch: DataFrame, switch: DataFrame | None = None) -> DataFrame:
 
 
 def reachable_from_slack(bus: DataFrame, branch: DataFrame, root: int = 0) -> DataFrame:
-    """Per scenario: buses, those reachable from bus ``root`` over branches in service, and whether all are."""
+    """Per scenario: buses, those reachable from bus ``root`` over branches in service, and whether all are.
+
+    They are those of the root's component, so that rounds grow with the logarithm of a grid's diameter.
+    """
     key = "scenario_id"
-    edges = _edges(branch)
-    edges = edges.unionByName(edges.select(key, F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    seen = front = bus.where(F.col("bus") == root).select(key, "bus").distinct().checkpoint()
-    while not front.isEmpty():
-        front = edges.join(front.withColumnRenamed("bus", "u"), [key, "u"], "left_semi").select(key, F.col("v").alias("bus")).distinct()
-        front = front.join(seen, [key, "bus"], "left_anti").checkpoint()
-        seen = seen.unionByName(front).checkpoint()
+    labels = component_labels(bus, _edges(branch))
+    own = labels.where(F.col("bus") == root).select(key, "label")
+    got = labels.groupBy(key, "label").agg(F.count("*").alias("reached")).join(own, [key, "label"], "left_semi").drop("label")
     n = bus.groupBy(key).agg(F.count("*").alias("n"))
-    got = seen.groupBy(key).agg(F.count("*").alias("reached"))
     out = n.join(got, key, "left").fillna(0, ["reached"])
     return out.withColumn("connected", (F.col("n") == F.col("reached")).cast("long"))
 

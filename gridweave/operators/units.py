@@ -130,3 +130,13 @@ def pair_index(i, j, n) -> Column:
     """Place of the pair i > j among the N(N-1)/2 pairs, column by column."""
     i, j, n = (F.col(c) if isinstance(c, str) else c for c in (i, j, n))
     return j * n - F.floor(j * (j + 1) / 2) + (i - j - 1)
+
+
+def pair_of(place, n) -> tuple[Column, Column]:
+    """i and j of a place, the inverse of ``pair_index``."""
+    place, n = (F.col(c) if isinstance(c, str) else c for c in (place, n))
+    start = lambda j: j * n - F.floor(j * (j + 1) / 2)
+    j = F.floor(((2 * n - 1) - F.sqrt((2 * n - 1) * (2 * n - 1) - 8.0 * place)) / 2)
+    # The root is rounded: step to the column that holds the place.
+    j = j + F.when(place < start(j), -1).when(place >= start(j + 1), 1).otherwise(0)
+    return (place - start(j) + j + 1).cast("long"), j.cast("long")

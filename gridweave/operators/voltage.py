@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.complexnum import Cx, wrap
+from gridweave.functions.numbers import exact_quantiles
 
 
 def pred_vs_truth(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -55,16 +56,14 @@ def _finite(x):
 
 
 def iqr_bounds(voltage: DataFrame, k: float = 1.5) -> DataFrame:
-    """One row: quartiles of the real and imaginary parts over all finite values, and the outlier bounds."""
+    """One row: exact quartiles of the real and imaginary parts over all finite values, and the outlier bounds; nulls without values."""
     u = Cx.polar("vm", "va")
-    ok = voltage.select(u.re.alias("re"), u.im.alias("im")).where(_finite(F.col("re")) & _finite(F.col("im")))
-    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    row = ok.agg(q("re").alias("re"), q("im").alias("im"))
+    ok = voltage.select(u.re.alias("re"), u.im.alias("im")).where(_finite(F.col("re")) & _finite(F.col("im"))).checkpoint()
     out = {}
     for c in ("re", "im"):
-        lo, hi = F.col(c)[0], F.col(c)[1]
+        lo, hi = (F.lit(x).cast("double") for x in exact_quantiles(ok, c, [0.25, 0.75]))
         out |= {f"{c}_q1": lo, f"{c}_q3": hi, f"{c}_low": lo - k * (hi - lo), f"{c}_high": hi + k * (hi - lo)}
-    return row.select(*[v.alias(n) for n, v in out.items()])
+    return voltage.sparkSession.range(1).select(*[v.alias(n) for n, v in out.items()])
 
 
 def drop_voltage_outliers(voltage: DataFrame, k: float = 1.5) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.numbers import rounded
 from gridweave.operators import batching, clean, features, residual, runs, scenarios, topology, trace, units, validate
-from gridweave.plans.grid import RES, YBUS, ENDS, admittances, buses, ends, matrix, out, r6, residuals, same
+from gridweave.plans.grid import ADM, RES, YBUS, ENDS, admittances, buses, ends, matrix, out, r6, residuals, same
 from gridweave.plans.registry import query
 from gridweave.plans.tables import load, oracle
 from gridweave.sources import scenarios as io_
@@ -251,7 +251,7 @@ def map_bus_ids(spark, sf):
 @query("share_grid", oracle("select count(*) as grids, max(n) as largest from (select vn_kv, bus_type, count(*) as n from {bus} group by 1, 2) q"))
 def share_grid(spark, sf):
     grids, rows = clean.share_grid(load(spark, sf, "bus").select("scenario_id", "bus", "vn_kv", "bus_type"), ["vn_kv", "bus_type"])
-    per = rows.join(F.broadcast(grids), "grid_id").groupBy("grid_id").agg(F.count("*").alias("n"))
+    per = rows.join(grids, "grid_id").groupBy("grid_id").agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("grids"), F.max("n").alias("largest"))
 
 
@@ -314,6 +314,11 @@ def fill_to_k_first(spark, sf):
     return batching.fill_to_k(sizes(spark, sf), 5, "first")
 
 
+@query("fill_to_k_random", oracle(f"with {SIZES}, r as (select n, scenario_id, row_number() over (partition by n order by {HASH.format('scenario_id', 42)}, scenario_id) as k, count(*) over (partition by n) as c from sizes), s as (select unnest(range(5)) as slot) select r.n, cast(s.slot as bigint) as slot, scenario_id from r join s on {HASH.format('(slot + r.n * 7919)', 42)} % least(r.c, 5) + 1 = r.k"))
+def fill_to_k_random(spark, sf):
+    return batching.fill_to_k(sizes(spark, sf), 5, "random")
+
+
 SPLIT = SIZES + f", r as (select scenario_id, row_number() over (order by {HASH.format('scenario_id', 42)}, scenario_id) as k, count(*) over () as c from sizes), sp as (select scenario_id, k, case when k <= floor(7e-1 * c) then 'train' when k <= floor(7e-1 * c) + floor(2e-1 * c) then 'valid' else 'test' end as split from r)"
 
 
@@ -404,10 +409,37 @@ def bench_summary(spark, sf):
     return out(runs.bench_summary(b, "nr"), "n", "method", **same("median_ms", "mean_ms", "cases_per_s", "speedup"))
 
 
-@query("run_names", oracle("""select run_id, concat(lower(replace(config, '#', '-')), '-', substring(sha1(cast(n as varchar(10))), 1, 8)) as slug, concat('a_and_b_and_', cast(n as varchar(10))) as label from {runs}"""))
+@query("run_names", oracle("""with p as (select run_id, n, concat('HVN_', cast(n as varchar(10)), '_NR_plain') as a, cast(run_id as varchar(20)) as id, concat('edgeattn_', lower(replace(config, '#', '_'))) as model from {runs}),
+t as (select *, case when run_id % 2 = 0 then concat('ds_n2_', substring(sha1(concat('A_', id, '|', a)), 1, 6)) else concat('hvn_nr_n2_', substring(sha1(concat(a, '|LVN_', id)), 1, 6)) end as ds from p),
+s as (select run_id, n, concat(ds, '_', model, '_k', cast(n as varchar(10)), '_d4_h16', case when run_id % 3 = 0 then '_pinn' else '' end, '_pu', case when n % 2 = 0 then '_eq3' else '' end) as slug from t)
+select run_id, slug, concat(strftime(date '2024-01-01' + cast(n as integer), '%y%m%d-%H%M%S'), '_', substring(sha1(slug), 1, 4)) as id, concat('HVN_and_', cast(n as varchar(10)), '_and_NR') as label from s"""))
 def run_names(spark, sf):
-    r = load(spark, sf, "runs").withColumns({"cfg": F.col("n").cast("string"), "path": F.concat(F.lit("/data/a_b_"), F.col("n").cast("string"), F.lit("_rest.parquet"))})
-    return r.select("run_id", runs.run_slug("config", F.col("cfg")).alias("slug"), runs.file_label("path").alias("label"))
+    n, id_ = F.col("n").cast("string"), F.col("run_id").cast("string")
+    one = F.concat(F.lit("/data/HVN_"), n, F.lit("_NR_plain.parquet"))
+    two = F.concat(F.when(F.col("run_id") % 2 == 0, "/data/A_").otherwise("/data/LVN_"), id_, F.lit(".parquet"))
+    r = load(spark, sf, "runs").withColumns({"paths": F.array(two, one), "model": F.concat(F.lit("GNSMsg_EdgeSelfAttn_"), "config"), "path": one})
+    split = F.when(F.col("n") % 2 == 0, "equal3").otherwise("ratio")
+    slug = runs.run_slug(F.col("paths"), F.col("model"), n, F.lit("4"), F.lit("16"), pinn=F.col("run_id") % 3 == 0, per_unit=F.lit(True), split_mode=split)
+    r = r.select("run_id", slug.alias("slug"), runs.file_label("path").alias("label"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("n").cast("int")).cast("timestamp").alias("at"))
+    return r.select("run_id", "slug", runs.run_id(F.col("slug"), F.col("at")).alias("id"), "label")
+
+
+@query("run_logs", oracle("""select run_id, concat('GNSMsg_', config) as model, n as d, 2 * n as d_hi, cast(1 as bigint) as attn_layers, cast(case when run_id % 2 = 0 then 7 else 10 end as bigint) as k,
+case when run_id % 3 = 0 then 25e-2 else 3e-1 end as dtheta_max, 1e-1 as dvm_frac from {runs}"""))
+def run_logs(spark, sf):
+    n = F.col("n").cast("string")
+    text = F.concat(F.lit("INFO start\nMODEL:GNSMsg_"), "config", F.lit(", d: "), n, F.lit(" d_hi:"), (2 * F.col("n")).cast("string"), F.when(F.col("run_id") % 2 == 0, "\nK: 7, d: 99").otherwise(""), F.when(F.col("run_id") % 3 == 0, "\nDthetaMax: 0.25").otherwise(""))
+    found = runs.parse_run_logs(load(spark, sf, "runs").select("run_id", text.alias("value")))
+    return found.select("run_id", "model", *[F.col(c).cast("long").alias(c) for c in ("d", "d_hi", "attn_layers", "k")], "dtheta_max", "dvm_frac")
+
+
+@query("pair_index", oracle("with s as (select scenario_id, count(*) as n from {bus} group by 1), p as (select distinct b.scenario_id, greatest(f_bus, t_bus) as i, least(f_bus, t_bus) as j, n from {branch} b join s on b.scenario_id = s.scenario_id where f_bus <> t_bus) select scenario_id, i, j, j * n - j * (j + 1) // 2 + i - j - 1 as place, i as back_i, j as back_j from p"))
+def pair_index(spark, sf):
+    n = load(spark, sf, "bus").groupBy("scenario_id").agg(F.count("*").alias("n"))
+    pairs = load(spark, sf, "branch").where("f_bus <> t_bus").select("scenario_id", F.greatest("f_bus", "t_bus").alias("i"), F.least("f_bus", "t_bus").alias("j")).distinct()
+    placed = pairs.join(n, "scenario_id").withColumn("place", units.pair_index("i", "j", "n"))
+    i, j = units.pair_of("place", "n")
+    return placed.select("scenario_id", "i", "j", "place", i.alias("back_i"), j.alias("back_j"))
 
 
 @query("flatten_config", oracle("select run_id, 'model.d' as path, cast(n as varchar(10)) as value from {runs} union all select run_id, 'model.opt.name', config from {runs} union all select run_id, 'seed', '7' from {runs}"))
@@ -465,29 +497,98 @@ def khop_diffuse(spark, sf):
     return out(features.khop_diffuse(features.transition_weights(matrix(spark, sf)), x, 2, 1.0), "scenario_id", "bus", **same("x"))
 
 
-@query("edge_features", oracle("with a as (select *, r / (r * r + x * x) as yr, -x / (r * r + x * x) as yi from {branch} where status = 1), f as (select scenario_id, f_bus as src, t_bus as dst, 0 as dir, yr / (tau * tau) as p, tau from a union all select scenario_id, t_bus, f_bus, 1, yr, tau from a) select scenario_id, src, dst, dir, round(sign(p) * ln(1e0 + abs(p)), 6) + 0e0 as e0, round(tau, 6) + 0e0 as tau from f"))
+WEIGHTS = {("abs", "col"): "w / greatest(c, 1e-12)", ("abs", "sym"): "w / (sqrt(greatest(r, 1e-12)) * sqrt(greatest(c, 1e-12)))", ("binary", "row"): "1e0 / greatest(n, 1e-12)"}
+
+
+def _weights(source, norm):
+    @query(f"transition_weights_{source}_{norm}", oracle(f"with {YBUS}, o as (select scenario_id, i, j, sqrt(re * re + im * im) as w from ybus where i <> j), s as (select *, sum(w) over (partition by scenario_id, i) as r, sum(w) over (partition by scenario_id, j) as c, count(*) over (partition by scenario_id, i) as n from o) select scenario_id, i, j, round({WEIGHTS[source, norm]}, 6) + 0e0 as w from s"))
+    def transition_weights_of(spark, sf):
+        return out(features.transition_weights(matrix(spark, sf), source, norm), "scenario_id", "i", "j", **same("w"))
+
+
+for _s, _n in WEIGHTS:
+    _weights(_s, _n)
+
+
+def _slog(x):
+    return f"sign({x}) * ln(1e0 + abs({x}))"
+
+
+def _r6(**cols):
+    return ", ".join(f"round({v}, 6) + 0e0 as {k}" for k, v in cols.items())
+
+
+EDGE = ADM + """, e as (
+  select scenario_id, f_bus as src, t_bus as dst, 0 as dir, yr / (tau * tau) as a0, (yi + b / 2e0) / (tau * tau) as a1, -(yr * cos(th) - yi * sin(th)) / tau as a2, -(yr * sin(th) + yi * cos(th)) / tau as a3, tau from adm
+  union all select scenario_id, t_bus, f_bus, 1, yr, yi + b / 2e0, -(yr * cos(th) + yi * sin(th)) / tau, -(yi * cos(th) - yr * sin(th)) / tau, tau from adm)"""
+
+
+@query("edge_features", oracle(f"with {EDGE} select scenario_id, src, dst, dir, {_r6(e0=_slog('a0'), e1=_slog('a1'), e2=_slog('a2'), e3=_slog('a3'), tau='tau', p_e='0e0', q_e='0e0', ang_min='-pi()', ang_max='pi()', rate='0e0')} from e"))
 def edge_features(spark, sf):
-    return out(features.edge_features_10(admittances(spark, sf)), "scenario_id", "src", "dst", "dir", **same("e0", "tau"))
+    return out(features.edge_features_10(admittances(spark, sf)), "scenario_id", "src", "dst", "dir", **same("e0", "e1", "e2", "e3", "tau", "p_e", "q_e", "ang_min", "ang_max", "rate"))
+
 
+BUS15 = {
+    "pd": _slog("-p_set"), "qd": _slog("-q_set"), "qg": "0e0", "vm": "vm", "va": "va", "is_pq": "case when bus_type = 3 then 1e0 else 0e0 end", "is_pv": "case when bus_type = 2 then 1e0 else 0e0 end",
+    "is_slack": "case when bus_type = 1 then 1e0 else 0e0 end", "vm_min": "5e-1", "vm_max": "15e-1", "qg_min": "-1e1", "qg_max": "1e1", "gs": _slog("gs"), "bs": _slog("bs"), "vn": "log10(vn_kv + 1e-9)",
+}
 
-@query("bus_features", oracle("select scenario_id, bus, round(-p_set, 6) + 0e0 as pd, round(sign(-q_set) * ln(1e0 + abs(q_set)), 6) + 0e0 as qd_log, case when bus_type = 3 then 1e0 else 0e0 end as is_pq, case when bus_type = 1 then 1e0 else 0e0 end as is_slack, round(log10(vn_kv + 1e-9), 6) + 0e0 as vn_log from {bus}"))
+
+@query("bus_features", oracle(f"select scenario_id, bus, {_r6(**BUS15)} from {{bus}}"))
 def bus_features(spark, sf):
-    return out(features.bus_features_15(load(spark, sf, "bus")), "scenario_id", "bus", **same("pd", "qd_log", "is_pq", "is_slack", "vn_log"))
+    return out(features.bus_features_15(load(spark, sf, "bus")), "scenario_id", "bus", **same(*BUS15))
+
 
+WITH_GEN = """gb as (select *, row_number() over (partition by scenario_id order by bus) - 1 as idx from (
+  select * from {bus} where bus_type in (1, 2) union all select b.* from {bus} b where bus = 0 and not exists (select 1 from {bus} c where c.scenario_id = b.scenario_id and c.bus_type in (1, 2))) q)"""
 
-@query("gen_features", oracle("with g as (select * from {bus} where bus_type in (1, 2) and bus > 0 union all select b.* from {bus} b where bus = 0 and (bus_type in (1, 2) or not exists (select 1 from {bus} c where c.scenario_id = b.scenario_id and c.bus_type in (1, 2)))) select scenario_id, bus, row_number() over (partition by scenario_id order by bus) - 1 as gen, round(p_set - greatest(abs(p_set) * 5e-1, 1e1), 6) + 0e0 as p_min, round(vm, 6) + 0e0 as vg from g"))
+
+@query("gen_features", oracle(f"with {WITH_GEN} select scenario_id, bus, idx as gen, {_r6(pg=_slog('greatest(p_set, 0e0)'), pg_min='-1e1', pg_max='1e1', c0='0e0', c1='0e0', c2='0e0', on_='1e0')} from gb"))
 def gen_features(spark, sf):
-    return out(features.gen_features_7(load(spark, sf, "bus")), "scenario_id", "bus", "gen", **same("p_min", "vg"))
+    return out(features.gen_features_7(load(spark, sf, "bus")), "scenario_id", "bus", "gen", **same("pg", "pg_min", "pg_max", "c0", "c1", "c2"), on_="on")
+
+
+def hetero(spark, sf):
+    branch = units.branch_admittance(ends(spark, sf))
+    return features.hetero_tables(load(spark, sf, "bus"), branch, F.abs(F.col("v_f") - F.col("v_t")) > 1e-6)
+
+
+IS_TR = "(abs(tau - 1e0) > 1e-8 or abs(shift_deg) > 1e-8 or abs(v_f - v_t) > 1e-6)"
+ANGLES = {"ang_min": "-pi()", "ang_max": "pi()"}
+SERIES = {"r": "r", "x": "x", "b_from": "b / 2e0", "b_to": "b / 2e0", "rate": "0e0"}
+# By kind: keys, columns and what they are read from.
+HETERO = {
+    "bus": (("scenario_id", "bus", "bus_type"), {"vn_kv": "vn_kv", "vm_min": "5e-1", "vm_max": "15e-1", "v_setpoint": "vm"}, "", "{bus}"),
+    "generator": (
+        ("scenario_id", "idx", "bus"),
+        {"on": "1e0", "p_min": "p_set - greatest(abs(p_set) * 5e-1, 1e1)", "p_max": "p_set + greatest(abs(p_set) * 5e-1, 1e1)", "q_min": "q_set - greatest(abs(q_set) * 5e-1, 1e1)", "q_max": "q_set + greatest(abs(q_set) * 5e-1, 1e1)", "vg": "vm", **{f"z{k}": "0e0" for k in (1, 4, 8, 9, 10)}},
+        f"with {WITH_GEN} ", "gb",
+    ),
+    "load": (("scenario_id", "idx", "bus"), {"pd": "greatest(-p_set, 0e0)", "qd": "greatest(-q_set, 0e0)"}, "", "(select *, row_number() over (partition by scenario_id order by bus) - 1 as idx from {bus} where p_set <> 0e0 or q_set <> 0e0) q"),
+    "shunt": (("scenario_id", "idx", "bus"), same("gs", "bs"), "", "(select *, row_number() over (partition by scenario_id order by bus) - 1 as idx from {bus} where gs <> 0e0 or bs <> 0e0) q"),
+    "ac_line": (("scenario_id", "f_bus", "t_bus"), ANGLES | SERIES | {"z7": "0e0", "z8": "0e0"}, f"with {ENDS} ", f"ends where status = 1 and f_bus <> t_bus and not {IS_TR}"),
+    "transformer": (("scenario_id", "f_bus", "t_bus"), ANGLES | SERIES | {"tap": "tau", "shift": "shift_deg * pi() / 180e0", "z5": "0e0", "z6": "0e0"}, f"with {ENDS} ", f"ends where status = 1 and f_bus <> t_bus and {IS_TR}"),
+}
+
+
+def _hetero(kind):
+    keys, cols, with_, source = HETERO[kind]
+
+    @query(f"hetero_{kind}", oracle(f"{with_}select {', '.join(keys)}, {', '.join(f'round({v}, 6) + 0e0 as {chr(34)}{k}{chr(34)}' for k, v in cols.items())} from {source}"))
+    def hetero_of(spark, sf):
+        return out(hetero(spark, sf)[kind], *keys, **same(*cols))
+
+
+for _k in HETERO:
+    _hetero(_k)
 
 
-@query("hetero_tables", oracle(f"with {ENDS} select 'bus' as part, count(*) as n, round(sum(vn_kv), 4) + 0e0 as s from {{bus}} union all select 'generator', count(*), round(sum(p_mw - greatest(abs(p_mw) * 5e-1, 1e1)), 4) + 0e0 from {{element}} where kind = 'gen' and in_service = 1 union all select 'load', count(*), round(sum(p_mw), 4) + 0e0 from {{element}} where kind = 'load' and in_service = 1 union all select 'shunt', count(*), round(sum(bs), 4) + 0e0 from {{bus}} where bs <> 0e0 union all select 'ac_line', count(*), round(sum(x), 4) + 0e0 from ends where status = 1 and not {TRAFO} union all select 'transformer', count(*), round(sum(x), 4) + 0e0 from ends where status = 1 and {TRAFO}"))
+@query("hetero_tables", oracle(f"with {ENDS}, {WITH_GEN} select 'bus' as part, count(*) as n from {{bus}} union all select 'generator', count(*) from gb union all select 'load', count(*) from {{bus}} where p_set <> 0e0 or q_set <> 0e0 union all select 'shunt', count(*) from {{bus}} where gs <> 0e0 or bs <> 0e0 union all select 'ac_line', count(*) from ends where status = 1 and f_bus <> t_bus and not {IS_TR} union all select 'transformer', count(*) from ends where status = 1 and f_bus <> t_bus and {IS_TR}"))
 def hetero_tables(spark, sf):
-    t = features.hetero_tables(load(spark, sf, "bus"), ends(spark, sf), load(spark, sf, "element"), units.is_transformer())
-    pick = {"bus": "vn_kv", "generator": "p_min", "load": "p_mw", "shunt": "bs", "ac_line": "x", "transformer": "x"}
-    parts = [t[k].agg(F.lit(k).alias("part"), F.count("*").alias("n"), rounded(F.sum(c), 4).alias("s")) for k, c in pick.items()]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+    whole = None
+    for kind, t in hetero(spark, sf).items():
+        part = t.agg(F.lit(kind).alias("part"), F.count("*").alias("n"))
+        whole = part if whole is None else whole.unionByName(part)
     return whole
 
 
@@ -651,7 +752,7 @@ def export_ybus(spark, sf):
     return spark.read.parquet(f"{path}/ybus").agg(F.count("*").alias("n"), rounded(F.sum("im"), 3).alias("s")).crossJoin(sw)
 
 
-@query("distinct_bases", oracle("select cast(count(*) as bigint) as n, cast(4 as bigint) as kv from (select 1) q"))
+@query("distinct_bases", oracle("select cast(1 as bigint) as n, count(distinct vn_kv) as kv from {bus}"))
 def distinct_bases(spark, sf):
     path = _shared(spark)
     load(spark, sf, "bus").select("vn_kv").write.parquet(path)

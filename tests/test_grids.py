@@ -119,3 +119,50 @@ def test_small_results(spark):
     assert validate.bus_type_counts(one).first().asDict() == {"scenario_id": 1, "slack": 0, "pv": 0, "pq": 1}
     z = Cx.of(3.0, 4.0)
     assert spark.range(1).select((z / z).re, z.abs()).first()[:] == (1.0, 5.0)
+
+
+def test_exact_quantiles_of_many_rows_narrow_to_one(spark):
+    import math
+
+    import numpy as np
+
+    from gridweave.functions.numbers import exact_quantiles
+
+    wide = [10.0 ** (k % 23 - 12) * (1 + k * 7919 % 1000) for k in range(2000)]
+    tied = [1.0] * 400 + [2.0] * 400
+    for values in (wide, tied, [3.5]):
+        d = spark.createDataFrame([(v,) for v in [*values, math.nan, math.inf, None]], "v double")
+        probs = [0.0, 0.25, 0.5, 0.99, 1.0]
+        assert np.allclose(exact_quantiles(d, "v", probs, few=7, parts=16), np.quantile(values, probs), rtol=1e-12, atol=0)
+    assert exact_quantiles(d.limit(0), "v", [0.5]) == [None]
+
+
+def test_pair_places_and_back(spark):
+    from pyspark.sql import functions as F
+
+    from gridweave.operators import units
+
+    for n in (2, 5, 722):
+        pairs = [(i, j, n) for j in range(n) for i in range(j + 1, n)]
+        d = spark.createDataFrame(pairs[:: max(1, len(pairs) // 5000)] + pairs[-1:], "i long, j long, n long").withColumn("k", units.pair_index("i", "j", "n"))
+        i, j = units.pair_of("k", "n")
+        assert d.where((i != F.col("i")) | (j != F.col("j"))).isEmpty()
+        assert d.agg(F.max("k")).first()[0] == n * (n - 1) // 2 - 1
+
+
+def test_run_names_by_hand(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from gridweave.operators import runs
+
+    d = spark.createDataFrame([(1, ["/x/HVN_15000_NR_plain.parquet", "b.parquet"]), (2, []), (3, ["a_b.parquet"])], "id int, p array<string>")
+    got = {r.id: r.t for r in d.select("id", runs.dataset_tag(F.col("p")).alias("t")).collect()}
+    sha = lambda s: hashlib.sha1(s.encode()).hexdigest()[:6]
+    assert got == {1: "hvn_nr_n2_" + sha("HVN_15000_NR_plain|b"), 2: "ds_n0", 3: "ds_n1_" + sha("a_b")}
+    model = spark.range(1).select(runs.model_tag(F.lit("GNSMsg_SelfAttention-armijo__")).alias("m")).first().m
+    assert model == "attn_armijo"
+    logs = spark.createDataFrame([("MODEL:A_b, d: 8\nd: 9 d_hi: 32",), ("",), (None,)], "value string")
+    first, *rest = [tuple(r)[1:] for r in runs.parse_run_logs(logs).collect()]
+    assert first == ("A_b", 8, 32, 1, 10, 0.3, 0.1) and rest == [("GNSMsg_EdgeSelfAttn_VnFeat", 4, 16, 1, 10, 0.3, 0.1)] * 2
