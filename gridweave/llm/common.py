@@ -132,23 +132,22 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     ``edges``: (u, v) of longs, any direction, repeats and loops allowed.
     Returns (node, component): the smallest node reachable, for every node that
     is not the smallest of its own component. Each step is joins and grouped
-    minima, and its result is written to shared storage.
+    minima, and its result is written to shared storage. Steps end as soon as
+    every node has edges to one smaller node at most, which has none itself.
     """
-    hi, lo = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    now = stored(edges.where("u <> v").select(hi, lo).distinct(), tag)
-    seen = None
+    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), tag)
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        ends = now.select(F.col("u").alias("node"), "v", F.lit(False).alias("up"))
+        ends = ends.unionByName(now.select(F.col("v").alias("node"), "v", F.lit(True).alias("up")))
+        nodes = ends.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("up").alias("up"))
+        nodes = stored(nodes, f"{tag}-nodes")
+        if nodes.where("low < high or (low < node and up)").isEmpty():
+            return nodes.where("low < node").select("node", F.col("low").alias("component"))
+        large = now.join(nodes.select(F.col("node").alias("v"), "low"), "v").select("u", F.col("low").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = stored(small.distinct(), tag)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = mark
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
