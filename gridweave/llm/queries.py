@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import ann, htmltext, langid, linededup, neardup, ngramjoin, packing, pieces, pii, quality
+from gridweave.llm import ann, balanced, centroids, htmltext, langid, linededup, neardup, ngramjoin, packing, pieces, pii, quality, veccodes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,65 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_html_text"] = op2_html_text
+
+
+def op11_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES["op11_balanced_packing"] = op11_balanced_packing
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+# Whole vectors, and squared distances of two lists of whole numbers.
+_WHOLE = "select vec_id, label, row_number() over () as rn, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as q from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+_FAR = "cast(list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+_MEAN = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"
+
+
+def _centroids_sql(k: int = 16, rounds: int = 3) -> str:
+    parts = [f"v as ({_WHOLE.format(scale=64)} and len(embedding) = 64)", f"c0 as (select row_number() over (order by h, q) - 1 as c, q from (select sha256('1:' || vec_id) as h, q from v where vec_id is not null order by h, q limit {k}))"]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as (select rn, any_value(v.q) as q, min(struct_pack(d := {_FAR.format('v.q', 'c.q')}, c := c.c)) as m from v, c{i} c group by rn)")
+        if i < rounds:
+            parts.append(f"s{i} as (select c, list(cast(x as bigint) order by p) as q from (select c, p, {_MEAN} as x from (select m.c as c, unnest(q) as x, unnest(range(64)) as p from a{i}) group by c, p) group by c)")
+            parts.append(f"c{i + 1} as (select c.c, coalesce(s.q, c.q) as q from c{i} c left join s{i} s using (c))")
+    last = rounds
+    return f"""with {", ".join(parts)}
+select v.vec_id, cast(m.c as int) as cluster, m.d as distance, cast(sum(m.d) over (partition by m.c) as bigint) as cluster_inertia, cast(sum(m.d) over () as bigint) as inertia,
+       sha256(array_to_string(c{last}.q, ',')) as centroid_sha256
+from a{last} a join v using (rn) join c{last} on c{last}.c = a.m.c"""
+
+
+QUERIES["op12_centroids"] = op12_centroids
+ORACLES["op12_centroids"] = _centroids_sql()
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(n: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    parts = [
+        f"v as ({_WHOLE.format(scale=256)})",
+        f"w as (select rn, p, list_slice(q, p * (len(q) // {n}) + 1, (p + 1) * (len(q) // {n})) as q from (select rn, q, unnest(range({n})) as p from v))",
+        f"c0 as (select p, e, w.q from (select rn, row_number() over (order by vec_id nulls last, q) - 1 as e from v order by e limit {entries}) join w using (rn))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as (select rn, w.p, any_value(w.q) as q, min(struct_pack(d := {_FAR.format('w.q', 'c.q')}, e := c.e)) as m from w join c{i} c on c.p = w.p group by rn, w.p)")
+        if i < rounds:
+            parts.append(f"s{i} as (select p, e, list(cast(x as bigint) order by j) as q from (select p, e, j, {_MEAN} as x from (select p, m.e as e, unnest(q) as x, unnest(range(len(q))) as j from a{i}) group by p, e, j) group by p, e)")
+            parts.append(f"c{i + 1} as (select c.p, c.e, coalesce(s.q, c.q) as q from c{i} c left join s{i} s using (p, e))")
+    last = rounds
+    return f"""with {", ".join(parts)},
+done as (select rn, string_agg(printf('%02x', m.e), '' order by p) as code, cast(sum(m.d) as bigint) as error from a{last} group by rn)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(array_to_string(q, ','), ',' order by p, e)) from c{last}) as codebooks_sha256
+from done join v using (rn)"""
+
+
+QUERIES["op13_vector_codes"] = op13_vector_codes
+ORACLES["op13_vector_codes"] = _codes_sql()
