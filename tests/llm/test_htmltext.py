@@ -87,3 +87,61 @@ def test_names_drop_parts_but_not_the_page(spark):
     left = "<body><nav>no</nav><div class='ad'>one</div><div class='promo'>two</div></body>"
     advert = f"<body><div class='ad'>{'no ' * 99}</div><article>One word<div class='share'>{'no ' * 99}</div></article></body>"
     assert texts(spark, [("a.example", headline), ("b.example", left), ("c.example", advert)]) == ["Title A text of some words.", "one two", "One word"]
+
+
+def as_divs(page):
+    """The page with neither names nor elements that tell what they hold."""
+    return re.sub(r"<(/?)(?:article|main|header|footer|nav|aside|form)>", r"<\1div>", re.sub(r'\s(?:class|id|role)="[^"]*"', "", page))
+
+
+def test_template_decides_where_nothing_is_named(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    want = {r.page_id: plain(r.html) for r in pages}
+    df = spark.createDataFrame([(r.page_id, r.url, as_divs(r.html)) for r in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.96 * len(want)
+    # Without a template no page comes out right, and by its own slots alone fewer do.
+    assert all(htmltext.main_text(as_divs(r.html), frozenset()) != want[r.page_id] for r in pages)
+    assert sum(htmltext.main_text(as_divs(r.html)) == want[r.page_id] for r in pages) < sum(got[i] == want[i] for i in want)
+    # Joined by a shuffle, templates give the same.
+    assert {r.page_id: r.text for r in htmltext.extract(df, broadcast_tokens=0).collect()} == got
+
+
+def test_classes_against_whole_vectors(spark):
+    """All vectors of a host side by side: tokens of equal vectors, two at least, as often on each page, on half of the pages."""
+    shapes = ["<div><h1>T{i}</h1>x{i}</div>", "<div class=m><ul><li>Home<li>About</ul></div>", "<div>Sold here{odd}</div>", "<p>Once more</p>" * 2, "<section><p>Once more</p><p>{i}</p></section>", "<div>{third}</div>"]
+    rows = []
+    for i in range(40):
+        body = "".join(s.format(i=i, odd="!" * (i % 2), third="" if i % 3 else "Now") for k, s in enumerate(shapes) if (i + k) % 5)
+        rows.append((i, f"http://h{i % 7 % 4}.example/{i}", f"<body>{body}<footer>All rights kept</footer></body>"))
+    rows += [(100, "http://lone.example/", rows[0][2]), (101, None, rows[0][2]), (102, "http://h1.example/x", None)]
+    rows += [(200 + i, r.url, r.html) for i, r in enumerate(spark.read.parquet(f"{SF}/pages.parquet").limit(60).collect())]
+    got = htmltext.template_tokens(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    hosts = {}
+    for i, url, page in rows:
+        if page is not None and htmltext.host_of(url):
+            out = htmltext.parse(page)
+            hosts.setdefault(htmltext.host_of(url), []).append((out.token, [out.text_token(b) for b in out.blocks]))
+    want = set()
+    for host, pages in hosts.items():
+        classes = {}
+        for token in {t for elements, texts in pages for t in elements + texts}:
+            classes.setdefault(tuple((e + x).count(token) for e, x in pages), []).append(token)
+        elements = {t for e, _ in pages for t in e}
+        for vector, tokens in classes.items():
+            on = [n for n in vector if n]
+            if len(on) > 1 and 2 * len(on) >= len(pages) and sum(on) % len(on) == 0 and len(set(on)) == 1 and sum(1 + (t in elements) for t in tokens) > 1:
+                want |= {(host, t) for t in tokens}
+    assert {(r.host, r.token % 2**64) for r in got} == want and len(want) > 50
+
+
+def test_clashing_names_and_deep_names(spark):
+    page = "<body><article>One text</article></body>"
+    names = "tokens host boxes rest token around kind pages salt n text n_chars".split()
+    df = spark.createDataFrame([(1, "http://a.example/1", page, *range(len(names)))], "page_id long, url string, html string, " + ", ".join(f"{n} int" for n in names))
+    for most in (1_000_000, 0):
+        row = htmltext.extract(df, broadcast_tokens=most).first()
+        assert row.text == "One text" and row.n_chars == 8 and row.tokens == 0 and row.salt == 8
+    # Names count however deep they are.
+    deep = "<body><div>" + "<div class='box-%d'>" % 1 * 3 + "<div class='ad'>" * 80 + "<div>no</div>" + "</div>" * 83 + "All that the page has to say.</div></body>"
+    assert texts(spark, [("b.example", deep)]) == ["All that the page has to say."]
