@@ -35,6 +35,8 @@ from gridweave.llm.packing import _Encoder
 
 # Multiply-adds of a transformer layer of width d: about 6 d a token against 1 for each pair of tokens, here for d = 1024.
 LINEAR, QUADRATIC = 6144, 1
+# Words that a task remembers, about 100 bytes each.
+CACHE_WORDS = 400_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -125,7 +127,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Dat
 
     def run(it):
         # One for each task: workers outlive their tasks, and would hold its memory.
-        encode = _Encoder(tokenizer)
+        encode = _Encoder(tokenizer, CACHE_WORDS)
         for batch in batches_of(it, "text", 4 << 20):
             out = defaultdict(list)
             for doc, found in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):

@@ -36,34 +36,59 @@ class _Encoder:
     The tokenizer drops white space, so chunks are independent of each other.
     ASCII letters are lower-cased first and a blank is put between a letter and
     the punctuation after it, where the tokenizer splits anyway. Texts that may hold
-    a special token are encoded as they are.
+    a special token are encoded as they are. New chunks are encoded many at a time,
+    with a special token after each, at which the tokenizer splits before all else.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
+        self.mark = min(((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")), default=None)
         self._forget()
 
     def _forget(self) -> None:
-        self.seen, self.flat, self.size = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.seen, self.flat, self.size, self.uses = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _make_room(self) -> None:
+        """Forgets all chunks but those most batches had, half of the room at most; most chunks come once."""
+        best = np.argsort(-self.uses, kind="stable")[: min(self.cache_words // 2, int((self.uses > 1).sum()))]
+        best.sort()
+        begin, size = (np.cumsum(self.size) - self.size)[best], self.size[best]
+        keep, names = set(best.tolist()), list(self.seen)
+        self.flat = self.flat[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
+        self.size, self.uses = size, self.uses[best] // 2
+        self.seen = {c: i for i, c in enumerate(c for i, c in enumerate(names) if i in keep)}
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         parts = (texts[i : i + 4096] for i in range(0, len(texts), 4096))
         return [np.array(e.ids, np.uint32) for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
+    def _each(self, chunks: list[str], at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks end to end, and how many each has."""
+        if self.mark is None:
+            ids = self._direct(chunks)
+            return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        number, text = self.mark
+        ids = np.concatenate(self._direct([text.join(chunks[i : i + at_once]) + text for i in range(0, len(chunks), at_once)]))
+        marks = ids == number
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         """Places of the chunks among those remembered."""
-        if len(self.seen) > CACHE_WORDS:
-            self._forget()
+        if len(self.seen) > self.cache_words:
+            self._make_room()
         new = [c for c in chunks if c not in self.seen]
         if new:
-            ids = self._direct(new)
+            ids, size = self._each(new)
             self.seen.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-            self.size = np.r_[self.size, np.fromiter(map(len, ids), np.int64, len(ids))]
-            self.flat = np.concatenate([self.flat, *ids])
-        return np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
+            self.size = np.r_[self.size, size]
+            self.flat = np.concatenate([self.flat, ids])
+            self.uses = np.r_[self.uses, np.zeros_like(size)]
+        found = np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
+        self.uses[found] += 1
+        return found
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_string())

@@ -65,6 +65,11 @@ def test_encoder_equals_tokenizer():
     encode = packing._Encoder(PATH)
     for _ in range(2):
         assert [list(x) for x in encode(pa.array(texts))] == want
+    # Without a special token to put between words, and with a small cache.
+    for encode in (packing._Encoder(PATH), packing._Encoder(PATH, 3)):
+        encode.mark = encode.mark if encode.cache_words == 3 else None
+        for _ in range(3):
+            assert [list(x) for x in encode(pa.array(texts))] == want
 
 
 def test_edges(spark):
