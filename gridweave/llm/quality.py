@@ -83,13 +83,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_pieces: int = 6000, dictionary_bytes: int = 112_640, piece: int = 512) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, dictionary_bytes: int = 112_640, piece: int = 512) -> QualityModel:
     """Fits on ``docs`` (doc_id, text) with ``labels`` (doc_id, quality 0 or 1).
 
     Bounded sample, chosen by a hash of doc_id: ``max_docs`` documents of each
-    label. Two thirds give pieces for the dictionaries (``max_pieces`` of each
-    label at most), the others calibrate. Only pieces and calibration rows reach
-    the driver.
+    label, read whole. Two thirds give the pieces of the dictionaries, the others
+    calibrate. Only those documents' pieces and calibration rows reach the driver.
     """
     few_rows_at_once(docs.sparkSession)
     order = F.xxhash64(F.lit(17), "doc_id")
@@ -101,9 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_pieces: in
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _pieces(t, piece))
 
-    parts = sample.where("not calibrates").select("quality", F.explode(F.pandas_udf(cut, "array<binary>")("text")).alias("part"))
-    order = F.xxhash64(F.lit(3), "part")
-    good, bad = ([bytes(r.part) for r in parts.where(F.col("quality") == q).orderBy(order).limit(max_pieces).collect()] for q in (1, 0))
+    parts = sample.where("not calibrates").select("doc_id", "quality", F.pandas_udf(cut, "array<binary>")("text").alias("parts")).collect()
+    parts.sort(key=lambda r: (r.doc_id, [*map(bytes, r.parts)]))
+    good, bad = ([bytes(x) for r in parts if r.quality == q for x in r.parts] for q in (1, 0))
     if not good or not bad:
         return QualityModel(b"", b"", None, piece)
     good, bad = _dictionary(good, dictionary_bytes), _dictionary(bad, dictionary_bytes)
