@@ -75,3 +75,9 @@ def test_edges(spark):
     assert got == {(1, 0, ""), (2, 0, ""), (3, 1, "email:0:6")}
     assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == [None, "", "[EMAIL]", "[EMAIL]"]
     assert pii.detect(df).count() == 4 and pii.digest(df.limit(0)).count() == 0
+
+
+def test_long_secrets_go_whole():
+    for value in ("a1" * 150, "Zz9-" * 5000):
+        text = f"set password = {value} now"
+        assert pii.redact_text(text, pii.find_spans(text)) == "set password = [SECRET] now"
