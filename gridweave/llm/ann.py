@@ -131,8 +131,8 @@ def _of_length(rows: DataFrame, queries: DataFrame, d: int, k: int, key: str, cu
 
     on_curves = classes.select("rep", "asked", "v").mapInArrow(keyed, "curve int, place long, rep long, asked boolean, v array<double>")
     # Range bounds: curves * (ranges - 1) numbers, whatever the input.
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    bounds = {r.curve: np.unique(r.b) for r in on_curves.groupBy("curve").agg(F.percentile_approx("place", shares, F.lit(20_000)).alias("b")).collect()}
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)] or [F.lit(1.0)])
+    bounds = {r.curve: np.unique(np.array(r.b or [], np.int64)) for r in on_curves.groupBy("curve").agg(F.percentile_approx("place", shares, F.lit(20_000)).alias("b")).collect()}
     bounds = [bounds[c] for c in range(curves)]
 
     def range_of(curve: pd.Series, place: pd.Series) -> pd.Series:
@@ -178,8 +178,10 @@ def _of_length(rows: DataFrame, queries: DataFrame, d: int, k: int, key: str, cu
     found = blocks.mapInArrow(compare, "rep long, found long, score double").groupBy("rep", "found").agg(F.max("score").alias("score"))
     best = Window.partitionBy("rep").orderBy(-F.round("score", DIGITS), "found")
     found = found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k).drop("__r")
+    # Of equal vectors as of others: parts go by the largest, so that no square is lost or overflows.
     norm = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    own = classes.where("asked").select("rep", F.col("rep").alias("found"), (norm(F.col("v")) / (F.sqrt(norm(F.col("v"))) * F.sqrt(norm(F.col("v"))))).alias("score"))
+    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
+    own = classes.where("asked").select("rep", F.col("rep").alias("found"), norm(scaled).alias("n")).select("rep", "found", (F.col("n") / (F.sqrt("n") * F.sqrt("n"))).alias("score"))
     found = found.unionByName(own).join(classes.select(F.col("rep").alias("found"), "members"), "found")
     wide = found.select("rep", "score", F.explode("members").alias("vec_id"))
     # A query has at most k of its own class and k classes of k + 1 members each to choose from.

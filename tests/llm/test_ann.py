@@ -66,3 +66,22 @@ def test_every_length_is_searched(spark):
     for r in ann.nearest(df, F.col("vec_id") % 50 == 0, ranges=2).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [i for i, _ in brute(rows, [q])[q]] for q, rows in ((0, short), (100, long))}
+
+
+def test_very_small_and_large_parts(spark):
+    """Exact copies stay in the result whatever their size, and nothing ends the query."""
+    rng = np.random.default_rng(7)
+    base = {i: rng.normal(size=6) for i in range(30)}
+    size = lambda i: (1.0, 1e200, 1e-200, 1e300, 5e-324)[i % 5]
+    rows = {i: [float(x) for x in v * size(i)] for i, v in base.items() if i % 5 != 4} | {4: [5e-324, 0.0, 0.0, 0.0, 0.0, 0.0]}
+    rows |= {100 + i: rows[i] for i in (0, 1, 2, 3, 4)} | {200 + i: rows[i] for i in (0, 1, 2, 3, 4)} | {150: rows[2], 250: rows[1], 300: rows[3], 350: rows[4]}
+    df = spark.createDataFrame([*rows.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, ranges=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows.items()}
+    for q, found in got.items():
+        want = brute(unit, [q])[q]
+        assert [i for i, _ in found] == [i for i, _ in want]
+        assert np.allclose([s for _, s in found], [s for _, s in want], rtol=0, atol=1e-12)
+    assert got.keys() == {q for q in rows if q % 50 == 0}
