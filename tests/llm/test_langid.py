@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from gridweave.llm import langid
@@ -42,3 +45,60 @@ def test_training_reads_whole_texts(spark):
     assert {r.doc_id: r.lang_pred for r in langid.predict(odd, model).collect()} == {1: "en", 2: "de"}
     raw = np.frombuffer(("abc d" * 9).encode(), np.uint8)
     assert all((langid._counts(raw, 64, w) == langid._counts(raw, 64)).all() for w in (1, 7, 44, 45))
+
+
+def test_against_a_plain_fit_and_score(spark):
+    """The whole query once more: n-grams one by one in a dictionary, plain gradient steps, plain decoding."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").collect()
+    blank = {i: 32 for i in [*range(65), *range(91, 97), *range(123, 128)]} | {i: i + 32 for i in range(65, 91)}
+
+    def grams(text):
+        raw = text.encode().translate(bytes(blank.get(i, i) for i in range(256)))
+        found = Counter()
+        for n in (2, 3, 4):
+            for i in range(len(raw) - n + 1):
+                found[raw[i : i + n]] += 1
+        return found
+
+    def slot(gram, known={}):
+        if gram not in known:
+            x = (int.from_bytes(gram, "little") + (len(gram) << 40)) % 2**64
+            for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                x = (x ^ (x >> shift)) * times % 2**64
+            known[gram] = x % 8192
+        return known[gram]
+
+    def shares(text):
+        out = np.zeros(8192)
+        found = grams(text)
+        for g, n in found.items():
+            out[slot(g)] += n
+        return out / max(1, sum(found.values()))
+
+    letter = lambda t: any(c.isalpha() for c in t or "")
+    learned = [r for r in rows if r.lang is not None and letter(r.text) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    langs = sorted({r.lang for r in learned})
+    assert max(Counter(r.lang for r in learned).values()) <= 600
+    codes = langid.codewords(len(langs)).astype(float)
+    x, y = np.array([shares(r.text) for r in learned]), np.array([codes[langs.index(r.lang)] for r in learned])
+    each = np.array([1 / sum(o.lang == r.lang for o in learned) for r in learned])[:, None]
+    center = x.mean(axis=0)
+    scale = 1 / np.sqrt(np.maximum(center, 1e-5))
+    z, w = (x - center) * scale, np.zeros((8192, y.shape[1]))
+    rate = 2 / (z * z).sum(axis=1).mean()
+    for _ in range(150):
+        w += rate * (z.T @ (each / each.mean() * y / (1 + np.exp(y * (z @ w)))) / len(z) * len(langs) - 1e-3 * w)
+    bits = np.maximum(2 * ((z @ w) * y > 0).mean(axis=0) - 1, 1e-3)
+    spread = 3 / np.abs(z @ w).mean(axis=0)
+    got = {r.doc_id: r for r in op9_language(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if not letter(r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        margin = (((shares(r.text) - center) * scale) @ w) * spread
+        loss = (np.log1p(np.exp(-margin * codes)) * bits).sum(axis=1)
+        share = np.exp(-loss) / np.exp(-loss).sum()
+        assert abs(got[r.doc_id].score - share.max()) < 2e-3
+        if share.max() - np.sort(share)[-2] > 1e-2:
+            assert got[r.doc_id].lang_pred == langs[int(share.argmax())]
