@@ -59,3 +59,29 @@ def test_every_length_is_compared(spark):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in (short | long | {300: np.ones(20)}).items()], "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df, recall=0.9999).collect()}
     assert got == brute(short) | brute(long) | {300: (0, 300, True)}
+
+
+def test_codes_pass_pairs_at_the_threshold():
+    rng = np.random.default_rng(4)
+    codes, base = neardup.Codes(64, 0.9), rng.normal(size=(4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    near = 0.9 * base + np.sqrt(1 - 0.81) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    a, b = codes(base), codes(near)
+    assert all(codes.near(a[k : k + 1], b[k : k + 1])[0, 0] for k in range(len(a)))
+    assert codes.near(a[:1000], b[2000:3000]).mean() < 2e-3
+
+
+def test_vectors_are_sent_once_a_group(spark, monkeypatch):
+    """Of rows with no near partner nothing but keys and codes is shuffled; of a pair, its vectors once, however many tables bring it together."""
+    rng = np.random.default_rng(6)
+    rows = {i: rng.normal(size=64) for i in range(400)}
+    rows |= {1000 + i: rows[i] + rng.normal(size=64) * 0.01 for i in range(50)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    sent = {}
+    keep = neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda d, tag: sent.setdefault(tag, keep(d, tag)))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute(rows)
+    assert neardup.Hashes(64, 450, 0.9, 0.95).tables > 3 and sent["groups"].count() <= 150
