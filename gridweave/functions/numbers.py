@@ -14,9 +14,32 @@ def hash_order(key, seed: int) -> Column:
     return (k * 2654435761 + F.lit(seed)) % 4294967296
 
 
+# Draws are chains of powers modulo this prime. Fifth powers permute the numbers below it (5 does not
+# divide PRIME - 1), products of two of them fit 63 bits, so every engine draws the same.
+PRIME = 2147483647
+
+
+def _link(h: Column, k: Column) -> Column:
+    square = (h * h) % PRIME
+    return ((square * square) % PRIME * h % PRIME + k) % PRIME
+
+
+def text_key(c) -> Column:
+    """A text as a whole number below ``PRIME``, for use as a key of draws."""
+    letters = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda h, x: (h * 257 + F.ascii(x)) % PRIME)
+
+
+def draw(seed: int, *keys) -> Column:
+    """A whole number from 0 to ``PRIME`` - 1 that depends on seed and whole-numbered keys only: h -> h^5 + key, from the seed on, two more steps at the end."""
+    keys = [F.pmod((F.col(k) if isinstance(k, str) else k).cast("long"), F.lit(PRIME)) for k in keys]
+    last = F.lit(0).cast("long")
+    return F.aggregate(F.array(*keys, last, last), F.lit(seed % PRIME).cast("long"), _link)
+
+
 def uniform(seed: int, *keys) -> Column:
     """A draw in (0, 1) that depends on seed and keys only, not on partitioning."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return (draw(seed, *keys).cast("double") + 0.5) / float(PRIME)
 
 
 def normal(seed: int, *keys) -> Column:
@@ -25,6 +48,23 @@ def normal(seed: int, *keys) -> Column:
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
 
 
+def text_key_sql(text: str) -> str:
+    """``text_key`` in SQL."""
+    return f"list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split({text}, ''), lambda x: cast(ascii(x) as bigint))), lambda h, x: (h * 257 + x) % {PRIME})"
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """``uniform`` in SQL."""
+    links = ", ".join([f"cast({seed % PRIME} as bigint)", *[f"(cast({k} as bigint) % {PRIME} + {PRIME}) % {PRIME}" for k in keys], "0", "0"])
+    square = f"((h * h) % {PRIME})"
+    return f"((cast(list_reduce([{links}], lambda h, k: (({square} * {square}) % {PRIME} * h % {PRIME} + k) % {PRIME}) as double) + 5e-1) / {PRIME}e0)"
+
+
+def normal_sql(seed: int, *keys: str) -> str:
+    """``normal`` in SQL."""
+    return f"(sqrt(-2e0 * ln({uniform_sql(seed, *keys)})) * cos(2e0 * pi() * {uniform_sql(seed + 1_000_003, *keys)}))"
+
+
 def signed_log1p(x) -> Column:
     c = F.col(x) if isinstance(x, str) else x
     return F.signum(c) * F.log1p(F.abs(c))

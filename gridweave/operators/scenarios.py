@@ -1,12 +1,12 @@
-"""Scenario tables by expansion: every draw hashes (seed, scenario, element), so results do not depend on partitioning."""
+"""Scenario tables by expansion: every draw depends on (seed, scenario, element) alone, so results do not depend on partitioning."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.functions.numbers import normal, uniform
-from gridweave.operators.topology import unsupplied_buses
+from gridweave.functions.numbers import normal, text_key, uniform
+from gridweave.operators.topology import component_labels, edges_of, relabel
 
 PRESET_SCHEMA = "level string, scale_lo double, scale_hi double, sigma_p double, sigma_q double, sigma_gen double, vm_lo double, vm_hi double, random_start boolean, angle_jitter_deg double, mag_jitter double, outage double"
 # The published scenario presets, in the order of the schema; no range means no scaling.
@@ -32,7 +32,7 @@ def expand_scenarios(element: DataFrame, n: int, preset: DataFrame, seed: int =
     """
     draws = element.sparkSession.range(n).withColumnRenamed("id", "draw")
     out = element.crossJoin(F.broadcast(draws)).crossJoin(F.broadcast(preset))
-    u = uniform(seed, "scenario_id", "draw", "level")
+    u = uniform(seed, "scenario_id", "draw", text_key("level"))
     drawn = F.greatest(F.lit(0.05), F.col("scale_lo") + (F.col("scale_hi") - F.col("scale_lo")) * u)
     scale = F.when(F.col("scale_lo").isNull(), 1.0).otherwise(drawn)
     scaled = F.col("p_mw") * scale
@@ -41,14 +41,23 @@ def expand_scenarios(element: DataFrame, n: int, preset: DataFrame, seed: int =
     return out.withColumns({"p_mw": p, "q_mvar": q, "scale": scale})
 
 
-def jitter_elements(expanded: DataFrame, conflicts: DataFrame | None = None, seed: int = 43) -> DataFrame:
-    """Independent normal factors on load P and Q and generator P; new generator set-points but in grids where controllers conflict."""
-    key = ["scenario_id", "draw", "level", "kind", "bus"]
+# Published cases whose voltage controllers conflict, so that their set-points stay.
+SET_POINT_CASES = ("GBnetwork", "GBreducednetwork")
+
+
+def jitter_elements(expanded: DataFrame, conflicts: DataFrame | None = None, case: str | None = None, seed: int = 43) -> DataFrame:
+    """Independent normal factors on load P and Q and generator P; new generator set-points but in grids where controllers conflict.
+
+    Those are the grids in ``conflicts``, and those whose name in column ``case`` is among ``SET_POINT_CASES``.
+    """
+    key = ["scenario_id", "draw", text_key("level"), text_key("kind"), "bus"]
     f = lambda s, k: 1 + F.col(s) * normal(seed + k, *key)
     p = F.col("p_mw") * F.when(F.col("kind") == "load", f("sigma_p", 0)).when(F.col("kind") == "gen", f("sigma_gen", 2)).otherwise(1.0)
     out = expanded.withColumns({"p_mw": p, "q_mvar": F.col("q_mvar") * F.when(F.col("kind") == "load", f("sigma_q", 1)).otherwise(1.0)})
     drawn = F.col("vm_lo") + (F.col("vm_hi") - F.col("vm_lo")) * uniform(seed + 3, *key)
     free = F.col("kind") == "gen"
+    if case is not None:
+        free = free & ~F.coalesce(F.col(case).isin(*SET_POINT_CASES), F.lit(False))
     if conflicts is not None:
         out = out.join(conflicts.select("scenario_id", F.lit(True).alias("__c")).distinct(), "scenario_id", "left")
         free = free & F.col("__c").isNull()
@@ -60,16 +69,26 @@ def sample_outages(bus: DataFrame, branch: DataFrame, p: float, seed: int = 44)
     """Active branches fail with probability ``p``; a scenario in which a bus would lose its supply keeps all of them.
 
     Parallel circuits are told apart by their place among the branches of the same ends.
+    Only grids that lost a branch are looked at, and in them only the components
+    that lost one are labelled again.
     """
-    same_ends = Window.partitionBy("scenario_id", "f_bus", "t_bus").orderBy(*[c for c in branch.columns if c not in ("scenario_id", "f_bus", "t_bus")])
+    key = "scenario_id"
+    same_ends = Window.partitionBy(key, "f_bus", "t_bus").orderBy(*[c for c in branch.columns if c not in (key, "f_bus", "t_bus")])
     branch = branch.withColumn("__k", F.row_number().over(same_ends))
-    hit = (F.col("status") == 1) & (uniform(seed, "scenario_id", "f_bus", "t_bus", "__k") < p)
-    drawn = branch.withColumn("drawn", F.when(hit, 0).otherwise(F.col("status")))
-    was = unsupplied_buses(bus, branch)
-    now = unsupplied_buses(bus, drawn.withColumn("status", F.col("drawn")))
-    undone = now.join(was, ["scenario_id", "bus"], "left_anti").select("scenario_id").distinct().withColumn("__undo", F.lit(True))
-    out = drawn.join(undone, "scenario_id", "left")
-    return out.withColumn("status", F.when(F.col("__undo").isNull(), F.col("drawn")).otherwise(F.col("status"))).drop("drawn", "__undo", "__k")
+    hit = (F.col("status") == 1) & (uniform(seed, key, "f_bus", "t_bus", "__k") < p)
+    drawn = branch.withColumn("__hit", hit).checkpoint()
+    lost = drawn.where("__hit").select(key, F.col("f_bus").alias("u"), F.col("t_bus").alias("v"))
+    touched = lost.select(key).distinct()
+    seen = bus.select(key, "bus", "bus_type").join(touched, key, "left_semi")
+    before = component_labels(seen, edges_of(drawn.join(touched, key, "left_semi")))
+    after = relabel(before, lost, edges_of(drawn.where("not __hit")))
+    fed = lambda labels: labels.join(seen.where("bus_type = 1").select(key, "bus"), [key, "bus"], "left_semi").select(key, "label").distinct()
+    # A bus loses its supply if its component had a slack bus and its part of it has none.
+    was = before.join(fed(before), [key, "label"], "left_semi").select(key, "bus")
+    undone = after.join(fed(after), [key, "label"], "left_anti").join(was, [key, "bus"], "left_semi")
+    undone = undone.select(key).distinct().withColumn("__undo", F.lit(True))
+    out = drawn.join(undone, key, "left")
+    return out.withColumn("status", F.when(F.col("__hit") & F.col("__undo").isNull(), 0).otherwise(F.col("status"))).drop("__hit", "__undo", "__k")
 
 
 def flat_start(bus: DataFrame, gens: DataFrame, vm_noise: float = 0.0, va_noise: float = 0.0, seed: int = 45) -> DataFrame:
@@ -120,6 +139,8 @@ def sample_envelope(bounds: DataFrame, n: int, mode: str = "coupled", seed: int
     return out.select("draw", "load_id", (F.col("p_min") + u * (F.col("p_max") - F.col("p_min"))).alias("p"), (F.col("q_min") + v * (F.col("q_max") - F.col("q_min"))).alias("q"))
 
 
-def with_variants(scenarios: DataFrame, variants: DataFrame) -> DataFrame:
-    """Every scenario with every variant (a few rows: start modes, presets)."""
+def with_variants(scenarios: DataFrame, variants: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every scenario with every variant (a few rows: start modes, presets; at most ``most``, which is checked)."""
+    if variants.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} variants")
     return scenarios.crossJoin(F.broadcast(variants))

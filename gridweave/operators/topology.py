@@ -26,20 +26,39 @@ def component_labels(bus: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _edges(branch: DataFrame, switch: DataFrame | None = None) -> DataFrame:
+def edges_of(branch: DataFrame, switch: DataFrame | None = None) -> DataFrame:
     out = branch.where("status = 1").select("scenario_id", F.col("f_bus").alias("u"), F.col("t_bus").alias("v"))
     if switch is not None:
         out = out.unionByName(switch.where("closed = 1 and et = 'b'").select("scenario_id", F.col("bus").alias("u"), F.col("element").alias("v")))
     return out
 
 
+def relabel(labels: DataFrame, lost: DataFrame, kept: DataFrame) -> DataFrame:
+    """(scenario_id, bus, label) after edges are gone, of the components that lost one; all others keep their labels.
+
+    ``labels`` were found with all edges; ``lost`` and ``kept``: scenario_id, u, v.
+    """
+    key = "scenario_id"
+    broken = lost.join(labels.select(key, F.col("bus").alias("u"), "label"), [key, "u"]).select(key, "label").distinct()
+    again = labels.join(broken, [key, "label"], "left_semi").select(key, "bus").checkpoint()
+    return component_labels(again, kept.join(again.select(key, F.col("bus").alias("u")), [key, "u"], "left_semi"))
+
+
+def drop_disconnected(bus: DataFrame, branch: DataFrame) -> DataFrame:
+    """Buses of the grids that branches in service hold together; grids in several parts go."""
+    labels = component_labels(bus, edges_of(branch))
+    # The least bus of a grid is every bus's label if the grid is one part.
+    whole = labels.groupBy("scenario_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a = b").select("scenario_id")
+    return bus.join(whole, "scenario_id", "left_semi")
+
+
 def reachable_from_slack(bus: DataFrame, branch: DataFrame, root: int = 0) -> DataFrame:
     """Per scenario: buses, those reachable from bus ``root`` over branches in service, and whether all are.
 
     They are those of the root's component, so that rounds grow with the logarithm of a grid's diameter.
     """
     key = "scenario_id"
-    labels = component_labels(bus, _edges(branch))
+    labels = component_labels(bus, edges_of(branch))
     own = labels.where(F.col("bus") == root).select(key, "label")
     got = labels.groupBy(key, "label").agg(F.count("*").alias("reached")).join(own, [key, "label"], "left_semi").drop("label")
     n = bus.groupBy(key).agg(F.count("*").alias("n"))
@@ -49,7 +68,7 @@ def reachable_from_slack(bus: DataFrame, branch: DataFrame, root: int = 0) -> Da
 
 def unsupplied_buses(bus: DataFrame, branch: DataFrame, switch: DataFrame | None = None) -> DataFrame:
     """Buses whose component holds no slack bus in service."""
-    labels = component_labels(bus, _edges(branch, switch))
+    labels = component_labels(bus, edges_of(branch, switch))
     fed = labels.join(bus.where("bus_type = 1").select("scenario_id", "bus"), ["scenario_id", "bus"], "left_semi").select("scenario_id", "label").distinct()
     return labels.join(fed, ["scenario_id", "label"], "left_anti").select("scenario_id", "bus")
 

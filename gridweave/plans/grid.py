@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.complexnum import Cx, cx, normalize_complex, wrap
 from gridweave.functions.numbers import rounded, signed_log1p
-from gridweave.operators import clean, residual, units, voltage, ybus
+from gridweave.operators import clean, layout, residual, units, voltage, ybus
 from gridweave.plans.registry import query
-from gridweave.plans.tables import load, oracle
+from gridweave.plans.tables import grids, load, oracle
 
 # SQL twins of the shared steps: admittance, matrix entries, matrix, currents, residuals.
 ADM = "adm as (select *, r / (r * r + x * x) as yr, -x / (r * r + x * x) as yi, shift_deg * pi() / 180e0 as th from {branch} where status = 1 and f_bus <> t_bus)"
@@ -51,7 +51,7 @@ def matrix(spark, sf):
 
 
 def residuals(spark, sf):
-    return residual.power_residual(buses(spark, sf), matrix(spark, sf))
+    return layout.power_residual(grids(spark, sf))
 
 
 def out(df, *keys, digits=6, **cols):
@@ -82,6 +82,57 @@ def _dist(c):
       round(quantile_cont(abs({c}), 0.99), 6) + 0e0 as p99, round(sqrt(avg({c} * {c})), 6) + 0e0 as rmse, round(sum(case when abs({c}) <= 5e0 then 1e0 else 0e0 end) / count({c}), 6) + 0e0 as within, count({c}) as n from res"""
 
 
+@query("power_residual_by_matrix", oracle(f"with {RES} select scenario_id, bus, {r6('dp', 'dq')} from res"))
+def power_residual_by_matrix(spark, sf):
+    return out(residual.power_residual(buses(spark, sf), matrix(spark, sf)), "scenario_id", "bus", **same("dp", "dq"))
+
+
+# Both ends' currents from a branch's 2 x 2 block, and the powers they carry.
+FLOW = (
+    ADM
+    + """, ends2 as (select a.scenario_id, a.f_bus, a.t_bus, yr, yi, tau, th, x, b, f.vm * cos(f.va) as ur, f.vm * sin(f.va) as ui, t.vm * cos(t.va) as wr, t.vm * sin(t.va) as wi
+  from adm a join {bus} f on a.scenario_id = f.scenario_id and a.f_bus = f.bus join {bus} t on a.scenario_id = t.scenario_id and a.t_bus = t.bus),
+cur2 as (select *, (yr * ur - (yi + b / 2e0) * ui) / (tau * tau) - ((yr * cos(th) - yi * sin(th)) * wr - (yr * sin(th) + yi * cos(th)) * wi) / tau as ifr,
+  (yr * ui + (yi + b / 2e0) * ur) / (tau * tau) - ((yr * cos(th) - yi * sin(th)) * wi + (yr * sin(th) + yi * cos(th)) * wr) / tau as ifi,
+  yr * wr - (yi + b / 2e0) * wi - ((yr * cos(th) + yi * sin(th)) * ur - (yi * cos(th) - yr * sin(th)) * ui) / tau as itr,
+  yr * wi + (yi + b / 2e0) * wr - ((yr * cos(th) + yi * sin(th)) * ui + (yi * cos(th) - yr * sin(th)) * ur) / tau as iti from ends2),
+flow as (select scenario_id, f_bus, t_bus, ur * ifr + ui * ifi as p_f, ui * ifr - ur * ifi as q_f, wr * itr + wi * iti as p_t, wi * itr - wr * iti as q_t,
+  sqrt(ifr * ifr + ifi * ifi) as i_f, sqrt(itr * itr + iti * iti) as i_t, 1e2 * greatest(sqrt(ifr * ifr + ifi * ifi), sqrt(itr * itr + iti * iti)) / (4e0 + 2e1 * x) as loading_percent from cur2)"""
+)
+FLOWS = ("p_f", "q_f", "p_t", "q_t", "i_f", "i_t", "loading_percent")
+
+
+def flows(spark, sf):
+    return layout.loading(layout.branch_flows(grids(spark, sf)).withColumn("rate", 4 + 20 * F.col("x")))
+
+
+@query("branch_flows", oracle(f"with {FLOW} select scenario_id, f_bus, t_bus, {r6(*FLOWS)} from flow"))
+def branch_flows(spark, sf):
+    return out(flows(spark, sf), "scenario_id", "f_bus", "t_bus", **same(*FLOWS))
+
+
+@query("overloaded_branches", oracle(f"with {FLOW} select scenario_id, f_bus, t_bus, {r6('loading_percent')} from flow where loading_percent > 1e2"))
+def overloaded_branches(spark, sf):
+    return out(flows(spark, sf).where("loading_percent > 1e2"), "scenario_id", "f_bus", "t_bus", **same("loading_percent"))
+
+
+@query("loading_summary", oracle(f"with {FLOW}, r as (select *, row_number() over (partition by scenario_id order by loading_percent desc, f_bus, t_bus) as k from flow) select scenario_id, round(max(loading_percent), 6) + 0e0 as max_loading, max(case when k = 1 then f_bus end) as f_bus, max(case when k = 1 then t_bus end) as t_bus, cast(sum(case when loading_percent > 1e2 then 1 else 0 end) as bigint) as overloaded from r group by 1"))
+def loading_summary(spark, sf):
+    return out(layout.loading_summary(flows(spark, sf)), "scenario_id", "f_bus", "t_bus", "overloaded", **same("max_loading"))
+
+
+@query("start_report", oracle(f"""with {YBUS}, v as (select * from {{voltage}}),
+c as (select v.run_id, y.scenario_id, y.i as bus, sum(y.re * v.vm * cos(v.va) - y.im * v.vm * sin(v.va)) as ire, sum(y.re * v.vm * sin(v.va) + y.im * v.vm * cos(v.va)) as iim from ybus y join v on y.scenario_id = v.scenario_id and y.j = v.bus where v.run_id <> 'label' group by 1, 2, 3),
+d as (select v.run_id, b.scenario_id, sqrt(pow(v.vm * cos(v.va) - t.vm * cos(t.va), 2) + pow(v.vm * sin(v.va) - t.vm * sin(t.va), 2)) as gap,
+  case when bus_type <> 1 then p_set - (v.vm * cos(v.va) * coalesce(ire, 0e0) + v.vm * sin(v.va) * coalesce(iim, 0e0)) end as dp,
+  case when bus_type = 3 then q_set - (v.vm * sin(v.va) * coalesce(ire, 0e0) - v.vm * cos(v.va) * coalesce(iim, 0e0)) end as dq
+  from {{bus}} b join v on b.scenario_id = v.scenario_id and b.bus = v.bus and v.run_id <> 'label' join v t on b.scenario_id = t.scenario_id and b.bus = t.bus and t.run_id = 'label'
+  left join c on b.scenario_id = c.scenario_id and b.bus = c.bus and v.run_id = c.run_id)
+select run_id, scenario_id, round(max(gap), 6) + 0e0 as distance, round(coalesce(max(abs(dp)), 0e0), 6) + 0e0 as dp_inf, round(coalesce(max(abs(dq)), 0e0), 6) + 0e0 as dq_inf from d group by 1, 2"""))
+def start_report(spark, sf):
+    return out(layout.start_report(grids(spark, sf), load(spark, sf, "voltage"), "label"), "run_id", "scenario_id", **same("distance", "dp_inf", "dq_inf"))
+
+
 @query("residual_distribution", oracle(f"with {RES} {_dist('dp')} union all {_dist('dq')}"))
 def residual_distribution(spark, sf):
     return out(residual.residual_distribution(residuals(spark, sf), 5.0), "part", "n", **same("mean", "median", "p95", "p99", "rmse", "within"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-from gridweave.functions.numbers import rounded
+from gridweave.functions.numbers import normal_sql, rounded, text_key_sql, uniform_sql
 from gridweave.operators import batching, clean, features, residual, runs, scenarios, topology, trace, units, validate
 from gridweave.plans.grid import ADM, RES, YBUS, ENDS, admittances, buses, ends, matrix, out, r6, residuals, same
 from gridweave.plans.registry import query
@@ -610,35 +610,73 @@ def widest_loads(spark, sf):
     return out(scenarios.widest_loads(_bounds(spark, sf), 20), "load_id", **same("width"))
 
 
-@query("sample_envelope", oracle("select l_partkey as load_id, cast(8 as bigint) as draws, cast(1 as bigint) as inside from {lineitem} group by 1"))
+_RANGE = "select l_partkey as load_id, min(l_quantity) as p_min, max(l_quantity) as p_max, min(l_tax) as q_min, max(l_tax) as q_max from {lineitem} group by 1"
+
+
+@query("sample_envelope", oracle(f"with b as ({_RANGE}), d as (select b.*, m.mode, cast(r.draw as bigint) as draw from b, (select 'coupled' as mode union all select 'independent') m, (select unnest(range(4)) as draw) r), u as (select *, {uniform_sql(47, 'load_id', 'draw')} as u, {uniform_sql(48, 'load_id', 'draw')} as v from d) select mode, draw, load_id, round(p_min + u * (p_max - p_min), 6) + 0e0 as p, round(q_min + case when mode = 'coupled' then u else v end * (q_max - q_min), 6) + 0e0 as q from u"))
 def sample_envelope(spark, sf):
     b = _bounds(spark, sf)
-    d = scenarios.sample_envelope(b, 4).unionByName(scenarios.sample_envelope(b, 4, "independent")).join(b, "load_id")
-    ok = F.col("p").between(F.col("p_min") - 1e-9, F.col("p_max") + 1e-9) & F.col("q").between(F.col("q_min") - 1e-9, F.col("q_max") + 1e-9)
-    return d.groupBy("load_id").agg(F.count("*").alias("draws"), F.min(ok.cast("long")).alias("inside"))
+    d = [scenarios.sample_envelope(b, 4, m).withColumn("mode", F.lit(m)) for m in ("coupled", "independent")]
+    return out(d[0].unionByName(d[1]), "mode", "draw", "load_id", **same("p", "q"))
+
+
+def _preset_rows() -> str:
+    text = lambda x: "cast(null as double)" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x!r}e0"
+    names = [c.split()[0] for c in scenarios.PRESET_SCHEMA.split(", ")]
+    return " union all ".join("select " + ", ".join(f"{text(x)} as {n}" for x, n in zip(row, names)) for row in scenarios.PRESETS)
+
 
+_KEY = ("s.scenario_id", "draw", text_key_sql("level"), text_key_sql("kind"), "bus")
+_CASE = "case when scenario_id % 5 = 0 then 'GBnetwork' else 'case39' end"
 
-@query("expand_scenarios")
+
+@query("expand_scenarios", oracle(f"""with pre as ({_preset_rows()}),
+x as (select e.*, pre.*, cast(r.draw as bigint) as draw, {_CASE} as case_name from {{element}} e, pre, (select unnest(range(3)) as draw) r),
+s as (select *, case when scale_lo is null then 1e0 else greatest(5e-2, scale_lo + (scale_hi - scale_lo) * {uniform_sql(42, 'scenario_id', 'draw', text_key_sql('level'))}) end as scale from x),
+tight as (select distinct scenario_id from (select scenario_id, bus from {{element}} where kind in ('gen', 'ext_grid') and in_service = 1 group by 1, 2 having count(*) > 1) t)
+select s.scenario_id, draw, level, kind, bus,
+  round(case kind when 'load' then p_mw * scale * (1e0 + sigma_p * {normal_sql(43, *_KEY)}) when 'gen' then greatest(p_mw * scale, 0e0) * (1e0 + sigma_gen * {normal_sql(45, *_KEY)}) else p_mw end, 6) + 0e0 as p_mw,
+  round(case kind when 'load' then q_mvar * scale * (1e0 + sigma_q * {normal_sql(44, *_KEY)}) else q_mvar end, 6) + 0e0 as q_mvar,
+  round(case when kind = 'gen' and case_name <> 'GBnetwork' and t.scenario_id is null then vm_lo + (vm_hi - vm_lo) * {uniform_sql(46, *_KEY)} else vm_pu end, 6) + 0e0 as vm_pu
+from s left join tight t on s.scenario_id = t.scenario_id"""))
 def expand_scenarios(spark, sf):
-    e = load(spark, sf, "element")
-    d = scenarios.jitter_elements(scenarios.expand_scenarios(e, 3, scenarios.presets(spark)), clean.controller_conflicts(e))
-    return d.select("scenario_id", "draw", "level", "kind", "bus", "p_mw", "q_mvar", "vm_pu")
+    e = load(spark, sf, "element").withColumn("case_name", F.when(F.col("scenario_id") % 5 == 0, "GBnetwork").otherwise("case39"))
+    d = scenarios.jitter_elements(scenarios.expand_scenarios(e, 3, scenarios.presets(spark)), clean.controller_conflicts(e), "case_name")
+    return out(d, "scenario_id", "draw", "level", "kind", "bus", **same("p_mw", "q_mvar", "vm_pu"))
+
+
+_LOST = f"l as (select *, row_number() over (partition by scenario_id, f_bus, t_bus order by status, r, x, b, tau, shift_deg) as k from {{branch}}), d as (select *, case when status = 1 and {uniform_sql(44, 'scenario_id', 'f_bus', 't_bus', 'k')} < 1e-1 then 0 else status end as drawn from l)"
+
 
+def _fed(name, on):
+    """Buses that a slack bus supplies over branches whose ``on`` is 1."""
+    edges = f"{name}_e as (select scenario_id, f_bus as u, t_bus as v from d where {on} = 1 union select scenario_id, t_bus, f_bus from d where {on} = 1)"
+    return f"{edges}, {name} as (select scenario_id, bus from {{bus}} where bus_type = 1 union select w.scenario_id, e.v from {name} w join {name}_e e on w.scenario_id = e.scenario_id and w.bus = e.u)"
 
-@query("sample_outages", oracle("select cast(1 as bigint) as ok, count(*) as n from {branch}"))
+
+@query("sample_outages", oracle(f"with recursive {_LOST}, {_fed('was', 'status')}, {_fed('now', 'drawn')}, undo as (select distinct was.scenario_id from was left join now on was.scenario_id = now.scenario_id and was.bus = now.bus where now.bus is null) select d.scenario_id, f_bus, t_bus, case when u.scenario_id is null then drawn else status end as status from d left join undo u on d.scenario_id = u.scenario_id"))
 def sample_outages(spark, sf):
-    b, l = load(spark, sf, "bus"), load(spark, sf, "branch")
-    after = scenarios.sample_outages(b, l, 0.1)
-    before = topology.unsupplied_buses(b, l)
-    worse = topology.unsupplied_buses(b, after).join(before, ["scenario_id", "bus"], "left_anti")
-    return after.agg(F.count("*").alias("n")).crossJoin(worse.agg((F.count("*") == 0).cast("long").alias("ok"))).select("ok", "n")
+    return scenarios.sample_outages(load(spark, sf, "bus"), load(spark, sf, "branch"), 0.1).select("scenario_id", "f_bus", "t_bus", F.col("status").cast("long").alias("status"))
+
+
+@query("drop_disconnected", oracle(REACH + ", cut as (select distinct b.scenario_id from {bus} b left join w on b.scenario_id = w.scenario_id and b.bus = w.bus where w.bus is null) select scenario_id, bus from {bus} where scenario_id not in (select scenario_id from cut)"))
+def drop_disconnected(spark, sf):
+    return topology.drop_disconnected(load(spark, sf, "bus"), load(spark, sf, "branch")).select("scenario_id", "bus")
 
 
-@query("flat_start", oracle("with g as (select scenario_id, bus, max(vm_pu) as v from {element} where kind = 'gen' and in_service = 1 group by 1, 2) select b.scenario_id, b.bus, round(coalesce(v, 1e0), 6) + 0e0 as vm_start, 0e0 as va_start from {bus} b left join g on b.scenario_id = g.scenario_id and b.bus = g.bus"))
+_GEN = "g as (select scenario_id, bus, max(vm_pu) as v from {element} where kind = 'gen' and in_service = 1 group by 1, 2)"
+
+
+@query("flat_start", oracle(f"with {_GEN} select b.scenario_id, b.bus, round(coalesce(v, 1e0), 6) + 0e0 as vm_start, 0e0 as va_start from {{bus}} b left join g on b.scenario_id = g.scenario_id and b.bus = g.bus"))
 def flat_start(spark, sf):
     return out(scenarios.flat_start(load(spark, sf, "bus"), load(spark, sf, "element")), "scenario_id", "bus", **same("vm_start", "va_start"))
 
 
+@query("noisy_start", oracle(f"with {_GEN}, n as (select scenario_id, bus, bus_type, {normal_sql(45, 'scenario_id', 'bus')} as a, {normal_sql(46, 'scenario_id', 'bus')} as b from {{bus}}) select n.scenario_id, n.bus, round(coalesce(v, 1e0) + case when bus_type = 3 then 1e-2 * a else 0e0 end, 6) + 0e0 as vm_start, round(case when bus_type <> 1 then 2e-2 * b else 0e0 end, 6) + 0e0 as va_start from n left join g on n.scenario_id = g.scenario_id and n.bus = g.bus"))
+def noisy_start(spark, sf):
+    return out(scenarios.flat_start(load(spark, sf, "bus"), load(spark, sf, "element"), 1e-2, 2e-2), "scenario_id", "bus", **same("vm_start", "va_start"))
+
+
 # ---- sources: packed rows made from the derived grids, written, read and exploded again
 
 

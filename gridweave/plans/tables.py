@@ -14,14 +14,14 @@ BASE = "region nation customer supplier part orders lineitem events".split()
 VIEWS = {
     "g_bus": """
 select l_orderkey as scenario_id,
-       cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
-            l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 as bigint) as bus,
+       cast(place - 1 as bigint) as bus,
        l_returnflag as rf, l_linestatus as ls, l_partkey as pk, l_suppkey as sk, cast(l_linenumber as bigint) as ln,
        case cast(l_suppkey as bigint) % 4 when 0 then 3e0 when 1 then 20e0 when 2 then 110e0 else 380e0 end as vn_kv,
        (25e0 - l_quantity) * 1e-2 as p_set, l_tax - 4e-2 as q_set,
        0e0 as gs, (l_partkey % 3) * 1e-2 as bs,
        1e0 + (l_discount - 5e-2) as vm, (l_tax - 4e-2) * 2e0 as va
-from {lineitem}""",
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
+            l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as place from {lineitem}) numbered""",
     "bus": "select *, cast(case when bus = 0 then 1 when rf = 'R' then 2 else 3 end as bigint) as bus_type from {g_bus}",
     "branch": """
 select f.scenario_id, f.bus as f_bus, t.bus as t_bus,
@@ -79,6 +79,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{n: load(spark, sf_dir, n) for n in _uses(VIEWS[name])})
 
 
+# Buses and branches of a grid in one row: what "bus" and "branch" hold, laid out as arrays from one scan.
+GRIDS = """
+select scenario_id, buses, flatten(transform(buses, f -> transform(
+         filter(array(get(buses, cast(f.bus + 1 as int)), case when f.bus % 2 = 0 then get(buses, cast(f.bus + 2 as int)) end), t -> t is not null),
+         t -> named_struct('f_bus', f.bus, 't_bus', t.bus, 'status', cast(case when f.pk % 11 = 0 then 0 else 1 end as bigint),
+              'r', 1e-2 + (f.pk % 10) * 1e-3, 'x', 5e-2 + (f.sk % 10) * 5e-3, 'b', 2e-2,
+              'tau', case when f.vn_kv <> t.vn_kv then 95e-2 + f.ln * 1e-2 else 1e0 end,
+              'shift_deg', case when f.vn_kv <> t.vn_kv and f.ls = 'F' then 30e0 else 0e0 end)))) as branches
+from (select scenario_id, sort_array(collect_list(struct(bus, bus_type, p_set, q_set, vm, va, gs, bs, vn_kv, pk, sk, ln, ls))) as buses from {bus} group by scenario_id)"""
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scenario_id, buses, branches), as ``operators.layout`` takes them."""
+    return spark.sql(GRIDS, bus=load(spark, sf_dir, "bus"))
+
+
 def oracle(sql: str) -> str:
     """``sql`` over {names} of tables, with the derived ones it uses as common table expressions."""
     order: list[str] = []
