@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.numbers import global_rank, hash_order
+from gridweave.operators.clean import bottom_k
 
 
 def size_bucket_batches(df: DataFrame, sig: list[str], batch: int | str, key: str = "scenario_id", seed: int = 42, drop_last: bool = False) -> DataFrame:
@@ -42,6 +43,30 @@ def block_offsets(df: DataFrame, batch: list[str], order: str, nodes: str = "n",
     return df.withColumns({"node_offset": F.coalesce(F.sum(nodes).over(w), F.lit(0)), "branch_offset": F.coalesce(F.sum(branches).over(w), F.lit(0))})
 
 
+def block_diagonal(offsets: DataFrame, batch: list[str], bus: DataFrame, branch: DataFrame, ybus: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One sparse grid for each batch: the grids of a batch side by side, with shifted bus numbers.
+
+    ``offsets``: scenario_id, the ``batch`` columns, n, nl, node_offset and branch_offset
+    (``block_offsets``). Gives ``nodes`` (node in place of bus), ``edges`` (src and dst
+    shifted, edge numbered in the batch by ends and columns), ``pointers`` (graph in the batch, its first
+    node and edge and the ends behind its last) and, of ``ybus``, ``matrix`` (i and j shifted).
+    """
+    key, at = "scenario_id", ["scenario_id", *batch, "node_offset", "branch_offset"]
+    place, off = offsets.select(*at), F.col("node_offset")
+    own = lambda d, taken: [c for c in d.columns if c not in (key, *taken)]
+    nodes = bus.join(place, key).select(*batch, (F.col("bus") + off).alias("node"), key, *own(bus, ["bus"]))
+    values = own(branch, ["f_bus", "t_bus"])
+    number = F.row_number().over(Window.partitionBy(key).orderBy("f_bus", "t_bus", *values)) - 1
+    edges = branch.withColumn("__k", number).join(place, key)
+    edges = edges.select(*batch, (F.col("branch_offset") + F.col("__k")).cast("long").alias("edge"), (F.col("f_bus") + off).alias("src"), (F.col("t_bus") + off).alias("dst"), key, *values)
+    graph = F.row_number().over(Window.partitionBy(*batch).orderBy("node_offset", key)) - 1
+    ends = [(F.col("node_offset") + F.col("n")).alias("node_end"), (F.col("branch_offset") + F.col("nl")).alias("branch_end")]
+    out = {"nodes": nodes, "edges": edges, "pointers": offsets.select(*batch, graph.cast("long").alias("graph"), key, "node_offset", ends[0], "branch_offset", ends[1])}
+    if ybus is not None:
+        out["matrix"] = ybus.join(place, key).select(*batch, (F.col("i") + off).alias("i"), (F.col("j") + off).alias("j"), "re", "im")
+    return out
+
+
 def one_per_size(df: DataFrame, size: str = "n", key: str = "scenario_id") -> DataFrame:
     """The first scenario of each size."""
     return df.groupBy(size).agg(F.min(key).alias(key))
@@ -49,6 +74,8 @@ def one_per_size(df: DataFrame, size: str = "n", key: str = "scenario_id") -> Da
 
 def fill_to_k(df: DataFrame, k: int, strategy: str = "cycle", size: str = "n", key: str = "scenario_id", seed: int = 42) -> DataFrame:
     """Exactly k rows of each size: around its rows in turn (cycle), its first again and again (first), or by draw (random)."""
+    if k < 1:
+        return df.select(size, F.lit(0).cast("long").alias("slot"), key).limit(0)
     order = hash_order(key, seed) if strategy == "random" else F.col(key)
     need = 1 if strategy == "first" else k
     rows = df.select(size, key).withColumn("__s", F.pmod(F.xxhash64(key), F.lit(256)))
@@ -93,8 +120,7 @@ def cap_split(df: DataFrame, caps: dict[str, int], key: str = "scenario_id", see
     """At most caps[split] rows of each split, the first in hash order; splits without a cap stay whole."""
     parts = []
     for name, cap in caps.items():
-        part = df.where(F.col("split") == name)
-        parts.append(global_rank(part, hash_order(key, seed), key, "__r").where(F.col("__r") <= cap).drop("__r"))
+        parts.append(bottom_k(df.where(F.col("split") == name), cap, key, seed))
     out = df.where(~F.col("split").isin(list(caps)))
     for p in parts:
         out = out.unionByName(p)

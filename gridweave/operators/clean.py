@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.functions.joins import join_small
 from gridweave.functions.numbers import global_rank, hash_order
 
 
+def bottom_k(df: DataFrame, k: int, key: str, seed: int = 42, most: int = 1_000_000) -> DataFrame:
+    """The ``k`` first rows in hash order: the smallest of every partition, then of those; no row of the others is moved.
+
+    Of more than ``most`` rows, ranks decide, as that many would meet in one task.
+    """
+    if k <= most:
+        return df.orderBy(hash_order(key, seed), key).limit(max(k, 0))
+    return global_rank(df, hash_order(key, seed), key, "__rank").where(F.col("__rank") <= k).drop("__rank")
+
+
 def reservoir_sample(df: DataFrame, cap: int, key: str, seed: int = 42) -> DataFrame:
     """A seeded uniform sample of exactly min(cap, rows) rows: the first ``cap`` in hash order."""
-    return global_rank(df, hash_order(key, seed), key, "__rank").where(F.col("__rank") <= cap).drop("__rank")
+    return bottom_k(df, cap, key, seed)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -65,7 +76,7 @@ def clean_grid(bus: DataFrame, branch: DataFrame, element: DataFrame, unsupplied
 
 def force_branch_shunt(branch: DataFrame, cases: DataFrame, transformer: Column) -> DataFrame:
     """Adds the listed cases' g, b, g_asym, b_asym (case_name, add_g, add_b, ...) to their transformer-like branches."""
-    out = branch.join(F.broadcast(cases), "case_name", "left")
+    out = join_small(branch, cases, ["case_name"], "left")
     for c in ("g", "b", "g_asym", "b_asym"):
         have = F.coalesce(F.col(c), F.lit(0.0)) if c in branch.columns else F.lit(0.0)
         out = out.withColumn(c, have + F.when(transformer, F.coalesce(F.col(f"add_{c}"), F.lit(0.0))).otherwise(0.0))
@@ -93,10 +104,33 @@ def map_bus_ids(element: DataFrame, lookup: DataFrame) -> DataFrame:
     return out.withColumn("bus_idx", F.coalesce("idx", "__place").cast("long")).drop("idx", "__place")
 
 
-def share_grid(df: DataFrame, grid_cols: list[str], key: str = "scenario_id") -> tuple[DataFrame, DataFrame]:
-    """(grids, rows): grid-only columns held once under grid_id, and rows that carry grid_id instead."""
-    tag = df.withColumn("grid_id", F.xxhash64(*grid_cols))
-    return tag.select("grid_id", *grid_cols).dropDuplicates(["grid_id"]), tag.drop(*[c for c in grid_cols if c != key])
+def grid_classes(bus: DataFrame, branch: DataFrame, bus_cols: list[str], branch_cols: list[str]) -> DataFrame:
+    """(scenario_id, grid_id, copies): scenarios of the very same grid share the least scenario_id among them.
+
+    A grid is its buses (bus, ``bus_cols``) and branches (f_bus, t_bus, ``branch_cols``) in any
+    order, repeated rows included. Classes come from whole grids, whose copies
+    are counted before they meet; rows learn their class by a fingerprint
+    once no two classes share one, else by the grid itself.
+    """
+    key = "scenario_id"
+    zero = lambda d, cols: [(F.col(c) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in d.select(*cols).dtypes]
+    b = bus.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*zero(bus, ["bus", *bus_cols])))).alias("buses"))
+    l = branch.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*zero(branch, ["f_bus", "t_bus", *branch_cols])))).alias("branches"))
+    whole = b.join(l, key, "left").withColumn("fingerprint", F.xxhash64("buses", "branches")).checkpoint()
+    classes = whole.groupBy("fingerprint", "buses", "branches").agg(F.min(key).alias("grid_id"), F.count("*").alias("copies"))
+    few = classes.select("fingerprint", "grid_id", "copies").checkpoint()
+    if few.groupBy("fingerprint").count().where("count > 1").isEmpty():
+        return join_small(whole.select(key, "fingerprint"), few, ["fingerprint"]).select(key, "grid_id", "copies")
+    same = F.col("w.fingerprint").eqNullSafe(F.col("c.fingerprint")) & F.col("w.buses").eqNullSafe(F.col("c.buses")) & F.col("w.branches").eqNullSafe(F.col("c.branches"))
+    return whole.alias("w").join(classes.alias("c"), same).select(F.col(f"w.{key}").alias(key), "grid_id", "copies")
+
+
+def share_grid(bus: DataFrame, branch: DataFrame, bus_cols: list[str], branch_cols: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(buses, branches, scenarios): every distinct grid's rows once, under grid_id, and the grid_id of every scenario (``grid_classes``)."""
+    of = grid_classes(bus, branch, bus_cols, branch_cols).checkpoint()
+    first = of.where("scenario_id = grid_id").select("scenario_id")
+    kept = lambda d, cols: d.join(first, "scenario_id", "left_semi").select(F.col("scenario_id").alias("grid_id"), *cols)
+    return kept(bus, ["bus", *bus_cols]), kept(branch, ["f_bus", "t_bus", *branch_cols]), of
 
 
 def controller_conflicts(element: DataFrame) -> DataFrame:

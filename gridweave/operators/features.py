@@ -21,12 +21,16 @@ def directed_edges(branch: DataFrame) -> DataFrame:
 
 
 def transition_weights(ybus: DataFrame, source: str = "abs", norm: str = "row", eps: float = 1e-12) -> DataFrame:
-    """Off-diagonal weights |Y| (``abs``) or 1 (``binary``), scaled by row, column or both roots (``sym``)."""
-    w = ybus.where("i <> j").select("scenario_id", "i", "j", (F.lit(1.0) if source == "binary" else Cx.of("re", "im").abs()).alias("w"))
-    row, col = (F.sum("w").over(Window.partitionBy("scenario_id", c)) for c in ("i", "j"))
-    least = lambda x: F.greatest(x, F.lit(eps))
-    scale = {"row": least(row), "col": least(col), "sym": F.sqrt(least(row)) * F.sqrt(least(col))}[norm]
-    return w.withColumn("w", F.col("w") / scale)
+    """Off-diagonal weights |Y| (``abs``) or 1 where that is not 0 (``binary``), scaled by row or column sums, or by the roots of the row sums of both ends (``sym``)."""
+    size = Cx.of("re", "im").abs()
+    w = ybus.where("i <> j").select("scenario_id", "i", "j", (F.when(size > 0, 1.0).otherwise(0.0) if source == "binary" else size).alias("w"))
+    least = lambda x: F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(eps))
+    total = lambda c: F.sum("w").over(Window.partitionBy("scenario_id", c))
+    if norm == "sym":
+        rows = w.groupBy("scenario_id", F.col("i").alias("j")).agg(F.sum("w").alias("__other"))
+        w = w.withColumn("__own", total("i")).join(rows, ["scenario_id", "j"], "left")
+        return w.select("scenario_id", "i", "j", (F.col("w") / (F.sqrt(least(F.col("__own"))) * F.sqrt(least(F.col("__other"))))).alias("w"))
+    return w.withColumn("w", F.col("w") / least(total({"row": "i", "col": "j"}[norm])))
 
 
 def khop_diffuse(weights: DataFrame, x: DataFrame, hops: int, sigma: float) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.functions.joins import rank_within
+
 
 def rank_runs(runs: DataFrame, metric: str = "rmse_ang_deg", by: str = "config") -> DataFrame:
-    return runs.withColumn("rank", F.rank().over(Window.partitionBy(by).orderBy(metric)).cast("long"))
+    """Adds the rank of each run by ``metric`` among those of the same ``by``, equal values alike."""
+    return rank_within(runs, [by], metric)
 
 
 def _front(runs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -40,10 +43,10 @@ def compare_to_baseline_run(metrics: DataFrame, baseline: DataFrame, keys: list[
 
 
 def bench_summary(bench: DataFrame, base_method: str) -> DataFrame:
-    """Per size and method: median and mean ms, cases per second, and speedup over ``base_method``."""
-    s = bench.groupBy("n", "method").agg(F.percentile("ms", F.lit(0.5)).alias("median_ms"), F.avg("ms").alias("mean_ms"), (1e3 * F.sum("cases") / F.sum("ms")).alias("cases_per_s"))
+    """Per size and method: median and mean ms, cases per second, and speedup over ``base_method``; null where no time passed."""
+    s = bench.groupBy("n", "method").agg(F.percentile("ms", F.lit(0.5)).alias("median_ms"), F.avg("ms").alias("mean_ms"), F.try_divide(1e3 * F.sum("cases"), F.sum("ms")).alias("cases_per_s"))
     b = s.where(F.col("method") == base_method).select("n", F.col("median_ms").alias("__b"))
-    return s.join(b, "n", "left").withColumn("speedup", F.col("__b") / F.col("median_ms")).drop("__b")
+    return s.join(b, "n", "left").withColumn("speedup", F.try_divide("__b", "median_ms")).drop("__b")
 
 
 def file_label(path: str, parts: int = 3):
@@ -102,14 +105,28 @@ def parse_run_logs(logs: DataFrame, text: str = "value") -> DataFrame:
     return logs.withColumns({c: F.coalesce(pick(p), F.lit(default)).cast(kinds.get(c, "int")) for c, (p, default) in LOG_KEYS.items()})
 
 
+def _as_text(v):
+    """A JSON leaf as settings are logged: null as ``null``, truth values as True and False, texts as they are."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "VOID", "null").when(kind == "BOOLEAN", F.initcap(v.cast("string"))).otherwise(v.cast("string"))
+
+
 def flatten_config(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Nested JSON objects of any depth as rows (key, path, value) with dotted paths; a round for each level."""
-    level = df.select(key, F.lit("").alias("path"), F.col(column).alias("value"))
+    """Nested JSON objects of any depth as rows (key, path, value) with dotted paths; a round for each level.
+
+    Lists are joined by commas, with null as ``None`` in them; null is ``null``. Empty
+    objects have no rows. Text that is no JSON object, and null, have none either.
+    """
+    is_object = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
+    level = df.select(key, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where(is_object(F.col("v")))
     done = None
-    while done is None or not level.isEmpty():
-        entries = F.explode(F.from_json("value", "map<string,string>")).alias("k", "v")
-        level = level.select(key, "path", entries).select(key, F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "k").alias("path"), F.col("v").alias("value"))
-        leaf = level.where(~F.coalesce(F.col("value").startswith("{"), F.lit(False)))
+    while True:
+        entries = F.explode(F.col("v").cast("map<string,variant>")).alias("k", "v")
+        level = level.select(key, "path", entries).select(key, F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "k").alias("path"), "v").checkpoint()
+        kind = F.schema_of_variant("v")
+        listed = F.transform(F.when(kind.startswith("ARRAY"), F.col("v").cast("array<variant>")), lambda x: F.when(F.schema_of_variant(x) == "VOID", "None").otherwise(_as_text(x)))
+        leaf = level.where(~is_object(F.col("v"))).select(key, "path", F.coalesce(F.array_join(listed, ","), _as_text(F.col("v"))).alias("value"))
         done = leaf if done is None else done.unionByName(leaf)
-        level = level.where(F.col("value").startswith("{"))
-    return done
+        level = level.where(is_object(F.col("v")))
+        if level.isEmpty():
+            return done

@@ -85,4 +85,4 @@ def warmstart_savings(trace: DataFrame, flat: str = "flat", model: str = "model"
 
     out = trace.agg(*of(flat), *of(model))
     saved = F.col(f"{flat}_mean") - F.col(f"{model}_mean")
-    return out.withColumns({"saved": saved, "saved_percent": 100 * saved / F.col(f"{flat}_mean")})
+    return out.withColumns({"saved": saved, "saved_percent": F.try_divide(100 * saved, f"{flat}_mean")})

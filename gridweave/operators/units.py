@@ -62,9 +62,9 @@ def to_per_unit(branch: DataFrame, s_base: float) -> DataFrame:
 
 
 def buses_to_per_unit(bus: DataFrame, s_base: float) -> DataFrame:
-    """Bus values u (V), s (VA) and ysh (S) to per unit; base voltage vn_kv."""
+    """Bus values u (V), s (VA) and ysh (S) to per unit; base voltage vn_kv. A base of 0 kV gives no u."""
     vb = F.col("vn_kv") * 1e3
-    return bus.withColumns((cx("u") * (1 / vb)).columns("u") | (cx("s") * (1 / s_base)).columns("s") | (cx("ysh") * (vb * vb / s_base)).columns("ysh"))
+    return bus.withColumns((cx("u") * F.try_divide(F.lit(1.0), vb)).columns("u") | (cx("s") * (1 / s_base)).columns("s") | (cx("ysh") * (vb * vb / s_base)).columns("ysh"))
 
 
 def to_per_unit_scalar(df: DataFrame, u_base: float, s_base: float) -> DataFrame:
@@ -74,8 +74,8 @@ def to_per_unit_scalar(df: DataFrame, u_base: float, s_base: float) -> DataFrame
 
 
 def to_si(ybus: DataFrame, s_base: float) -> DataFrame:
-    """Per-unit matrix entries (with v_i, v_j in V) to siemens."""
-    return ybus.withColumns((Cx.of("re", "im") * (s_base / (F.col("v_i") * F.col("v_j")))).columns("y")).withColumns({"re": F.col("y_re"), "im": F.col("y_im")}).drop("y_re", "y_im")
+    """Per-unit matrix entries (with v_i, v_j in V) to siemens; null where a base is 0."""
+    return ybus.withColumns((Cx.of("re", "im") * F.try_divide(F.lit(float(s_base)), F.col("v_i") * F.col("v_j"))).columns("y")).withColumns({"re": F.col("y_re"), "im": F.col("y_im")}).drop("y_re", "y_im")
 
 
 def rebase_sbase(df: DataFrame, old: float, new: float, names: tuple[str, ...]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.functions.joins import join_small
+
 
 def scenario_summary(bus: DataFrame, branch: DataFrame, transformer: Column) -> DataFrame:
     """Sizes, branch kinds, voltage range and power sums of every scenario."""
@@ -33,20 +35,39 @@ def validate_shapes(bus: DataFrame, branch: DataFrame, ybus: DataFrame | None =
     return out.select("scenario_id", F.array_compact(F.array(*[F.when(c, t) for c, t in rules])).alias("errors"))
 
 
-def check_same_topology(df: DataFrame, key: str, ints: list[str], floats: list[str], reference, tol: float = 1e-8) -> DataFrame:
+def check_same_topology(df: DataFrame, key: str | list[str], ints: list[str], floats: list[str], reference, tol: float = 1e-8) -> DataFrame:
     """Per scenario: whether it equals the ``reference`` scenario at every ``key``, and the first field that differs."""
-    ref = df.where(F.col("scenario_id") == reference).select(key, *[F.col(c).alias(f"__{c}") for c in (*ints, *floats)], F.lit(1).alias("__has"))
-    sizes = ref.agg(F.count("*").alias("__m"))
-    j = df.join(F.broadcast(ref), key, "left")
+    key = [key] if isinstance(key, str) else key
+    ref = df.where(F.col("scenario_id") == reference).select(*key, *[F.col(c).alias(f"__{c}") for c in (*ints, *floats)], F.lit(1).alias("__has"))
+    m = ref.count()
+    j = join_small(df, ref, key, "left")
     bad = lambda c, is_int: F.col(f"__{c}").isNull() | ((F.col(c) != F.col(f"__{c}")) if is_int else (F.abs(F.col(c) - F.col(f"__{c}")) > tol))
     flags = [F.max(bad(c, c in ints).cast("int")).alias(f"bad_{c}") for c in (*ints, *floats)]
-    out = j.groupBy("scenario_id").agg(F.count("*").alias("m"), *flags).crossJoin(F.broadcast(sizes))
-    first = F.when(F.col("m") != F.col("__m"), "size")
+    first = F.when(F.col("m") != m, "size")
     for c in (*ints, *floats):
         first = first.when(F.col(f"bad_{c}") == 1, c)
+    first = first.when(F.col("has") != m, "keys")
+    out = j.groupBy("scenario_id").agg(F.count("*").alias("m"), F.count("__has").alias("has"), *flags)
     return out.select("scenario_id", first.alias("first_difference")).withColumn("same", F.col("first_difference").isNull().cast("long"))
 
 
+def check_same_grid(bus: DataFrame, branch: DataFrame, reference, bus_ints: list[str], bus_floats: list[str], branch_ints: list[str], branch_floats: list[str], tol: float = 1e-8) -> DataFrame:
+    """Per scenario: whether buses and branches equal those of the ``reference`` scenario, and the first field that differs (``branch.`` before those of branches).
+
+    Branches are matched by their ends and, if parallel, by their place among those of the same ends.
+    """
+    b = check_same_topology(bus, "bus", bus_ints, bus_floats, reference, tol)
+    values = [*branch_ints, *branch_floats]
+    place = F.row_number().over(Window.partitionBy("scenario_id", "f_bus", "t_bus").orderBy(*values))
+    numbered = branch.select("scenario_id", "f_bus", "t_bus", *values).withColumn("place", place)
+    l = check_same_topology(numbered, ["f_bus", "t_bus", "place"], branch_ints, branch_floats, reference, tol)
+    none = branch.where(F.col("scenario_id") == reference).isEmpty()
+    j = b.join(l.select("scenario_id", F.col("first_difference").alias("__l"), F.lit(True).alias("__any")), "scenario_id", "left")
+    of_branch = F.when(F.col("__any").isNull(), F.lit(None) if none else F.lit("branch.size")).otherwise(F.concat(F.lit("branch."), "__l"))
+    first = F.coalesce("first_difference", of_branch)
+    return j.select("scenario_id", first.alias("first_difference"), first.isNull().cast("long").alias("same"))
+
+
 def soft_checks(bus: DataFrame, tol: float = 1e-6) -> DataFrame:
     """Per scenario: slack without set power, PV buses without reactive power, starts at rated voltage."""
     near = lambda c: F.abs(c) < tol
@@ -113,11 +134,11 @@ def state_diff(a: DataFrame, b: DataFrame, tol: float = 1e-10) -> DataFrame:
 
 
 def compare_vectors(df: DataFrame, ref: DataFrame, key: str, fields: list[str], tol: float = 1e-9, first: int = 5) -> DataFrame:
-    """Per scenario and field: how many places differ from the reference, and the first few of them."""
+    """Per scenario and field: how many places differ from the reference (those that it lacks, too), and the first few of them."""
     r = ref.select(key, *[F.col(f).cast("double").alias(f"__{f}") for f in fields])
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x"), F.col(f"__{f}").alias("y")) for f in fields]))
-    long = df.join(r, key).select("scenario_id", key, pairs.alias("p")).select("scenario_id", key, "p.*")
-    bad = F.abs(F.col("x") - F.col("y")) > tol
+    long = join_small(df, r, [key], "left").select("scenario_id", key, pairs.alias("p")).select("scenario_id", key, "p.*")
+    bad = F.coalesce(F.abs(F.col("x") - F.col("y")) > tol, F.lit(True))
     return long.groupBy("scenario_id", "field").agg(F.count_if(bad).alias("differing"), F.slice(F.sort_array(F.collect_list(F.when(bad, F.col(key)))), 1, first).alias("first"))
 
 
@@ -140,7 +161,7 @@ def scenario_delta(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> D
 def scenario_deltas(a: DataFrame, reference: DataFrame, scenario: str, key: str, fields: list[str]) -> DataFrame:
     """As ``scenario_delta``, of every scenario of ``a`` from one operating point; null where they share no key."""
     y = reference.select(key, *[F.col(f).alias(f"__{f}") for f in fields])
-    return a.join(y, key, "left").groupBy(scenario).agg(*[F.max(F.abs(F.col(f) - F.col(f"__{f}"))).alias(f"d_{f}") for f in fields])
+    return join_small(a, y, [key], "left").groupBy(scenario).agg(*[F.max(F.abs(F.col(f) - F.col(f"__{f}"))).alias(f"d_{f}") for f in fields])
 
 
 def tables_equal_rounded(a: DataFrame, b: DataFrame, digits: int = 12) -> DataFrame:

@@ -412,7 +412,9 @@ def volts(spark, sf, run):
 VDIFF = "v as materialized (select run_id, scenario_id, bus, vm, va from {voltage}), d as (select p.run_id, p.scenario_id, p.bus, p.vm, p.va, t.vm as tm, t.va as ta, p.vm - t.vm as dvm, atan2(sin(p.va - t.va), cos(p.va - t.va)) as dva from v p join (select * from v where run_id = 'label') t on p.scenario_id = t.scenario_id and p.bus = t.bus)"
 
 
-@query("pred_vs_truth", oracle(f"with {VDIFF} select scenario_id, bus, {r6('dvm', 'dva')} from d where run_id = 'pred'"))
+@query("pred_vs_truth", oracle("""with p as (select scenario_id, bus, vm, va from {voltage} where run_id = 'pred'), t as (select scenario_id, bus, vm, va from {voltage} where run_id = 'label'),
+d as (select p.scenario_id, p.bus, p.vm - t.vm as dvm, p.va - t.va as a from p join t on p.scenario_id = t.scenario_id and p.bus = t.bus)
+select scenario_id, bus, round(dvm, 6) + 0e0 as dvm, round(atan2(sin(a), cos(a)), 6) + 0e0 as dva from d"""))
 def pred_vs_truth(spark, sf):
     return out(voltage.pred_vs_truth(volts(spark, sf, "pred"), volts(spark, sf, "label")), "scenario_id", "bus", **same("dvm", "dva"))
 

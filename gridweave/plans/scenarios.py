@@ -110,12 +110,12 @@ def state_diff(spark, sf):
     return out(validate.state_diff(load(spark, sf, "bus"), _later(spark, sf)), "scenario_id", "bus", "type_a", "type_b", **same("ds"))
 
 
-@query("compare_vectors", oracle("""with r as (select bus, vn_kv, vm from {bus} where scenario_id = (select min(scenario_id) from {bus})), x as (select b.scenario_id, b.bus, abs(b.vn_kv - r.vn_kv) > 1e-9 as k, abs(b.vm - r.vm) > 1e-9 as v from {bus} b join r on b.bus = r.bus),
+@query("compare_vectors", oracle("""with r as (select bus, vn_kv, vm from {bus} where scenario_id = (select min(scenario_id) from {bus} where bus = 2)), x as (select b.scenario_id, b.bus, coalesce(abs(b.vn_kv - r.vn_kv) > 1e-9, true) as k, coalesce(abs(b.vm - r.vm) > 1e-9, true) as v from {bus} b left join r on b.bus = r.bus),
 l as (select scenario_id, bus, 'vn_kv' as field, k as bad from x union all select scenario_id, bus, 'vm', v from x), n as (select *, row_number() over (partition by scenario_id, field, bad order by bus) as rn from l)
 select scenario_id, field, cast(sum(case when bad then 1 else 0 end) as bigint) as differing, coalesce(string_agg(case when bad and rn <= 5 then cast(bus as varchar(10)) end, ',' order by bus), '') as first from n group by 1, 2"""))
 def compare_vectors(spark, sf):
     b = load(spark, sf, "bus")
-    ref = b.join(F.broadcast(b.agg(F.min("scenario_id").alias("scenario_id"))), "scenario_id", "left_semi")
+    ref = b.where(F.col("scenario_id") == b.where("bus = 2").agg(F.min("scenario_id")).first()[0])
     c = validate.compare_vectors(b, ref, "bus", ["vn_kv", "vm"])
     return c.withColumn("first", F.array_join(F.col("first").cast("array<string>"), ","))
 
@@ -248,11 +248,33 @@ def map_bus_ids(spark, sf):
     return clean.map_bus_ids(load(spark, sf, "element"), lookup).select("kind", "scenario_id", "bus", "bus_idx")
 
 
-@query("share_grid", oracle("select count(*) as grids, max(n) as largest from (select vn_kv, bus_type, count(*) as n from {bus} group by 1, 2) q"))
+# Buses and branches of a grid as lists, in their own order.
+WHOLE = """w as (select a.scenario_id, a.buses, l.branches from (select scenario_id, list(struct_pack(bus := bus, t := bus_type, v := vn_kv, g := gs, s := bs) order by bus) as buses from {bus} group by 1) a
+left join (select scenario_id, list(struct_pack(f := f_bus, t := t_bus, s := status, r := r, x := x, b := b, n := tau, d := shift_deg) order by f_bus, t_bus) as branches from {branch} group by 1) l on a.scenario_id = l.scenario_id),
+cls as (select scenario_id, min(scenario_id) over g as grid_id, count(*) over g as copies from w window g as (partition by buses, branches))"""
+GRID_COLS = (["bus_type", "vn_kv", "gs", "bs"], ["status", "r", "x", "b", "tau", "shift_deg"])
+
+
+@query("grid_classes", oracle(f"with {WHOLE} select scenario_id, grid_id, copies from cls"))
+def grid_classes(spark, sf):
+    return clean.grid_classes(load(spark, sf, "bus"), load(spark, sf, "branch"), *GRID_COLS)
+
+
+@query("share_grid", oracle(f"with {WHOLE} select 'bus' as part, c.grid_id, b.bus as a, cast(null as bigint) as b, round(b.vn_kv, 6) + 0e0 as v from {{bus}} b join cls c on b.scenario_id = c.scenario_id where c.grid_id = c.scenario_id union all select 'branch', c.grid_id, l.f_bus, l.t_bus, round(l.r, 6) + 0e0 from {{branch}} l join cls c on l.scenario_id = c.scenario_id where c.grid_id = c.scenario_id union all select 'scenario', grid_id, scenario_id, null, copies + 0e0 from cls"))
 def share_grid(spark, sf):
-    grids, rows = clean.share_grid(load(spark, sf, "bus").select("scenario_id", "bus", "vn_kv", "bus_type"), ["vn_kv", "bus_type"])
-    per = rows.join(grids, "grid_id").groupBy("grid_id").agg(F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("grids"), F.max("n").alias("largest"))
+    b, l, s = clean.share_grid(load(spark, sf, "bus"), load(spark, sf, "branch"), *GRID_COLS)
+    row = lambda d, part, a, b, v: d.select(F.lit(part).alias("part"), "grid_id", F.col(a).alias("a"), b.cast("long").alias("b"), rounded(F.col(v).cast("double")).alias("v"))
+    return row(b, "bus", "bus", F.lit(None), "vn_kv").unionByName(row(l, "branch", "f_bus", F.col("t_bus"), "r")).unionByName(row(s, "scenario", "scenario_id", F.lit(None), "copies"))
+
+
+@query("same_grid", oracle("""with ref as (select min(scenario_id) as id from {branch}), rb as (select * from {bus} where scenario_id = (select id from ref)), rl as (select * from {branch} where scenario_id = (select id from ref)),
+b as (select x.scenario_id, count(*) as m, max(case when r.bus is null or x.bus_type <> r.bus_type then 1 else 0 end) as t, max(case when r.bus is null or abs(x.vn_kv - r.vn_kv) > 1e-8 then 1 else 0 end) as v from {bus} x left join rb r on x.bus = r.bus group by 1),
+l as (select x.scenario_id, count(*) as m, max(case when r.f_bus is null or x.status <> r.status then 1 else 0 end) as s, max(case when r.f_bus is null or abs(x.r - r.r) > 1e-8 then 1 else 0 end) as r, max(case when r.f_bus is null or abs(x.x - r.x) > 1e-8 then 1 else 0 end) as x from {branch} x left join rl r on x.f_bus = r.f_bus and x.t_bus = r.t_bus group by 1),
+d as (select b.scenario_id, case when b.m <> (select count(*) from rb) then 'size' when b.t = 1 then 'bus_type' when b.v = 1 then 'vn_kv' when l.m is null or l.m <> (select count(*) from rl) then 'branch.size' when l.s = 1 then 'branch.status' when l.r = 1 then 'branch.r' when l.x = 1 then 'branch.x' end as first_difference from b left join l on b.scenario_id = l.scenario_id)
+select scenario_id, first_difference, cast(case when first_difference is null then 1 else 0 end as bigint) as same from d"""))
+def same_grid(spark, sf):
+    l = load(spark, sf, "branch")
+    return validate.check_same_grid(load(spark, sf, "bus"), l, l.agg(F.min("scenario_id")).first()[0], ["bus_type"], ["vn_kv"], ["status"], ["r", "x"])
 
 
 @query("force_branch_shunt", oracle("select scenario_id, f_bus, t_bus, round(b + case when scenario_id % 2 = 0 and abs(tau - 1e0) > 1e-12 then 3e-2 else 0e0 end, 6) + 0e0 as b from {branch}"))
@@ -299,6 +321,36 @@ def block_offsets(spark, sf):
     return batching.block_offsets(b, ["n", "batch_no"], "scenario_id").select("scenario_id", "n", "batch_no", "node_offset", "branch_offset")
 
 
+# Grids of a batch side by side.
+BATCH = f"{SIZES}, q as (select *, (row_number() over (partition by n order by {HASH.format('scenario_id', 42)}, scenario_id) - 1) // 16 as batch_no from sizes), o as (select *, cast(coalesce(sum(n) over w, 0) as bigint) as node_offset, cast(coalesce(sum(nl) over w, 0) as bigint) as branch_offset, row_number() over (partition by n, batch_no order by scenario_id) - 1 as graph from q window w as (partition by n, batch_no order by scenario_id rows between unbounded preceding and 1 preceding))"
+
+
+def _batches(spark, sf, ybus=None):
+    o = batching.block_offsets(batching.size_bucket_batches(sizes(spark, sf), ["n"], 16), ["n", "batch_no"], "scenario_id")
+    bus = load(spark, sf, "bus").select("scenario_id", "bus", "vm", "p_set")
+    return batching.block_diagonal(o, ["n", "batch_no"], bus, load(spark, sf, "branch"), ybus)
+
+
+@query("batch_nodes", oracle(f"with {BATCH} select o.n, batch_no, bus + node_offset as node, o.scenario_id, {r6('vm', 'p_set')} from {{bus}} b join o on b.scenario_id = o.scenario_id"))
+def batch_nodes(spark, sf):
+    return out(_batches(spark, sf)["nodes"], "n", "batch_no", "node", "scenario_id", **same("vm", "p_set"))
+
+
+@query("batch_edges", oracle(f"with {BATCH}, l as (select *, row_number() over (partition by scenario_id order by f_bus, t_bus) - 1 as k from {{branch}}) select o.n, batch_no, branch_offset + k as edge, f_bus + node_offset as src, t_bus + node_offset as dst, {r6('r', 'x', 'tau')} from l join o on l.scenario_id = o.scenario_id"))
+def batch_edges(spark, sf):
+    return out(_batches(spark, sf)["edges"], "n", "batch_no", "edge", "src", "dst", **same("r", "x", "tau"))
+
+
+@query("batch_pointers", oracle(f"with {BATCH} select n, batch_no, graph, scenario_id, node_offset, node_offset + n as node_end, branch_offset, branch_offset + nl as branch_end from o"))
+def batch_pointers(spark, sf):
+    return _batches(spark, sf)["pointers"]
+
+
+@query("batch_matrix", oracle(f"with {YBUS}, {BATCH} select o.n, batch_no, i + node_offset as i, j + node_offset as j, {r6('re', 'im')} from ybus y join o on y.scenario_id = o.scenario_id"))
+def batch_matrix(spark, sf):
+    return out(_batches(spark, sf, matrix(spark, sf))["matrix"], "n", "batch_no", "i", "j", **same("re", "im"))
+
+
 @query("one_per_size", oracle(f"with {SIZES} select n, min(scenario_id) as scenario_id from sizes group by 1"))
 def one_per_size(spark, sf):
     return batching.one_per_size(sizes(spark, sf))
@@ -442,10 +494,12 @@ def pair_index(spark, sf):
     return placed.select("scenario_id", "i", "j", "place", i.alias("back_i"), j.alias("back_j"))
 
 
-@query("flatten_config", oracle("select run_id, 'model.d' as path, cast(n as varchar(10)) as value from {runs} union all select run_id, 'model.opt.name', config from {runs} union all select run_id, 'seed', '7' from {runs}"))
+@query("flatten_config", oracle("""select run_id, 'model.d' as path, cast(n as varchar(10)) as value from {runs} union all select run_id, 'model.opt.name', concat('{', config, '} of a run') from {runs} union all select run_id, 'seed', '7' from {runs}
+union all select run_id, 'model.dims', concat(cast(n as varchar(10)), ',4,', config) from {runs} union all select run_id, 'resume', 'null' from {runs} union all select run_id, 'pinn', case when run_id % 2 = 0 then 'True' else 'False' end from {runs} union all select run_id, 'lr', '0.25' from {runs}"""))
 def flatten_config(spark, sf):
-    nested = F.to_json(F.struct(F.struct(F.col("n").alias("d"), F.struct(F.col("config").alias("name")).alias("opt")).alias("model"), F.lit(7).alias("seed")))
-    return runs.flatten_config(load(spark, sf, "runs").select("run_id", nested.alias("c")), "run_id", "c")
+    n, config = F.col("n").cast("string"), F.col("config")
+    text = F.concat(F.lit('{"model": {"d": '), n, F.lit(', "opt": {"name": "{'), config, F.lit('} of a run", "extra": {}}, "dims": ['), n, F.lit(', 4, "'), config, F.lit('"]}, "seed": 7, "resume": null, "lr": 0.25, "pinn": '), (F.col("run_id") % 2 == 0).cast("string"), F.lit("}"))
+    return runs.flatten_config(load(spark, sf, "runs").select("run_id", text.alias("c")), "run_id", "c")
 
 
 # ---- topology and features
@@ -497,11 +551,11 @@ def khop_diffuse(spark, sf):
     return out(features.khop_diffuse(features.transition_weights(matrix(spark, sf)), x, 2, 1.0), "scenario_id", "bus", **same("x"))
 
 
-WEIGHTS = {("abs", "col"): "w / greatest(c, 1e-12)", ("abs", "sym"): "w / (sqrt(greatest(r, 1e-12)) * sqrt(greatest(c, 1e-12)))", ("binary", "row"): "1e0 / greatest(n, 1e-12)"}
+WEIGHTS = {("abs", "col"): "w / greatest(c, 1e-12)", ("abs", "sym"): "w / (sqrt(greatest(r, 1e-12)) * sqrt(greatest(q, 1e-12)))", ("binary", "row"): "case when w > 0e0 then 1e0 else 0e0 end / greatest(n, 1e-12)"}
 
 
 def _weights(source, norm):
-    @query(f"transition_weights_{source}_{norm}", oracle(f"with {YBUS}, o as (select scenario_id, i, j, sqrt(re * re + im * im) as w from ybus where i <> j), s as (select *, sum(w) over (partition by scenario_id, i) as r, sum(w) over (partition by scenario_id, j) as c, count(*) over (partition by scenario_id, i) as n from o) select scenario_id, i, j, round({WEIGHTS[source, norm]}, 6) + 0e0 as w from s"))
+    @query(f"transition_weights_{source}_{norm}", oracle(f"with {YBUS}, o as (select scenario_id, i, j, sqrt(re * re + im * im) as w from ybus where i <> j), s as (select *, sum(w) over (partition by scenario_id, i) as r, sum(w) over (partition by scenario_id, j) as c, sum(case when w > 0e0 then 1e0 else 0e0 end) over (partition by scenario_id, i) as n, (select coalesce(sum(w), 0e0) from o p where p.scenario_id = o.scenario_id and p.i = o.j) as q from o) select scenario_id, i, j, round({WEIGHTS[source, norm]}, 6) + 0e0 as w from s"))
     def transition_weights_of(spark, sf):
         return out(features.transition_weights(matrix(spark, sf), source, norm), "scenario_id", "i", "j", **same("w"))
 
