@@ -26,6 +26,8 @@ from gridweave.llm.common import stored
 
 KEY = ["__h1", "__h2"]
 SLOTS = 1 << 17
+# Tasks that share the rows of one common line in a join.
+SALTS = 16
 
 
 def _place():
@@ -45,6 +47,13 @@ def _lines(docs: DataFrame, text: str, site: str, min_chars: int) -> DataFrame:
     return split.where(F.length(line) >= min_chars).select("__doc", "__site", "__row", "__pos", F.xxhash64(line).alias(KEY[0]), F.xxhash64(F.lit(1), line).alias(KEY[1]))
 
 
+def _of_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """``lines`` joined with ``found`` by line, the rows of a line dealt to ``SALTS`` tasks."""
+    dealt = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("__doc", "__row", "__pos"), F.lit(SALTS)).cast("int")
+    return lines.withColumn("__salt", salt).join(dealt, [*KEY, "__salt"]).drop("__salt")
+
+
 def boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 16, text: str = "text", site: str = "source", lg_k: int = 12) -> DataFrame:
     """Hashes and first place of every line seen on ``min_sites`` sites or more, stored."""
     lines = _lines(docs, text, site, min_chars)
@@ -59,7 +68,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 16, text:
     sure = F.col("sites") > min_sites * (1 + margin)
     near = found.where(~sure)
     # Dealt out by line and site after the join, so that a common line is not one task's work.
-    pairs = lines.join(near.select(*KEY), KEY).select(*KEY, "__site").repartition(*KEY, "__site").distinct()
+    pairs = _of_lines(lines, near.select(*KEY)).select(*KEY, "__site").repartition(*KEY, "__site").distinct()
     exact = pairs.groupBy(*KEY).agg(F.count("__site").alias("exact")).where(F.col("exact") >= min_sites)
     kept = found.where(sure).select(*KEY, "__first").unionByName(near.join(exact, KEY).select(*KEY, "__first"))
     return stored(kept, "boilerplate")
@@ -82,7 +91,7 @@ def _may_be_among(found: DataFrame, min_chars: int):
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 16, text: str = "text", site: str = "source", lg_k: int = 12) -> DataFrame:
     """``docs`` with those lines cut from ``text``, and columns n_lines and n_removed (replaced if there)."""
     found = boilerplate(docs, min_sites, min_chars, text, site, lg_k)
-    gone = _lines(docs, text, site, min_chars).join(found, KEY).where(F.col("__first") != _place())
+    gone = _of_lines(_lines(docs, text, site, min_chars), found).where(F.col("__first") != _place())
     gone = gone.groupBy(F.col("__doc").alias("__d"), F.col("__row").alias("__r")).agg(F.collect_set("__pos").alias("__gone"))
     parts = F.split(text, "\n", -1)
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
