@@ -795,10 +795,30 @@ def infer_bus_count(spark, sf):
     return o.select("id", units.infer_bus_count().cast("long").alias("n"))
 
 
-@query("profile_dataset", oracle("select count(distinct scenario_id) as n, cast(22 as bigint) as missing from {bus}"))
+def _two_sets(spark, sf):
+    """Packed scenarios in two places: even ones without vn_kv, on one base; odd ones on two."""
+    packed, (even, odd) = spark.read.parquet(_packed(spark, sf)), (_shared(spark), _shared(spark))
+    id_ = F.col("scenario_id")
+    packed.where(id_ % 2 == 0).drop("vn_kv").withColumn("S_base", F.lit(100.0)).coalesce(1).write.parquet(even)
+    packed.where(id_ % 2 == 1).withColumn("S_base", F.when(id_ % 3 == 0, 10.0).otherwise(100.0)).coalesce(1).write.parquet(odd)
+    return [even, odd]
+
+
+@query("read_scenarios", oracle("select scenario_id, cast(count(*) as bigint) as n, cast(scenario_id % 2 as bigint) as has_kv, case when scenario_id % 6 = 3 then 1e1 else 1e2 end as s_base from {bus} group by 1"))
+def read_scenarios(spark, sf):
+    df = io_.read_scenarios(spark, _two_sets(spark, sf))
+    return df.select("scenario_id", F.col("bus_number").cast("long").alias("n"), F.col("vn_kv").isNotNull().cast("long").alias("has_kv"), F.col("S_base").alias("s_base"))
+
+
+@query("profile_dataset", oracle("""with s as (select scenario_id, scenario_id % 2 as odd, case when scenario_id % 6 = 3 then 1e1 else 1e2 end as base from (select distinct scenario_id from {bus}) q),
+m as (select count(*) as missing from (select unnest(['branch_number', 'U_base', 'converged', 'final_misinf', 'nr_iterations', 'Y_shunt_bus', 'u_start', 'S_start', 'S_newton', 'Branch_status', 'Is_trafo', 'Branch_hv_is_f', 'Branch_shift_deg', 'Branch_n', 'Y_C_Lines',
+ 'Branch_y_series_from', 'Branch_y_series_to', 'Branch_y_series_ft', 'Branch_y_shunt_from', 'Branch_y_shunt_to', 'Y_Lines'])) q)
+select count(*) as n, string_agg(distinct cast(cast(base as bigint) as varchar(10)), ',' order by cast(cast(base as bigint) as varchar(10))) as bases, cast(max(case when base = 1e1 then 1 else 0 end) as bigint) as needs_rebase, missing + case when odd = 0 then 1 else 0 end as empty_columns, missing from s, m group by odd, missing"""))
 def profile_dataset(spark, sf):
-    p = io_.profile_dataset(spark, _packed(spark, sf))
-    return p["files"].agg(F.sum("rows").alias("n")).crossJoin(p["missing"].agg(F.count("*").alias("missing")))
+    p = io_.profile_dataset(spark, _two_sets(spark, sf))
+    texts = F.array_join(F.array_sort(F.transform("S_base", lambda x: x.cast("long").cast("string"))), ",")
+    missing = F.lit(p["missing"].count()).cast("long")
+    return p["files"].select(F.col("rows").alias("n"), texts.alias("bases"), F.col("needs_rebase").cast("long").alias("needs_rebase"), F.size("empty").cast("long").alias("empty_columns"), missing.alias("missing"))
 
 
 @query("preview", oracle(f"select distinct scenario_id from {{bus}} where scenario_id in (1, 2, 3) union all select scenario_id from (select distinct scenario_id from {{bus}} where scenario_id not in (1, 2, 3)) q order by case when scenario_id in (1, 2, 3) then -1 else {HASH.format('scenario_id', 42)} end, scenario_id limit 8"))
@@ -806,12 +826,22 @@ def preview(spark, sf):
     return io_.preview(load(spark, sf, "bus").select("scenario_id").distinct(), [1, 2, 3], 5)
 
 
-@query("append_batches", oracle("select count(*) as n, round(sum(p_set), 4) + 0e0 as s from (select * from {bus} union all select * from {bus}) q"))
+@query("append_batches", oracle("select 'a' as batch, scenario_id, bus, round(p_set, 6) + 0e0 as p_set from {bus} union all select 'b', scenario_id, bus, round(p_set, 6) + 0e0 from {bus} where scenario_id % 2 = 0"))
 def append_batches(spark, sf):
-    path, b = _shared(spark), load(spark, sf, "bus")
-    rows = io_.append_batches(b, path, 5000) + io_.append_batches(b, path, 5000)
-    read = spark.read.parquet(path)
-    return read.agg(F.count("*").alias("n"), rounded(F.sum("p_set"), 4).alias("s")).where(F.col("n") == rows)
+    path, b = _shared(spark), load(spark, sf, "bus").select("scenario_id", "bus", "p_set")
+    first, again = (io_.append_batches(b, path, "a", 5000) for _ in range(2))
+    other = io_.append_batches(b.where("scenario_id % 2 = 0"), path, "b", 5000)
+    if not (first.written and not again.written and first.rows == again.rows == again.total and other.total == first.rows + other.rows):
+        raise AssertionError("a repeated batch was written twice")
+    return out(io_.read_batches(spark, path), "batch", "scenario_id", "bus", **same("p_set"))
+
+
+@query("write_bench", oracle("select n, case when run_id % 2 = 0 then 'nr' else 'model' end as method, round(rmse_mag * 1e3 + n, 6) + 0e0 as ms from {runs}"))
+def write_bench(spark, sf):
+    path = _shared(spark)
+    b = load(spark, sf, "runs").select(F.col("n").alias("N"), F.when(F.col("run_id") % 2 == 0, "nr").otherwise("model").alias("method"), (F.col("rmse_mag") * 1e3 + F.col("n")).alias("ms"))
+    io_.write_bench(b, path)
+    return out(spark.read.option("header", True).schema("n long, method string, ms double").csv(path), "n", "method", **same("ms"))
 
 
 @query("write_history", oracle("select run_id, epoch, round(rmse_mag, 9) + 0e0 as rmse_mag from {history}"))

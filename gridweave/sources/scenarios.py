@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import io
+import time
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions.numbers import hash_order
@@ -23,41 +28,91 @@ ID_COLUMNS = ["origin_id", "cim_id", "rdf_id", "uuid"]
 
 
 def read_scenarios(spark: SparkSession, paths: list[str], extra: tuple[str, ...] = ("scenario_id",)) -> DataFrame:
-    """All files together, known columns only; columns that a file lacks are null."""
-    out = None
-    for p in paths:
-        df = spark.read.parquet(p)
-        df = df.select(*[c for c in (*extra, *EXPECTED, MATRIX) if c in df.columns])
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
-
-
-def _array(raw) -> np.ndarray:
-    return np.load(io.BytesIO(raw), allow_pickle=False).ravel() if raw else np.zeros(0)
+    """All files together, known columns only; columns that a file lacks are null.
+
+    One scan for all paths whose columns agree in type; where they do not, one for
+    each set of columns and types there is, whose columns are then widened.
+    """
+    pick = lambda df: df.select(*[c for c in (*extra, *EXPECTED, MATRIX) if c in df.columns])
+    try:
+        return pick(spark.read.option("mergeSchema", True).parquet(*paths))
+    except (PySparkException, Py4JJavaError):
+        by_schema: dict[str, list[str]] = {}
+        for p in paths:
+            by_schema.setdefault(spark.read.parquet(p).schema.json(), []).append(p)
+        if len(by_schema) == 1:
+            raise
+        out = None
+        for group in by_schema.values():
+            df = pick(spark.read.parquet(*group))
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        return out
+
+
+def _header(raw: bytes, known: dict) -> tuple[int, np.dtype, tuple[int, ...], bool]:
+    """Where an array's data begin, their type, shape and order, from the header that ``numpy.save`` writes; equal headers are read once."""
+    size = 10 + int.from_bytes(raw[8:10], "little") if raw[6] == 1 else 12 + int.from_bytes(raw[8:12], "little")
+    head = raw[:size]
+    if head not in known:
+        to = io.BytesIO(head)
+        version = np.lib.format.read_magic(to)
+        shape, fortran, dtype = np.lib.format.read_array_header_1_0(to) if version == (1, 0) else np.lib.format.read_array_header_2_0(to)
+        if dtype.hasobject:
+            raise ValueError("arrays of objects are not read")
+        known[head] = (size, dtype, shape, fortran)
+    return known[head]
+
+
+def _decoded(column: pa.Array, kind: type, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all arrays of a column end to end, and how many each row has; null and empty have none."""
+    parts, n = [np.zeros(0, kind)], np.zeros(len(column), np.int64)
+    for k, raw in enumerate(column.to_pylist()):
+        if raw:
+            at, dtype, shape, fortran = _header(raw, known)
+            x = np.frombuffer(raw, dtype, offset=at)
+            parts.append(x.reshape(shape, order="F").ravel() if fortran and len(shape) > 1 else x)
+            n[k] = len(x)
+    return np.concatenate([x.astype(kind, copy=False) for x in parts]), n
+
+
+def _some(it, columns: list[str], limit: int = 16 << 20):
+    """The same rows in batches of at most ``limit`` packed bytes (or one row)."""
+    for batch in it:
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            size += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        done, start = np.cumsum(size), 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + limit, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def _explode(df: DataFrame, reals: list[str], complexes: list[str], index: str) -> DataFrame:
-    """Rows (scenario_id, index, values) of the packed columns there are, a batch at a time."""
+    """Rows (scenario_id, index, values) of the packed columns there are, many scenarios at a time; a shorter array's missing values are null."""
     reals, complexes = [c for c in reals if c in df.columns], [c for c in complexes if c in df.columns]
     names = [*reals, *(f"{c}_{p}" for c in complexes for p in ("re", "im"))]
-    key = df.schema["scenario_id"].dataType.simpleString()
 
     def run(it):
-        for pdf in it:
-            for row in pdf.itertuples(index=False):
-                cols = {}
-                for c in reals:
-                    cols[c] = _array(getattr(row, c)).astype(float)
-                for c in complexes:
-                    z = _array(getattr(row, c)).astype(complex)
-                    cols[f"{c}_re"], cols[f"{c}_im"] = z.real, z.imag
-                n = max(map(len, cols.values()), default=0)
-                out = pd.DataFrame({c: pd.Series(v, index=range(len(v)), dtype=float).reindex(range(n)) for c, v in cols.items()})
-                out.insert(0, index, np.arange(n, dtype=np.int64))
-                out.insert(0, "scenario_id", row.scenario_id)
-                yield out
-
-    return df.select("scenario_id", *reals, *complexes).mapInPandas(run, f"scenario_id {key}, {index} long, " + ", ".join(f"{n} double" for n in names))
+        for batch in _some(it, [*reals, *complexes]):
+            known: dict = {}
+            found = {c: _decoded(batch.column(c), kind, known) for cs, kind in ((reals, np.float64), (complexes, np.complex128)) for c in cs}
+            n = np.max([x for _, x in found.values()], axis=0) if found else np.zeros(batch.num_rows, np.int64)
+            start, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            columns = [batch.column("scenario_id").take(pa.array(row)), pa.array(np.arange(len(row)) - start[row])]
+            for c in (*reals, *complexes):
+                values, have = found[c]
+                at = np.repeat(start, have) + np.arange(len(values)) - np.repeat(np.cumsum(have) - have, have)
+                none = np.ones(len(row), bool)
+                none[at] = False
+                for part in (values,) if c in reals else (values.real, values.imag):
+                    full = np.zeros(len(row))
+                    full[at] = part
+                    columns.append(pa.array(full, mask=none))
+            yield pa.RecordBatch.from_arrays(columns, names=["scenario_id", index, *names])
+
+    key = df.schema["scenario_id"].dataType.simpleString()
+    return df.select("scenario_id", *reals, *complexes).mapInArrow(run, ", ".join([f"scenario_id {key}", f"{index} long", *(f"{n} double" for n in names)]))
 
 
 def explode_packed(df: DataFrame) -> dict[str, DataFrame]:
@@ -82,25 +137,71 @@ def write_scenarios(df: DataFrame, path: str, save_y_matrix: bool = False, overw
     df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").partitionBy("gridtype").parquet(path)
 
 
-def append_batches(df: DataFrame, path: str, rows_per_file: int) -> int:
-    """Appends to ``path`` with bounded files; returns the rows written."""
-    from pyspark.sql import Observation
+@dataclass(frozen=True)
+class Appended:
+    """What an append did: rows of the batch, rows of all batches, rows a second, and whether it wrote (False: it was there)."""
+
+    rows: int
+    total: int
+    rows_per_s: float
+    written: bool
+
+
+_MANIFEST = "batch string, rows long, seconds double"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+
+
+def append_batches(df: DataFrame, path: str, batch: str, rows_per_file: int) -> Appended:
+    """Appends ``df`` under ``path`` as ``batch``, in bounded files; a batch that is there already is not written again.
+
+    A batch's rows are written to a folder of their own, then its line to the manifest, which
+    is what makes them count (``read_batches``): a run that fails in between
+    leaves nothing that is seen, and the next one overwrites it.
+    """
+    spark = df.sparkSession
+    spark.createDataFrame([], _MANIFEST).write.mode("ignore").parquet(f"{path}/manifest")
+    there = _manifest(spark, path).where(F.col("batch") == batch).agg(F.sum("rows"), F.sum("seconds")).first()
+    seconds, rows = there[1], there[0]
+    if rows is None:
+        seen, begin = Observation(), time.monotonic()
+        df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/rows/batch={batch}")
+        rows, seconds = seen.get["rows"], time.monotonic() - begin
+        line = spark.createDataFrame([(batch, rows, seconds)], _MANIFEST).coalesce(1)
+        line.write.mode("append").parquet(f"{path}/manifest")
+    total = _manifest(spark, path).agg(F.sum("rows")).first()[0]
+    return Appended(rows, total, rows / seconds if seconds else 0.0, there[0] is None)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all batches in the manifest, with their ``batch``."""
+    names = [r.batch for r in _manifest(spark, path).select("batch").distinct().collect()]
+    if not names:
+        raise ValueError(f"no batches under {path}")
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/batch={n}" for n in names])
+    return rows.withColumn("batch", F.col("batch").cast("string"))
 
-    seen = Observation()
-    df.observe(seen, F.count("*").alias("rows")).write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(path)
-    return seen.get["rows"]
 
+def profile_dataset(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
+    """``files``: rows, distinct bases and expected columns without a value, by file, with a warning where bases are mixed; ``missing``: expected columns that no file has.
 
-def profile_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``files``: rows and distinct bases by file, with a warning where bases are mixed; ``missing``: expected columns not there."""
-    df = spark.read.parquet(path)
-    bases = [c for c in ("S_base", "U_base") if c in df.columns]
-    files = df.select(F.input_file_name().alias("file"), *bases).groupBy("file").agg(F.count("*").alias("rows"), *[F.sort_array(F.collect_set(c)).alias(c) for c in bases])
+    One pass over all files; of the packed columns only whether they are null is asked.
+    """
+    df = spark.read.option("mergeSchema", True).parquet(*([paths] if isinstance(paths, str) else paths))
+    bases, known = [c for c in ("S_base", "U_base") if c in df.columns], [c for c in EXPECTED if c in df.columns]
+    files = df.withColumn("file", F.input_file_name()).groupBy("file").agg(
+        F.count("*").alias("rows"), *[F.sort_array(F.collect_set(c)).alias(c) for c in bases], *[F.count(c).alias(f"__{c}") for c in known]
+    )
     mixed = F.lit(False)
     for c in bases:
         mixed = mixed | (F.size(c) > 1)
+    absent = F.array(*[F.lit(c) for c in EXPECTED if c not in known]).cast("array<string>")
+    empty = F.array_sort(F.concat(absent, F.array_compact(F.array(*[F.when(F.col(f"__{c}") == 0, c) for c in known])))) if known else F.array_sort(absent)
+    files = files.withColumns({"needs_rebase": mixed, "empty": empty}).drop(*[f"__{c}" for c in known])
     names = lambda xs: spark.createDataFrame([(x,) for x in xs], "column string")
-    return {"files": files.withColumn("needs_rebase", mixed), "missing": names(EXPECTED).subtract(names(df.columns))}
+    return {"files": files, "missing": names([c for c in EXPECTED if c not in known])}
 
 
 def preview(df: DataFrame, rows: list[int] | None = None, random_rows: int = 0, key: str = "scenario_id", seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from gridweave.operators.residual import power_residual, residual_inf
+from gridweave.sources.scenarios import append_batches
 
 
 def watch_residuals(buses: DataFrame, ybus: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -19,3 +20,12 @@ def watch_residuals(buses: DataFrame, ybus: DataFrame, path: str, checkpoint: st
         residual_inf(power_residual(batch, ybus)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return buses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_stream(rows: DataFrame, path: str, checkpoint: str, rows_per_file: int = 1_000_000) -> StreamingQuery:
+    """Appends a stream under ``path`` batch by batch until the present files are done; a batch that is run again is not written twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        append_batches(batch, path, str(number), rows_per_file)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
