@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.complexnum import Cx, cx
 from gridweave.operators.units import branch_admittance
+from gridweave.operators.ybus import branch_stamps, sum_entries
 
 KEY = "scenario_id"
 
@@ -116,6 +117,23 @@ def power_residual(grids: DataFrame, *keep: str, columns: tuple[str, ...] = ("bu
     return sums.withColumns({"dp": F.when(F.col("bus_type") != 1, dp), "dq": F.when(F.col("bus_type") == 3, dq)}).drop("__p", "__q")
 
 
+def build_ybus(grids: DataFrame, symmetric: bool = True) -> DataFrame:
+    """The entries that ``ybus.build_ybus`` gives for the same branches and shunts, made where the grid is."""
+    n, k = F.size("buses"), F.col("__k")
+    rows = grids.select(KEY, "buses", "branches", F.explode(F.sequence(F.lit(0), n + F.size("branches") - 1)).alias("__k"))
+    own = [f.name for f in grids.schema["buses"].dataType.elementType.fields]
+    rows = rows.select(KEY, F.when(k < n, F.get("buses", k)).alias("__b"), F.when(k >= n, F.get("branches", k - n)).alias("__l"))
+    value = lambda c: F.coalesce(F.col(f"__b.{c}"), F.lit(0.0)) if c in own else F.lit(0.0)
+    rows = rows.select(KEY, F.col("__b.bus").alias("__bus"), value("gs").alias("__gs"), value("bs").alias("__bs"), "__l.*")
+    if "y_from_re" not in rows.columns:
+        rows = branch_admittance(rows)
+    shunt = F.array(F.struct(F.col("__bus").alias("i"), F.col("__bus").alias("j"), F.col("__gs").alias("re"), F.col("__bs").alias("im")))
+    active = (F.col("status") == 1) & (F.col("f_bus") != F.col("t_bus"))
+    has_shunt = F.col("__bus").isNotNull() & ((F.col("__gs") != 0) | (F.col("__bs") != 0))
+    entries = rows.select(KEY, F.explode(F.when(has_shunt, shunt).when(active, branch_stamps(rows.columns, symmetric))).alias("e"))
+    return sum_entries(entries.select(KEY, "e.*"))
+
+
 def start_report(grids: DataFrame, voltage: DataFrame, solved: str, run: str = "run_id") -> DataFrame:
     """Per start mode (``run``) and scenario: largest distance of a start voltage from the solved one, and the start's largest mismatches.
 

@@ -23,26 +23,31 @@ def active_branches(branch: DataFrame) -> DataFrame:
     return branch.where((F.col("status") == 1) & (F.col("f_bus") != F.col("t_bus")))
 
 
-def build_ybus(branch: DataFrame, shunt: DataFrame | None = None, symmetric: bool = False) -> DataFrame:
-    """Four stamps of every active branch and the bus shunts, summed per entry.
-
-    ``branch`` has y_from, y_to, y_ft, ysh_f, ysh_t, tau and shift_deg. By default
-    the transfer entries use each side's own series admittance scaled by the
-    voltage bases in v_f, v_t where present (exact for unequal sides), else y_ft;
-    ``symmetric`` uses y_ft for both. ``shunt``: (scenario_id, bus, gs, bs).
-    """
+def branch_stamps(columns: list[str], symmetric: bool = False) -> Column:
+    """The four entries of a branch's row with these columns (``build_ybus``)."""
     a = Cx.polar("tau", F.radians("shift_deg"))
     scale = F.col("tau") * F.col("tau")
     yft = ytf = cx("y_ft")
-    if not symmetric and {"v_f", "v_t"} <= set(branch.columns):
+    if not symmetric and {"v_f", "v_t"} <= set(columns):
         yft, ytf = cx("y_from") * (F.col("v_f") / F.col("v_t")), cx("y_to") * (F.col("v_t") / F.col("v_f"))
     f, t = F.col("f_bus"), F.col("t_bus")
-    stamps = F.array(
+    return F.array(
         _entry(f, f, (cx("y_from") + cx("ysh_f") * 0.5) * (1 / scale)),
         _entry(t, t, cx("y_to") + cx("ysh_t") * 0.5),
         _entry(f, t, -(yft / a.conj())),
         _entry(t, f, -(ytf / a)),
     )
+
+
+def build_ybus(branch: DataFrame, shunt: DataFrame | None = None, symmetric: bool = False) -> DataFrame:
+    """Four stamps of every active branch and the bus shunts, summed per entry.
+
+    ``branch`` has y_from, y_to, y_ft, ysh_f, ysh_t, tau and shift_deg. By default
+    the transfer entries use each side's own series admittance scaled by the
+    voltage bases in v_f, v_t where present (exact for unequal sides), else y_ft;
+    ``symmetric`` uses y_ft for both. ``shunt``: (scenario_id, bus, gs, bs).
+    """
+    stamps = branch_stamps(branch.columns, symmetric)
     entries = active_branches(branch).select("scenario_id", F.explode(stamps).alias("e")).select("scenario_id", "e.*")
     if shunt is not None:
         own = shunt.where("gs <> 0 or bs <> 0").select("scenario_id", F.col("bus").alias("i"), F.col("bus").alias("j"), F.col("gs").alias("re"), F.col("bs").alias("im"))

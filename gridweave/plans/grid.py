@@ -47,6 +47,11 @@ def admittances(spark, sf):
 
 
 def matrix(spark, sf):
+    return layout.build_ybus(grids(spark, sf))
+
+
+def stamped(spark, sf):
+    """The same matrix from the long tables."""
     return ybus.build_ybus(admittances(spark, sf), load(spark, sf, "bus").select("scenario_id", "bus", "gs", "bs"), symmetric=True)
 
 
@@ -84,7 +89,7 @@ def _dist(c):
 
 @query("power_residual_by_matrix", oracle(f"with {RES} select scenario_id, bus, {r6('dp', 'dq')} from res"))
 def power_residual_by_matrix(spark, sf):
-    return out(residual.power_residual(buses(spark, sf), matrix(spark, sf)), "scenario_id", "bus", **same("dp", "dq"))
+    return out(residual.power_residual(buses(spark, sf), stamped(spark, sf)), "scenario_id", "bus", **same("dp", "dq"))
 
 
 # Both ends' currents from a branch's 2 x 2 block, and the powers they carry.

@@ -41,6 +41,14 @@ def test_residual_without_a_matrix(spark):
     assert layout.power_residual(layout.lay_out(bus.limit(0), branch)).count() == 0
 
 
+def test_matrix_of_laid_out_grids(spark):
+    bus, branch = tables(spark)
+    entries = lambda d: {(r.scenario_id, r.i, r.j): (round(r.re, 9), round(r.im, 9)) for r in d.collect()}
+    want = entries(ybus.build_ybus(units.branch_admittance(branch), bus.select("scenario_id", "bus", "gs", "bs"), symmetric=True))
+    assert entries(layout.build_ybus(layout.lay_out(bus, branch))) == entries(layout.build_ybus(layout.lay_out(bus, units.branch_admittance(branch)))) == want
+    assert entries(layout.build_ybus(layout.lay_out(bus.drop("gs", "bs"), branch))) == entries(ybus.build_ybus(units.branch_admittance(branch)))
+
+
 def test_flows_by_hand(spark):
     """A line of known current, and losses: what enters at both ends is lost in r."""
     bus = spark.createDataFrame([(1, 0, 1.0, 0.0), (1, 1, 0.9, -0.2)], "scenario_id long, bus long, vm double, va double")
@@ -68,7 +76,7 @@ def test_start_modes_of_odd_grids(spark):
     assert abs(got["b", 1].dp_inf - inf[1].dp_inf) < 1e-12 and abs(got["b", 1].dq_inf - inf[1].dq_inf) < 1e-12
 
 
-@pytest.mark.parametrize("name", ["residual_inf", "power_residual", "convergence_rate", "combined_loss", "physics_loss_huber_setpoint", "branch_flows", "loading_summary"])
+@pytest.mark.parametrize("name", ["residual_inf", "power_residual", "convergence_rate", "combined_loss", "physics_loss_huber_setpoint", "branch_flows", "loading_summary", "ybus_build"])
 def test_one_shuffle_by_scenario(spark, name):
     """One scan, one exchange by scenario; a total over all scenarios may take one more, of one row a task."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

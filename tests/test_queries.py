@@ -36,6 +36,28 @@ def test_draws_are_the_same_everywhere(spark):
     assert abs(np.corrcoef(u[:-1], u[1:])[0, 1]) < 0.03 and abs(np.mean([r.z for r in rows])) < 0.03 and abs(np.std([r.z for r in rows]) - 1) < 0.03
 
 
+def test_components_in_tasks_and_in_rounds(spark):
+    import random
+
+    from gridweave.operators import topology
+
+    rng = random.Random(4)
+    bus = [(s, b) for s in range(25) for b in rng.sample(range(-5, 60), rng.randint(1, 40))]
+    edges = [(rng.randint(0, 27), rng.randint(-5, 60), rng.randint(-5, 60)) for _ in range(500)] + [(30, 1, 2)]
+    there, label = set(bus), {x: x[1] for x in bus}
+    for _ in range(60):
+        for s, u, v in edges:
+            if (s, u) in there and (s, v) in there:
+                label[s, u] = label[s, v] = min(label[s, u], label[s, v])
+    b = spark.createDataFrame(bus + bus[:9], "scenario_id long, bus int")
+    e = spark.createDataFrame(edges + edges[:9], "scenario_id long, u int, v int")
+    for local in (100_000, 45, 0):
+        got = topology.component_labels(b, e, local)
+        assert dict(got.dtypes)["label"] == "int" and {(r.scenario_id, r.bus): r.label for r in got.collect()} == label
+        assert got.count() == len(label)
+    assert topology.component_labels(b.limit(0), e).count() == 0 and topology.component_labels(b, e.limit(0)).where("label <> bus").count() == 0
+
+
 def test_only_broken_components_are_labelled_again(spark):
     from gridweave.operators import topology
 
