@@ -296,10 +296,14 @@ def scenario_variants(spark, sf):
     return scenarios.with_variants(load(spark, sf, "bus").select("scenario_id").distinct(), v)
 
 
-@query("union_sets", oracle("select scenario_id, bus from {bus} where scenario_id % 3 = 0 union all select scenario_id, bus from {bus} where scenario_id % 3 <> 0"))
+@query("union_sets", oracle("""select 'snapshot' as name, scenario_id, bus, round(vm, 6) + 0e0 as vm, cast(null as double) as p_mw from {bus}
+union all select kind, scenario_id, bus, null, round(p_mw, 6) + 0e0 from {element} where in_service = 1 union all select distinct 'switch', scenario_id, bus, cast(null as double), cast(null as double) from {switch} where closed = 1"""))
 def union_sets(spark, sf):
-    b = load(spark, sf, "bus").select("scenario_id", "bus")
-    return b.where("scenario_id % 3 = 0").unionByName(b.where("scenario_id % 3 <> 0"))
+    """Sets of different tables and columns under each other; repeated rows stay where a set has them."""
+    b, e = load(spark, sf, "bus"), load(spark, sf, "element").where("in_service = 1")
+    s = load(spark, sf, "switch").where("closed = 1").select(F.lit("switch").alias("name"), "scenario_id", "bus").distinct()
+    both = b.select(F.lit("snapshot").alias("name"), "scenario_id", "bus", "vm").unionByName(e.select(F.col("kind").alias("name"), "scenario_id", "bus", "p_mw"), allowMissingColumns=True)
+    return out(both.unionByName(s, allowMissingColumns=True), "name", "scenario_id", "bus", **same("vm", "p_mw"))
 
 
 # ---- batches and splits
