@@ -95,13 +95,21 @@ def zero_convergence_cases(screening: DataFrame, reasons: int = 10, samples: int
 
 
 def grid_diagnostics(element: DataFrame, switch: DataFrame, bus: DataFrame) -> DataFrame:
-    """One long table: (what, item, n, p, q) of switches, elements out of service and power sums, and the kV histogram."""
-    zero = F.lit(None).cast("double")
-    s = switch.groupBy("et").agg(F.count_if(F.col("closed") == 1).alias("closed"), F.count_if(F.col("closed") == 0).alias("open"))
-    s = s.select(F.explode(F.array(F.struct(F.lit("switch_closed").alias("what"), F.col("closed").alias("n")), F.struct(F.lit("switch_open").alias("what"), F.col("open").alias("n")))).alias("x"), F.col("et").alias("item")).select("x.what", "item", "x.n", zero.alias("p"), zero.alias("q"))
-    e = element.groupBy("kind").agg(F.count_if(F.col("in_service") == 0).alias("n"), F.sum("p_mw").alias("p"), F.sum("q_mvar").alias("q")).select(F.lit("out_of_service").alias("what"), F.col("kind").alias("item"), "n", "p", "q")
-    v = bus.groupBy("vn_kv").agg(F.count("*").alias("n")).select(F.lit("kv").alias("what"), F.col("vn_kv").cast("long").cast("string").alias("item"), "n", zero.alias("p"), zero.alias("q"))
-    return s.unionByName(e).unionByName(v)
+    """One long table: (what, item, n, p, q) of switches, elements out of service and power sums, and the kV histogram.
+
+    Rows of all three become counts of what they tell and are added up in one grouping.
+    """
+    none = F.lit(None).cast("double")
+    mark = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    row = lambda what, item, n, p=none, q=none: F.struct(F.lit(what).alias("what"), item.cast("string").alias("item"), n.alias("n"), p.alias("p"), q.alias("q"))
+    s = F.explode(F.array(*[row(f"switch_{name}", F.col("et"), mark(F.col("closed") == k)) for name, k in (("closed", 1), ("open", 0))]))
+    parts = [
+        switch.select(s.alias("x")),
+        element.select(row("out_of_service", F.col("kind"), mark(F.col("in_service") == 0), F.col("p_mw"), F.col("q_mvar")).alias("x")),
+        bus.select(row("kv", F.col("vn_kv").cast("long"), F.lit(1).cast("long")).alias("x")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("x.*")
+    return rows.groupBy("what", "item").agg(*[F.sum(c).alias(c) for c in ("n", "p", "q")])
 
 
 def bus_type_counts(bus: DataFrame) -> DataFrame:

@@ -146,3 +146,17 @@ def test_places_the_reference_lacks_differ(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 5, 1.0), (2, 0, 2.0)], "scenario_id long, bus long, v double")
     got = {r.scenario_id: (r.differing, list(r["first"])) for r in validate.compare_vectors(df, df.where("scenario_id = 1 and bus = 0"), "bus", ["v"]).collect()}
     assert got == {1: (1, [5]), 2: (1, [0])}
+
+
+def test_diagnostics_are_one_grouping(spark):
+    e = spark.createDataFrame([("load", 1, 1.0, 0.5), ("load", 0, 2.0, 0.5), ("gen", None, 3.0, None)], "kind string, in_service int, p_mw double, q_mvar double")
+    s = spark.createDataFrame([("b", 1), ("b", 0), ("l", 0), ("b", None)], "et string, closed int")
+    b = spark.createDataFrame([(110.0,), (110.0,), (20.0,), (None,)], "vn_kv double")
+    d = validate.grid_diagnostics(e, s, b)
+    assert plan(d).count("Exchange") == 1
+    got = {(r.what, r["item"]): (r.n, r.p, r.q) for r in d.collect()}
+    none = (None, None)
+    assert got == {
+        ("switch_closed", "b"): (1, *none), ("switch_open", "b"): (1, *none), ("switch_closed", "l"): (0, *none), ("switch_open", "l"): (1, *none),
+        ("out_of_service", "load"): (1, 3.0, 1.0), ("out_of_service", "gen"): (0, 3.0, None), ("kv", "110"): (2, *none), ("kv", "20"): (1, *none), ("kv", None): (1, *none),
+    }
