@@ -82,10 +82,10 @@ def bus_current(ybus: DataFrame, voltage: DataFrame) -> DataFrame:
 
 
 def entry_differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Full outer match of two matrices: entries of both (0 where absent), |difference|, and presence."""
-    x = a.select(*KEY, F.col("re").alias("a_re"), F.col("im").alias("a_im"), F.lit(True).alias("in_a"))
-    y = b.select(*KEY, F.col("re").alias("b_re"), F.col("im").alias("b_im"), F.lit(True).alias("in_b"))
-    both = x.join(y, KEY, "full_outer").fillna(0.0, ["a_re", "a_im", "b_re", "b_im"]).fillna(False, ["in_a", "in_b"])
+    """Entries of two matrices next to each other (0 where absent), |difference|, and presence; one grouping of both."""
+    side = lambda d, x, y: d.select(*KEY, *[F.col(c).alias(f"{x}_{c}") for c in ("re", "im")], *[F.lit(None).cast("double").alias(f"{y}_{c}") for c in ("re", "im")], F.lit(x == "a").alias("in_a"), F.lit(x == "b").alias("in_b"))
+    parts = ["a_re", "a_im", "b_re", "b_im"]
+    both = side(a, "a", "b").unionByName(side(b, "b", "a")).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in parts], *[F.max(c).alias(c) for c in ("in_a", "in_b")]).fillna(0.0, parts)
     return both.withColumns({"diff": (cx("a") - cx("b")).abs(), "abs_b": cx("b").abs(), "abs_a": cx("a").abs()})
 
 
