@@ -36,11 +36,15 @@ def transition_weights(ybus: DataFrame, source: str = "abs", norm: str = "row",
 def khop_diffuse(weights: DataFrame, x: DataFrame, hops: int, sigma: float) -> DataFrame:
     """Sum of exp(-h^2 / 2 sigma^2) T^h x over h = 1..hops, over the sum of these weights; 0 without hops or neighbours. ``x``: scenario_id, bus, x."""
     share = [math.exp(-h * h / (2 * max(sigma, 1e-12) ** 2)) for h in range(hops + 1)]
+    if hops > 1:
+        # Every hop reads the weights, and its own step is read twice.
+        weights = weights.checkpoint()
     step = x.select("scenario_id", "bus", "x")
     total = step.select("scenario_id", "bus", F.lit(0.0).alias("y"))
     for h in range(1, hops + 1):
         from_j = step.select("scenario_id", F.col("bus").alias("j"), "x")
         step = weights.join(from_j, ["scenario_id", "j"]).groupBy("scenario_id", F.col("i").alias("bus")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+        step = step.checkpoint() if h < hops else step
         total = total.unionByName(step.select("scenario_id", "bus", (F.col("x") * share[h]).alias("y")))
     return total.groupBy("scenario_id", "bus").agg((F.sum("y") / max(sum(share[1:]), 1e-12)).alias("x"))
 
