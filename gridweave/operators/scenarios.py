@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.functions.numbers import normal, text_key, uniform
+from gridweave.functions.numbers import normal, text_key, uniform, uniform_in_batches
 from gridweave.operators.topology import component_labels, edges_of, relabel
 
 PRESET_SCHEMA = "level string, scale_lo double, scale_hi double, sigma_p double, sigma_q double, sigma_gen double, vm_lo double, vm_hi double, random_start boolean, angle_jitter_deg double, mag_jitter double, outage double"
@@ -31,14 +33,15 @@ def expand_scenarios(element: DataFrame, n: int, preset: DataFrame, seed: int =
     ``element`` has grid scenario_id; adds draw (from 0) and the preset's columns.
     """
     draws = element.sparkSession.range(n).withColumnRenamed("id", "draw")
-    out = element.crossJoin(F.broadcast(draws)).crossJoin(F.broadcast(preset))
-    u = uniform(seed, "scenario_id", "draw", text_key("level"))
+    out = element.crossJoin(F.broadcast(draws)).crossJoin(F.broadcast(preset.withColumn("__level", text_key("level"))))
+    out = out.withColumn("__u", uniform_in_batches(seed, "scenario_id", "draw", "__level"))
+    u = F.col("__u")
     drawn = F.greatest(F.lit(0.05), F.col("scale_lo") + (F.col("scale_hi") - F.col("scale_lo")) * u)
     scale = F.when(F.col("scale_lo").isNull(), 1.0).otherwise(drawn)
     scaled = F.col("p_mw") * scale
     p = F.when(F.col("kind") == "load", scaled).when(F.col("kind") == "gen", F.greatest(scaled, F.lit(0.0))).otherwise(F.col("p_mw"))
     q = F.when(F.col("kind") == "load", F.col("q_mvar") * scale).otherwise(F.col("q_mvar"))
-    return out.withColumns({"p_mw": p, "q_mvar": q, "scale": scale})
+    return out.withColumns({"p_mw": p, "q_mvar": q, "scale": scale}).drop("__u", "__level")
 
 
 # Published cases whose voltage controllers conflict, so that their set-points stay.
@@ -50,19 +53,27 @@ def jitter_elements(expanded: DataFrame, conflicts: DataFrame | None = None, cas
 
     Those are the grids in ``conflicts``, and those whose name in column ``case`` is among ``SET_POINT_CASES``.
     """
-    key = ["scenario_id", "draw", text_key("level"), text_key("kind"), "bus"]
-    f = lambda s, k: 1 + F.col(s) * normal(seed + k, *key)
-    p = F.col("p_mw") * F.when(F.col("kind") == "load", f("sigma_p", 0)).when(F.col("kind") == "gen", f("sigma_gen", 2)).otherwise(1.0)
-    out = expanded.withColumns({"p_mw": p, "q_mvar": F.col("q_mvar") * F.when(F.col("kind") == "load", f("sigma_q", 1)).otherwise(1.0)})
-    drawn = F.col("vm_lo") + (F.col("vm_hi") - F.col("vm_lo")) * uniform(seed + 3, *key)
+    # Loads draw for P and Q, generators for P and the set-point: two draws a row, seeded by kind.
+    gen, levels = F.col("kind") == "gen", {"load": text_key(F.lit("load")), "gen": text_key(F.lit("gen"))}
+    first, second = F.when(gen, seed + 2).otherwise(seed), F.when(gen, seed + 3).otherwise(seed + 1)
+    chains = {"__u1": first, "__v1": first + 1_000_003, "__u2": second, "__v2": second + 1_000_003}
+    kind = F.when(gen, levels["gen"]).when(F.col("kind") == "load", levels["load"]).otherwise(0)
+    level = F.coalesce(*[F.when(F.col("level") == p[0], text_key(F.lit(p[0]))) for p in PRESETS], text_key("level"))
+    columns, key = expanded.columns, ["scenario_id", "draw", "__level", "__kind", "bus"]
+    out = expanded.withColumns({"__kind": kind, "__level": level})
+    out = out.withColumns({n: uniform_in_batches(c, *key) for n, c in chains.items()})
+    normal = lambda k: F.sqrt(-2 * F.log(F.col(f"__u{k}"))) * F.cos(2 * math.pi * F.col(f"__v{k}"))
+    load = F.col("kind") == "load"
+    p = F.col("p_mw") * F.when(load, 1 + F.col("sigma_p") * normal(1)).when(gen, 1 + F.col("sigma_gen") * normal(1)).otherwise(1.0)
+    out = out.withColumns({"p_mw": p, "q_mvar": F.col("q_mvar") * F.when(load, 1 + F.col("sigma_q") * normal(2)).otherwise(1.0)})
+    drawn = F.col("vm_lo") + (F.col("vm_hi") - F.col("vm_lo")) * F.col("__u2")
     free = F.col("kind") == "gen"
     if case is not None:
         free = free & ~F.coalesce(F.col(case).isin(*SET_POINT_CASES), F.lit(False))
     if conflicts is not None:
         out = out.join(conflicts.select("scenario_id", F.lit(True).alias("__c")).distinct(), "scenario_id", "left")
         free = free & F.col("__c").isNull()
-    out = out.withColumn("vm_pu", F.when(free, drawn).otherwise(F.col("vm_pu")))
-    return out.drop("__c") if conflicts is not None else out
+    return out.withColumn("vm_pu", F.when(free, drawn).otherwise(F.col("vm_pu"))).select(*columns)
 
 
 def sample_outages(bus: DataFrame, branch: DataFrame, p: float, seed: int = 44) -> DataFrame:
