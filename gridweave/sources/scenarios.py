@@ -184,14 +184,15 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("batch", F.col("batch").cast("string"))
 
 
-def profile_dataset(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
+def profile_dataset(spark: SparkSession, paths: str | list[str], by: str = "file") -> dict[str, DataFrame]:
     """``files``: rows, distinct bases and expected columns without a value, by file, with a warning where bases are mixed; ``missing``: expected columns that no file has.
 
-    One pass over all files; of the packed columns only whether they are null is asked.
+    With ``by="folder"`` the files of a folder, as one job writes them, are one set of data. One pass over all files; of the packed columns only whether they are null is asked.
     """
     df = spark.read.option("mergeSchema", True).parquet(*([paths] if isinstance(paths, str) else paths))
     bases, known = [c for c in ("S_base", "U_base") if c in df.columns], [c for c in EXPECTED if c in df.columns]
-    files = df.withColumn("file", F.input_file_name()).groupBy("file").agg(
+    place = F.regexp_replace(F.input_file_name(), "/[^/]*$", "") if by == "folder" else F.input_file_name()
+    files = df.withColumn("file", place).groupBy("file").agg(
         F.count("*").alias("rows"), *[F.sort_array(F.collect_set(c)).alias(c) for c in bases], *[F.count(c).alias(f"__{c}") for c in known]
     )
     mixed = F.lit(False)
