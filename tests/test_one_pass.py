@@ -21,3 +21,8 @@ def test_branches_without_a_self_join(spark):
 def test_matrix_queries_take_one_scan_and_shuffle(spark, name):
     p = plan(catalog.QUERIES[name](spark, SF))
     assert len(re.findall("FileScan", p)) == 1 and "Join" not in p and len(re.findall(r"Exchange hashpartitioning", p)) == 1 and "percentile" not in p
+
+
+def test_residual_by_matrix_has_no_join(spark):
+    p = plan(catalog.QUERIES["power_residual_by_matrix"](spark, SF))
+    assert "Join" not in p and len(re.findall("FileScan", p)) == 2 and len(re.findall(r"Exchange hashpartitioning", p)) <= 4
