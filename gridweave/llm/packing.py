@@ -36,16 +36,24 @@ class _Encoder:
     The tokenizer drops white space, so chunks are independent of each other.
     ASCII letters are lower-cased first and a blank is put between a letter and
     the punctuation after it, where the tokenizer splits anyway. Texts that may hold
-    a special token are encoded as they are. New chunks are encoded many at a time,
-    with a special token after each, at which the tokenizer splits before all else.
+    a special token are encoded as they are. New chunks are encoded many at a time:
+    words of letters alone with blanks in between, told apart by the suffix that the last id of a word has,
+    others with a special token after each, at which the tokenizer splits before all else.
     """
 
+    # Letters that normal forms leave alone and that have one lower case each.
+    letters = "^[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
         self.mark = min(((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")), default=None)
+        suffix, self.last = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
+        if suffix:
+            self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -65,8 +73,27 @@ class _Encoder:
         parts = (texts[i : i + 4096] for i in range(0, len(texts), 4096))
         return [np.array(e.ids, np.uint32) for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
-    def _each(self, chunks: list[str], at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks end to end, and how many each has."""
+    def _words(self, words: list[str], at_once: int = 512) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of letters, and how many each has; none if the ids do not tell as many words."""
+        ids = np.concatenate(self._direct([" ".join(words[i : i + at_once]) for i in range(0, len(words), at_once)]))
+        ends = np.flatnonzero(self.last[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) and ends[-1] == len(ids) - 1 else None
+
+    def _each(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The chunks, words of letters first, their ids end to end, and how many each has."""
+        named = pa.array(chunks, pa.large_string())
+        of_letters = pc.match_substring_regex(named, self.letters)
+        words = named.filter(of_letters).to_pylist() if self.last is not None else []
+        made = self._words(words) if words else None
+        if made is None:
+            return chunks, *self._marked(chunks)
+        rest = named.filter(pc.invert(of_letters)).to_pylist()
+        if not rest:
+            return words, *made
+        return words + rest, *(np.concatenate(x) for x in zip(made, self._marked(rest)))
+
+    def _marked(self, chunks: list[str], at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any chunks end to end, and how many each has."""
         if self.mark is None:
             ids = self._direct(chunks)
             return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
@@ -81,7 +108,7 @@ class _Encoder:
             self._make_room()
         new = [c for c in chunks if c not in self.seen]
         if new:
-            ids, size = self._each(new)
+            new, ids, size = self._each(new)
             self.seen.update(zip(new, range(len(self.size), len(self.size) + len(new))))
             self.size = np.r_[self.size, size]
             self.flat = np.concatenate([self.flat, ids])
@@ -98,10 +125,8 @@ class _Encoder:
         words = pc.split_pattern(plain, " ")
         coded = pc.list_flatten(words).dictionary_encode()
         code = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        each = self.size[code]
-        end = np.cumsum(each)
-        begin = (np.cumsum(self.size) - self.size)[code]
-        flat = self.flat[np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - each), each)]
+        end = np.cumsum(self.size[code])
+        flat = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(self.size)], self.flat).take(pa.array(code)).flatten().to_numpy()
         stop = np.r_[0, end][np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))]
         found = iter(np.split(flat, stop[:-1]) if len(stop) else [])
         direct = iter(self._direct(texts.filter(pa.array(special)).to_pylist()) if special.any() else [])

@@ -79,3 +79,19 @@ def test_edges(spark):
     filled([(r.sequence_id, r.offset, r.length) for r in rows.collect()], 4096)
     assert sum(len(r.ids) for r in packing.sequences(rows).collect()) == 1 + 1 + 4 + 4 + 9001
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_words_of_letters_are_encoded_without_marks():
+    """They are told apart by the suffix of their last id; every text keeps the tokenizer's own ids."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode = packing._Encoder(path)
+    marked = []
+    plain = encode._marked
+    encode._marked = lambda chunks: marked.extend(chunks) or plain(chunks)
+    texts = ["İstanbul ÀÉÎ × ÷ ß Ÿ naïve don't we'll x’y", "ǅ ﬁ éa ΣΑΣ", "", None, " ", "a<|endoftext|>b <|x", "ñandú's 's're ÀÖØö x_y ab12ab 漢字", "plain words only"]
+    got = encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert marked and not any(c.isascii() and c.isalpha() for c in marked)
