@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.functions.joins import join_small
 from gridweave.functions.numbers import normal, text_key, uniform, uniform_in_batches
-from gridweave.operators.topology import component_labels, edges_of, relabel
+from gridweave.operators.topology import component_labels, edges_of, least_labels, relabel
 
 PRESET_SCHEMA = "level string, scale_lo double, scale_hi double, sigma_p double, sigma_q double, sigma_gen double, vm_lo double, vm_hi double, random_start boolean, angle_jitter_deg double, mag_jitter double, outage double"
 # The published scenario presets, in the order of the schema; no range means no scaling.
@@ -76,18 +79,65 @@ def jitter_elements(expanded: DataFrame, conflicts: DataFrame | None = None, cas
     return out.withColumn("vm_pu", F.when(free, drawn).otherwise(F.col("vm_pu"))).select(*columns)
 
 
-def sample_outages(bus: DataFrame, branch: DataFrame, p: float, seed: int = 44) -> DataFrame:
+def sample_outages(bus: DataFrame, branch: DataFrame, p: float, seed: int = 44, local: int = 100_000) -> DataFrame:
     """Active branches fail with probability ``p``; a scenario in which a bus would lose its supply keeps all of them.
 
     Parallel circuits are told apart by their place among the branches of the same ends.
-    Only grids that lost a branch are looked at, and in them only the components
-    that lost one are labelled again.
+    Grids of up to ``local`` buses and branches are gathered and looked at in tasks, many at a
+    time; of larger ones only the components that lost a branch are labelled again, by rounds of joins.
     """
     key = "scenario_id"
     same_ends = Window.partitionBy(key, "f_bus", "t_bus").orderBy(*[c for c in branch.columns if c not in (key, "f_bus", "t_bus")])
-    branch = branch.withColumn("__k", F.row_number().over(same_ends))
     hit = (F.col("status") == 1) & (uniform(seed, key, "f_bus", "t_bus", "__k") < p)
-    drawn = branch.withColumn("__hit", hit).checkpoint()
+    drawn = branch.withColumn("__k", F.row_number().over(same_ends)).withColumn("__hit", hit).drop("__k")
+    rows = bus.select(key).unionByName(branch.select(key)).groupBy(key).agg(F.count("*").alias("n"))
+    large = rows.where(F.col("n") > local).select(key)
+    if large.isEmpty():
+        return _outages_in_tasks(bus, drawn)
+    large = large.checkpoint()
+    is_large = lambda d: join_small(d, large.withColumn("__large", F.lit(True)), [key], "left")
+    b, d = is_large(bus), is_large(drawn)
+    part = lambda d, yes: d.where(F.col("__large").isNotNull() if yes else F.col("__large").isNull()).drop("__large")
+    return _outages_in_tasks(part(b, False), part(d, False)).unionByName(_outages_in_rounds(part(b, True), part(d, True)))
+
+
+def _undone(row: np.ndarray, bus: np.ndarray, slack: np.ndarray, edge_row: np.ndarray, u: np.ndarray, v: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Rows (grids) in which a bus has supply over all edges and none over those that are not hit."""
+    names = np.unique(bus)
+    place = lambda row, bus: row * len(names) + np.searchsorted(names, bus)
+    supplied = []
+    for on in (np.ones(len(u), bool), ~hit):
+        of, at, label = least_labels(row, bus, edge_row[on], u[on], v[on])
+        label = place(of, label)
+        supplied.append(np.isin(label, label[np.searchsorted(place(of, at), place(row[slack], bus[slack]))]))
+    return np.unique(of[supplied[0] & ~supplied[1]])
+
+
+def _outages_in_tasks(bus: DataFrame, drawn: DataFrame) -> DataFrame:
+    key, columns = "scenario_id", [c for c in drawn.columns if c != "__hit"]
+
+    @F.arrow_udf("boolean")
+    def undone(buses: pa.Array, slacks: pa.Array, us: pa.Array, vs: pa.Array, hits: pa.Array) -> pa.Array:
+        flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (buses, slacks, us, vs, hits)]
+        of = lambda x: np.repeat(np.arange(len(x)), x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        out = np.zeros(len(buses), bool)
+        if len(flat[0]):
+            out[_undone(of(buses), flat[0], flat[1].astype(bool), of(us), flat[2], flat[3], flat[4].astype(bool))] = True
+        return pa.array(out)
+
+    lines = F.struct(*[c for c in drawn.columns if c != key])
+    edge = F.when((F.col("status") == 1) & F.col("f_bus").isNotNull() & F.col("t_bus").isNotNull(), F.struct(F.col("f_bus").cast("long").alias("u"), F.col("t_bus").cast("long").alias("v"), F.coalesce("__hit", F.lit(False)).alias("hit")))
+    l = drawn.groupBy(key).agg(F.collect_list(lines).alias("__l"), F.collect_list(edge).alias("__e"))
+    own = F.struct(F.col("bus").cast("long").alias("bus"), F.coalesce(F.col("bus_type") == 1, F.lit(False)).alias("slack"))
+    b = bus.where("bus is not null").groupBy(key).agg(F.collect_list(own).alias("__b"))
+    undo = undone("__b.bus", "__b.slack", "__e.u", "__e.v", "__e.hit")
+    out = l.join(b, key, "left").withColumn("__undo", undo).select(key, F.explode("__l").alias("__l"), "__undo").select(key, "__l.*", "__undo")
+    return out.withColumn("status", F.when(F.col("__hit") & ~F.col("__undo"), 0).otherwise(F.col("status"))).select(*columns)
+
+
+def _outages_in_rounds(bus: DataFrame, drawn: DataFrame) -> DataFrame:
+    key = "scenario_id"
+    drawn = drawn.checkpoint()
     lost = drawn.where("__hit").select(key, F.col("f_bus").alias("u"), F.col("t_bus").alias("v"))
     touched = lost.select(key).distinct()
     seen = bus.select(key, "bus", "bus_type").join(touched, key, "left_semi")
@@ -99,7 +149,7 @@ def sample_outages(bus: DataFrame, branch: DataFrame, p: float, seed: int = 44)
     undone = after.join(fed(after), [key, "label"], "left_anti").join(was, [key, "bus"], "left_semi")
     undone = undone.select(key).distinct().withColumn("__undo", F.lit(True))
     out = drawn.join(undone, key, "left")
-    return out.withColumn("status", F.when(F.col("__hit") & F.col("__undo").isNull(), 0).otherwise(F.col("status"))).drop("__hit", "__undo", "__k")
+    return out.withColumn("status", F.when(F.col("__hit") & F.col("__undo").isNull(), 0).otherwise(F.col("status"))).drop("__hit", "__undo")
 
 
 def flat_start(bus: DataFrame, gens: DataFrame, vm_noise: float = 0.0, va_noise: float = 0.0, seed: int = 45) -> DataFrame:
