@@ -1,10 +1,11 @@
-"""Outages of whole grids in tasks, and the same by rounds."""
+"""Outages of whole grids in tasks, and the same by rounds; classes of grids from one table."""
 
 from pyspark.sql import functions as F
 
-from gridweave.operators import scenarios
+from gridweave.operators import clean, scenarios
 from gridweave.plans import catalog
-from gridweave.plans.tables import load
+from gridweave.plans.scenarios import GRID_COLS
+from gridweave.plans.tables import items, load
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +29,11 @@ def test_outages_in_tasks_and_in_rounds(spark, tmp_path):
     bus = bus.unionByName(bus.limit(1).withColumn("scenario_id", F.lit(-7).cast("long")))
     in_tasks, mixed, in_rounds = (rows(scenarios.sample_outages(bus, branch, 0.3, local=n)) for n in (100_000, 9, 0))
     assert in_tasks == mixed == in_rounds and len(in_tasks) == branch.count()
+
+
+def test_classes_from_one_table(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    cols = (["bus_type"], ["status"])
+    one = clean.grid_classes_of_items(items(spark, SF, GRID_COLS[0]), *cols)
+    two = clean.grid_classes(load(spark, SF, "bus"), load(spark, SF, "branch"), *cols)
+    assert rows(one) == rows(two) and one.where("copies > 1").count() > 0
