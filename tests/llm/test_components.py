@@ -37,6 +37,25 @@ def test_components(spark, name):
     assert {r.node: r.component for r in found} == plain(edges)
 
 
+@pytest.mark.parametrize("name", GRAPHS)
+def test_components_of_many_edges_in_steps(spark, name):
+    edges = [tuple(e) for e in GRAPHS[name]]
+    found = components(spark.createDataFrame(edges, "u long, v long"), few=0).collect()
+    assert len(found) == len({r.node for r in found})
+    assert {r.node: r.component for r in found} == plain(edges)
+
+
+def test_few_edges_need_no_steps(spark):
+    """The jobs of a small path do not grow with its length."""
+    edges, sc = [(i, i + 1) for i in range(300)], spark.sparkContext
+    sc.setJobGroup("few edges", "")
+    found = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    jobs = sc.statusTracker().getJobIdsForGroup("few edges")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.node: r.component for r in found} == {i: 0 for i in range(1, 301)}
+    assert 0 < len(jobs) <= 6
+
+
 @pytest.mark.parametrize("name", GRAPHS)
 def test_forest(name):
     edges = np.array(GRAPHS[name], np.int64).reshape(-1, 2)
