@@ -180,3 +180,11 @@ def switch_only_buses(bus: DataFrame, branch: DataFrame, switch: DataFrame) -> D
     on_branch = branch.select("scenario_id", F.explode(F.array("f_bus", "t_bus")).alias("bus"))
     on_switch = switch.select("scenario_id", F.explode(F.array("bus", "element")).alias("bus"))
     return bus.select(*key).subtract(on_branch).intersect(on_switch)
+def in_conflict(element: DataFrame, into: str) -> DataFrame:
+    """``element`` with a boolean: whether its grid has a bus as in ``controller_conflicts``. Takes one shuffle by scenario_id at most."""
+    at_bus, grid = Window.partitionBy("scenario_id", "bus"), Window.partitionBy("scenario_id")
+    gens = F.count_if(F.expr("kind in ('gen', 'ext_grid') and in_service = 1")).over(at_bus)
+    d = element.withColumn("__gens", gens)
+    return d.withColumn(into, F.col("scenario_id").isNotNull() & (F.max("__gens").over(grid) > 1)).drop("__gens")
+
+

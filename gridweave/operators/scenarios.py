@@ -51,10 +51,11 @@ def expand_scenarios(element: DataFrame, n: int, preset: DataFrame, seed: int =
 SET_POINT_CASES = ("GBnetwork", "GBreducednetwork")
 
 
-def jitter_elements(expanded: DataFrame, conflicts: DataFrame | None = None, case: str | None = None, seed: int = 43) -> DataFrame:
+def jitter_elements(expanded: DataFrame, conflicts: DataFrame | str | None = None, case: str | None = None, seed: int = 43) -> DataFrame:
     """Independent normal factors on load P and Q and generator P; new generator set-points but in grids where controllers conflict.
 
-    Those are the grids in ``conflicts``, and those whose name in column ``case`` is among ``SET_POINT_CASES``.
+    Those are the grids in ``conflicts``, or where the column of that name holds (``clean.in_conflict`` adds one before
+    rows are expanded, which spares a join of all of them), and those whose name in column ``case`` is among ``SET_POINT_CASES``.
     """
     # Loads draw for P and Q, generators for P and the set-point: two draws a row, seeded by kind.
     gen, levels = F.col("kind") == "gen", {"load": text_key(F.lit("load")), "gen": text_key(F.lit("gen"))}
@@ -73,7 +74,9 @@ def jitter_elements(expanded: DataFrame, conflicts: DataFrame | None = None, cas
     free = F.col("kind") == "gen"
     if case is not None:
         free = free & ~F.coalesce(F.col(case).isin(*SET_POINT_CASES), F.lit(False))
-    if conflicts is not None:
+    if isinstance(conflicts, str):
+        free = free & ~F.col(conflicts)
+    elif conflicts is not None:
         out = out.join(conflicts.select("scenario_id", F.lit(True).alias("__c")).distinct(), "scenario_id", "left")
         free = free & F.col("__c").isNull()
     return out.withColumn("vm_pu", F.when(free, drawn).otherwise(F.col("vm_pu"))).select(*columns)
