@@ -44,3 +44,9 @@ def test_conflicts_as_a_column(spark):
     rows = [(1, 0, "gen", 1), (1, 0, "ext_grid", 1), (1, 1, "load", 1), (2, 0, "gen", 1), (2, 0, "gen", 0), (2, 1, "gen", 1), (None, 0, "gen", 1), (None, 0, "gen", 1)]
     e = spark.createDataFrame(rows, "scenario_id long, bus long, kind string, in_service long")
     assert {(r.scenario_id, r.c) for r in clean.in_conflict(e, "c").collect()} == {(1, True), (2, False), (None, False)}
+
+
+def test_shared_grids_are_not_derived_again(spark):
+    """Grids are stored once, in columns; buses and branches of classes come from there."""
+    p = plan(catalog.QUERIES["share_grid"](spark, SF))
+    assert "lineitem" not in p and "SortMergeJoin" not in p and "ExistingRDD" not in p
